@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import importlib
 
-from plumbline.catalog.registry import QUERIES, ORACLES, IDS  # noqa: F401
+from plumbline.catalog.registry import IDS, ORACLES, QUERIES  # noqa: F401
 
-MODULES = [
-    "relational", "profiling", "splitting", "evaluation", "decisioning", "series",
-    "baskets", "segmentation", "anomalies", "corpus", "modelling",
-]
+MODULES: list[str] = []
 
 
 def load() -> None:
+    """Import the catalogue's modules; each registers its queries."""
     for name in MODULES:
         importlib.import_module(f"plumbline.catalog.{name}")
