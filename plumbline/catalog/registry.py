@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,7 +16,7 @@ class Tables:
     """Lazy access to the Parquet tables of one scale-factor folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark = prepare(spark)
+        self.spark = spark
         self.sf_dir = sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:

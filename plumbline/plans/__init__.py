@@ -1 +1 @@
-
+"""Plans that several operators share."""

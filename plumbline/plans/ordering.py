@@ -1,199 +1,137 @@
 """Exact global order statistics without a single-task sort.
 
-``Window.orderBy`` with no partition key moves every row to one task, and a partition key
-that holds a third of the table does nearly the same.  The functions here split any
-ordered group into value buckets whose size is bounded, work inside the buckets, and add
-the totals of the earlier buckets:
-
-1. one aggregate job counts the rows; tables under ``ROWS_PER_BUCKET`` get one bucket;
-2. for larger tables the same job returns approximate quantiles of the order key (bucket
-   bounds, a fixed number of doubles);
-3. a value that fills whole buckets by itself is split further by the tie-break key;
-4. bucket totals (a few thousand rows per group) are cumulated and joined back.
-
-The bounds only steer the partitioning; results are exact whatever they are.
+``Window.orderBy`` without a partition key moves every row to one task, and a key that holds a
+third of the table does nearly the same.  The functions here range-partition the rows by
+(group, order, tie), which splits hot values and orders null, NaN and the infinities as Spark
+does; each row's partition number is materialised once, so that totals and rows see the same;
+the totals of the partitions are cumulated, and added to what is cumulated inside each.  There
+is one way for every size; the number of partitions is a parameter that follows the cluster.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 2_000
-#: Largest row count for which a whole group may sit in one aggregate buffer.
-IN_MEMORY_ROWS = 1_000_000
-
-
-def _splits(bounds: Sequence[float]) -> tuple[list[float], list[float]]:
-    """Strictly increasing splits, and the values that deserve a bucket of their own."""
-    hot = sorted({a for a, b in zip(bounds, bounds[1:]) if a == b})
-    points = set(bounds)
-    points.update(math.nextafter(v, math.inf) for v in hot)
-    return [-math.inf, *sorted(points), math.inf], hot
-
-
-def _bucket(df: DataFrame, col: str, out: str, splits: list[float]) -> DataFrame:
-    if len(splits) < 3:
-        return df.withColumn(out, F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol=col, outputCol=out).transform(df)
-
-
-def bucketed(
-    df: DataFrame, key: str, tie: str | None, rows_per_bucket: int | None = None
-) -> tuple[DataFrame, list[str], int]:
-    """Add ordered bucket columns; returns the frame, their names and the bucket count."""
-    limit = rows_per_bucket or ROWS_PER_BUCKET
-    n = df.count()
-    buckets = min(MAX_BUCKETS, -(-n // limit))
-    if buckets <= 1:
-        return df, [], 1
-    probs = [i / buckets for i in range(1, buckets)]
-    accuracy = min(1_000_000, 20 * buckets)
-    wanted = [F.percentile_approx(F.col(key), probs, accuracy).alias("k")]
-    if tie is not None:
-        wanted.append(F.percentile_approx(F.col(tie).cast("double"), probs, accuracy).alias("t"))
-    row = df.agg(*wanted).first()
-    splits, hot = _splits(row["k"])
-    out = _bucket(df, key, "_bucket", splits)
-    if tie is None or not hot:
-        return out, ["_bucket"], len(splits)
-    tie_splits, _ = _splits(row["t"])
-    out = _bucket(out.withColumn("_tie_value", F.col(tie).cast("double")), "_tie_value", "_sub", tie_splits)
-    out = out.withColumn("_sub", F.when(F.col(key).isin(hot), F.col("_sub")).otherwise(0.0)).drop("_tie_value")
-    return out, ["_bucket", "_sub"], len(splits) + len(hot) * len(tie_splits)
+from plumbline.session import durable
+
+#: Columns of this prefix are the module's own.
+PREFIX = "__ord_"
+
+
+def _check(df: DataFrame) -> None:
+    if clash := [c for c in df.columns if c.startswith(PREFIX)]:
+        raise ValueError(f"columns {clash} have the reserved prefix {PREFIX}")
+
+
+def _parts(df: DataFrame, partitions: int | None) -> int:
+    return partitions or 2 * df.sparkSession.sparkContext.defaultParallelism
 
 
 def cumulate(
-    df: DataFrame,
-    order: Column,
-    measures: Mapping[str, Column],
-    tie: Column | None = None,
-    group: Sequence[str] = (),
-    rows_per_bucket: int | None = None,
+    df: DataFrame, order: Sequence[Column], measures: Mapping[str, Column], group: Sequence[str] = (),
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums of ``measures`` in ascending ``order`` (then ``tie``).
+    """Adds inclusive running sums of ``measures`` along ``order`` in each group.
 
-    ``order`` must be castable to double, ``tie`` to bigint; (group, order, tie) must be
-    unique for the result to be deterministic.  Nulls in ``order`` are not allowed.
+    ``order`` should be unique inside a group, else the rows of a tie come in any order.  Sums
+    of doubles depend on the order of addition in their last bits.
     """
+    _check(df)
     group = list(group)
-    work = df.withColumn("_key", order.cast("double"))
-    if tie is not None:
-        work = work.withColumn("_tie", tie.cast("bigint"))
-    work = work.select("*", *[m.alias(f"_m_{name}") for name, m in measures.items()])
-    work, parts, _ = bucketed(work, "_key", "_tie" if tie is not None else None, rows_per_bucket)
-    sort = ["_key"] + (["_tie"] if tie is not None else [])
-    scratch = ["_key", "_tie", "_bucket", "_sub"] + [f"_m_{m}" for m in measures]
-
-    local = Window.partitionBy(*group, *parts).orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
-    if not group and not parts:
-        # Counted: the whole table fits one bucket.
-        local = Window.partitionBy(F.lit(0)).orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
-    if not parts:
-        return work.select("*", *[F.sum(f"_m_{m}").over(local).alias(m) for m in measures]).drop(*scratch)
-
-    totals = work.groupBy(*group, *parts).agg(*[F.sum(f"_m_{m}").alias(f"_o_{m}") for m in measures])
-    earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *group, *parts,
-        *[F.coalesce(F.sum(f"_o_{m}").over(earlier), F.lit(0)).alias(f"_o_{m}") for m in measures],
-    )
-    if not group:
-        offsets = F.broadcast(offsets)  # one row per bucket, at most MAX_BUCKETS * constant
-    keys = group + parts
-    inner = work.select("*", *[F.sum(f"_m_{m}").over(local).alias(f"_l_{m}") for m in measures])
-    joined = inner.alias("a").join(
-        offsets.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "left"
-    )
-    kept = [F.col(f"a.`{c}`") for c in df.columns]
-    return joined.select(*kept, *[(F.col(f"a._l_{m}") + F.col(f"b._o_{m}")).alias(m) for m in measures])
+    keys = [f"{PREFIX}k{i}" for i in range(len(order))]
+    own = {m: f"{PREFIX}m{i}" for i, m in enumerate(measures)}
+    work = df.select(
+        *df.columns, *[c.alias(k) for c, k in zip(order, keys)], *[c.alias(own[m]) for m, c in measures.items()])
+    part = f"{PREFIX}part"
+    work = durable(work.repartitionByRange(_parts(df, partitions), *group, *keys).withColumn(part, F.spark_partition_id()))
+    inside = Window.partitionBy(part, *group).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    local = work.select("*", *[F.sum(o).over(inside).alias(f"{o}l") for o in own.values()])
+    totals = work.groupBy(part, *group).agg(*[F.sum(o).alias(f"{o}t") for o in own.values()])
+    # One row for each partition that a group reaches.
+    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(part, *group, *[F.sum(f"{o}t").over(before).alias(f"{o}b") for o in own.values()])
+    a, b = local.alias("a"), offsets.alias("b")
+    on = F.col(f"a.{part}") == F.col(f"b.{part}")
+    for g in group:
+        on = on & F.col(f"a.`{g}`").eqNullSafe(F.col(f"b.`{g}`"))
+    zero = F.lit(0)
+    return a.join(b, on).select(
+        *[F.col(f"a.`{c}`") for c in df.columns],
+        *[(F.col(f"a.{o}l") + F.coalesce(F.col(f"b.{o}b"), zero)).alias(m) for m, o in own.items()])
 
 
 def row_numbers(
-    df: DataFrame, order: Column, tie: Column, out: str = "rn", group: Sequence[str] = (),
-    rows_per_bucket: int | None = None,
+    df: DataFrame, order: Sequence[Column], out: str = "rn", group: Sequence[str] = (), partitions: int | None = None,
 ) -> DataFrame:
     """Exact 1-based position of every row in its group."""
-    return cumulate(df, order, {out: F.lit(1).cast("bigint")}, tie, group, rows_per_bucket)
-
-
-def group_sizes(df: DataFrame, group: Sequence[str], out: str = "n") -> DataFrame:
-    return df.groupBy(*group).agg(F.count(F.lit(1)).alias(out))
+    return cumulate(df, order, {out: F.lit(1).cast("bigint")}, group, partitions)
 
 
 def with_group_size(df: DataFrame, group: Sequence[str], out: str = "n") -> DataFrame:
-    """Attach the size of each row's group (or of the table)."""
-    sizes = group_sizes(df, group, out)
+    """Attaches the size of each row's group, or of the table."""
     if not group:
-        n = sizes.first()[out]
-        return df.withColumn(out, F.lit(n).cast("bigint"))
-    return df.join(sizes, list(group), "left")
+        return df.withColumn(out, F.lit(df.count()).cast("bigint"))
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias(out)).alias("s")
+    on = None
+    for g in group:
+        same = F.col(f"d.`{g}`").eqNullSafe(F.col(f"s.`{g}`"))
+        on = same if on is None else on & same
+    return df.alias("d").join(sizes, on).select(*[F.col(f"d.`{c}`") for c in df.columns], F.col(f"s.`{out}`"))
 
 
-def average_ranks(df: DataFrame, value: str, group: Sequence[str] = (), out: str = "rank") -> DataFrame:
-    """Distinct values per group with their tie-averaged rank, count and group size."""
+def distinct_counts(df: DataFrame, value: str, group: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+    """(group, value, ties, upto): the distinct values with their count and the running count."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("ties"))
-    cum = cumulate(counts, F.col(value), {"_upto": F.col("ties")}, group=group)
-    return cum.withColumn(out, F.col("_upto") - (F.col("ties") - 1) / 2.0).drop("_upto")
+    return cumulate(counts, [F.col(value)], {"upto": F.col("ties")}, group, partitions)
+
+
+def average_ranks(df: DataFrame, value: str, group: Sequence[str] = (), out: str = "rank", partitions: int | None = None) -> DataFrame:
+    """Distinct values per group with their tie-averaged rank, and count."""
+    cum = distinct_counts(df, value, group, partitions)
+    return cum.withColumn(out, F.col("upto") - (F.col("ties") - 1) / 2.0).drop("upto")
 
 
 def quantiles(
-    df: DataFrame, value: str, probs: Sequence[float], group: Sequence[str] = (),
-    rows_per_bucket: int | None = None, in_memory_rows: int | None = None,
+    df: DataFrame, value: str, probs: Sequence[float], group: Sequence[str] = (), partitions: int | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles: one row per (group, prob) -> ``quantile``.
 
-    Counted small inputs use the built-in aggregate, whose buffer then holds a bounded
-    number of values; larger ones collapse to distinct values and cumulate their counts.
+    Nulls and NaN are left out; a probability asked for twice comes once.
     """
     group = list(group)
-    probs = [float(p) for p in probs]
-    clean = df.select(*group, F.col(value).cast("double").alias("_v")).where(
-        F.col("_v").isNotNull() & ~F.isnan("_v")
-    )
-    limit = IN_MEMORY_ROWS if in_memory_rows is None else in_memory_rows
-    if clean.count() <= limit:
-        grid = F.array(*[F.lit(p) for p in probs])
-        agg = clean.groupBy(*group).agg(F.percentile("_v", grid).alias("_q"))
-        return agg.select(
-            *group, F.explode(F.arrays_zip(grid.alias("prob"), F.col("_q").alias("quantile"))).alias("z")
-        ).select(*group, F.col("z.prob").alias("prob"), F.col("z.quantile").alias("quantile"))
-
-    counts = clean.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    cum = cumulate(counts, F.col("_v"), {"_upto": F.col("_c")}, group=group, rows_per_bucket=rows_per_bucket)
+    probs = sorted({float(p) for p in probs})
+    v = F.col("__v")
+    clean = df.select(*group, F.col(value).cast("double").alias("__v")).where(v.isNotNull() & ~F.isnan(v))
+    cum = distinct_counts(clean, "__v", group, partitions)
+    sizes = cum.groupBy(*group).agg(F.max("upto").alias("n")).alias("s")
+    c = cum.alias("c")
     if group:
-        cum = cum.join(clean.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")), group)
+        on = None
+        for g in group:
+            same = F.col(f"c.`{g}`").eqNullSafe(F.col(f"s.`{g}`"))
+            on = same if on is None else on & same
+        both = c.join(sizes, on).select(*[F.col(f"c.`{g}`") for g in group], "c.__v", "c.ties", "c.upto", "s.n")
     else:
-        cum = cum.withColumn("_n", F.lit(clean.count()))
-    marks = F.explode(F.array(*[F.lit(p) for p in probs]))
-    cand = cum.select("*", marks.alias("prob")).withColumn("_h", (F.col("_n") - 1) * F.col("prob"))
-    first, last = F.col("_upto") - F.col("_c"), F.col("_upto") - 1
+        both = cum.withColumn("n", F.lit(sizes.first()["n"]).cast("bigint"))
+    marked = both.select("*", F.explode(F.array(*[F.lit(p) for p in probs])).alias("prob"))
+    h = (F.col("n") - 1) * F.col("prob")
+    first, last = F.col("upto") - F.col("ties"), F.col("upto") - 1
     holds = lambda i: (i >= first) & (i <= last)
-    cand = cand.where(holds(F.floor("_h")) | holds(F.ceil("_h")))
-    picked = cand.groupBy(*group, "prob").agg(
-        F.max("_h").alias("_h"),
-        F.max(F.when(holds(F.floor("_h")), F.col("_v"))).alias("_a"),
-        F.max(F.when(holds(F.ceil("_h")), F.col("_v"))).alias("_b"),
-    )
-    return picked.select(
-        *group, "prob",
-        (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.floor("_h"))).alias("quantile"),
-    )
+    picked = marked.where(holds(F.floor(h)) | holds(F.ceil(h))).groupBy(*group, "prob").agg(
+        F.max(h).alias("h"), F.max(F.when(holds(F.floor(h)), v)).alias("a"), F.max(F.when(holds(F.ceil(h)), v)).alias("b"))
+    value_at = F.col("a") + (F.col("b") - F.col("a")) * (F.col("h") - F.floor("h"))
+    return picked.select(*group, "prob", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(value_at).alias("quantile"))
 
 
 def quantile_columns(
-    df: DataFrame, value: str, named: Mapping[str, float], group: Sequence[str] = ()
+    df: DataFrame, value: str, named: Mapping[str, float], group: Sequence[str] = (), partitions: int | None = None,
 ) -> DataFrame:
     """``quantiles`` with one column per name and one row per group."""
-    long = quantiles(df, value, list(named.values()), group)
-    return long.groupBy(*group).agg(
-        *[F.max(F.when(F.col("prob") == float(p), F.col("quantile"))).alias(n) for n, p in named.items()]
-    )
+    long = quantiles(df, value, list(named.values()), group, partitions)
+    return long.groupBy(*group).agg(*[F.max(F.when(F.col("prob") == float(p), F.col("quantile"))).alias(n) for n, p in named.items()])
 
 
 def quantile_list(df: DataFrame, value: str, probs: Sequence[float]) -> list[float]:
@@ -203,5 +141,5 @@ def quantile_list(df: DataFrame, value: str, probs: Sequence[float]) -> list[flo
 
 
 def portable_hash(key: Column, seed: int = 42) -> Column:
-    """Seeded order-scrambling hash in plain arithmetic, so any SQL engine can repeat it."""
-    return F.pmod(F.pmod(key.cast("bigint"), F.lit(1_000_003)) * F.lit(2_654_435_761) + F.lit(seed * 97), F.lit(4_294_967_291))
+    """60 bits of the MD5 of seed and key: an order that another SQL engine can repeat."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 15), 16, 10).cast("bigint")

@@ -1,4 +1,4 @@
-"""Session defaults and durable intermediate results."""
+"""Session for tests and the bench, and durable intermediate results."""
 
 from __future__ import annotations
 
@@ -22,21 +22,17 @@ def local_session(cores: str = "8", partitions: int = 8, name: str = "plumbline"
     return spark
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Runtime settings every operator relies on (all are session-level SQL settings)."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark
-
-
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` at a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only where no
-    folder is set at all (tests, local runs) a scratch folder is chosen.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only a local master
+    without one, as in tests, gets a scratch folder; elsewhere a missing folder is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
     return df.checkpoint()

@@ -1 +1 @@
-
+"""Manifests of written tables."""
