@@ -58,19 +58,17 @@ def fold(log: DataFrame) -> DataFrame:
         F.col("seq"), F.when(op == "delta", 1).otherwise(0).alias("rank"), op.alias("op"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = log.groupBy("conv", "turn").agg(F.array_sort(F.collect_list(event)).alias("events"))
+    redone = F.array_max(F.transform("events", lambda e: F.when(e["op"] == "regenerate", e["seq"])))
+    before = Window.partitionBy("conv").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.withColumn("cut", F.max(redone).over(before))
+    # What came before an earlier turn was regenerated is gone.
+    left = F.filter("events", lambda e: F.col("cut").isNull() | e["seq"].isNull() | (e["seq"] >= F.col("cut")))
+    turns = turns.select("conv", "turn", left.alias("events")).where(F.size("events") > 0)
     starts = F.transform("events", lambda e, i: F.when(e["op"] != "delta", i))
     turns = turns.withColumn("first", F.coalesce(F.array_max(starts), F.lit(0)))
-    turns = turns.select(
-        "conv", "turn",
-        F.coalesce(F.array_max(F.transform("events", lambda e: F.when(e["op"] == "regenerate", e["seq"]))), F.lit(None).cast("bigint")).alias("redone"),
-        F.array_max(F.transform("events", lambda e: e["seq"])).alias("last"),
-        F.col("events")[F.col("first")]["role"].alias("role"),
-        F.array_join(F.transform(
-            F.slice("events", F.col("first") + 1, F.size("events")), lambda e: e["text"]), "").alias("text"),
-    )
-    before = Window.partitionBy("conv").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    turns = turns.withColumn("before", F.max("redone").over(before))
-    return turns.where(F.col("before").isNull() | (F.col("before") <= F.col("last"))).select("conv", "turn", "role", "text")
+    return turns.select(
+        "conv", "turn", F.col("events")[F.col("first")]["role"].alias("role"),
+        F.array_join(F.transform(F.slice("events", F.col("first") + 1, F.size("events")), lambda e: e["text"]), "").alias("text"))
 
 
 def render(messages: DataFrame, learned: str = LEARNED_ROLE) -> DataFrame:
@@ -98,7 +96,7 @@ def read_back(formatted: Column) -> Column:
     marked = F.filter(F.split(formatted, r"<\|im_start\|>"), lambda x: x != "")
 
     def turn(x: Column) -> Column:
-        at = F.locate("\n", x) if isinstance(x, str) else F.instr(x, "\n")
+        at = F.instr(x, "\n")
         body = F.substring(x, at + 1, F.length(x) - at - (len(END) + 1))
         return F.struct(unescape(F.substring(x, F.lit(1), at - 1)).alias("role"), unescape(body).alias("text"))
 

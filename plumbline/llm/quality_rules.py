@@ -178,10 +178,10 @@ def judge(
         return column
 
     if refs:
-        shares = F.transform(F.array(*CLASSES), lambda c: c / chars)
+        shares = F.transform(F.array(*CLASSES), lambda c: c / F.greatest(chars, F.lit(1)))
         class_distance = jensen_shannon(shares, for_lang(lambda r: _literals(r.classes)))
         out = out.withColumn("_words", for_lang(lambda r: _literals(r.words).cast("array<string>")))
-        out = out.withColumn("_own", F.transform("_words", lambda x: (F.size("hits") - F.size(F.array_remove("hits", x))) / F.col("n_words")))
+        out = out.withColumn("_own", F.transform("_words", lambda x: (F.size("hits") - F.size(F.array_remove("hits", x))) / F.greatest(F.col("n_words"), F.lit(1))))
         rest = lambda a: F.concat(a, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(a, F.lit(0.0), lambda s, x: s + x))))
         word_distance = jensen_shannon(
             rest(F.col("_own")), for_lang(lambda r: _literals([*r.words.values(), max(0.0, 1 - sum(r.words.values()))])))
