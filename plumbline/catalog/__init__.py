@@ -6,7 +6,7 @@ import importlib
 
 from plumbline.catalog.registry import IDS, ORACLES, QUERIES  # noqa: F401
 
-MODULES = ["relational", "evaluation"]
+MODULES = ["relational", "evaluation", "profiling", "splitting"]
 
 
 def load() -> None:
