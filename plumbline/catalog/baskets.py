@@ -132,3 +132,20 @@ def _(t):
 def _(t):
     r = found_rules(t).where(F.array_contains(F.concat("antecedent", "consequent"), "PROMO") & (F.col("lift") >= 0.95))
     return _round(_joined(r.select("antecedent", "consequent", "lift")), 6)
+
+
+_EARLY = _RULES.replace("WHERE l_quantity > 0 AND p_type IS NOT NULL", "JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 0 AND p_type IS NOT NULL AND o_orderdate < TIMESTAMP '1999-01-01'")
+
+
+@query("bsk12_revalidation", "BSK-12 JOIN-8", f"""WITH {_EARLY}, lb AS (SELECT basket, list_sort(list(item)) AS items FROM (SELECT DISTINCT l_orderkey AS basket, upper(trim(p_type)) AS item FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
+  WHERE l_quantity > 0 AND o_orderdate >= TIMESTAMP '1999-01-01') GROUP BY 1 HAVING count(*) >= 2),
+x AS (SELECT antecedent, consequent, count_if(list_has_all(items, string_split(antecedent, ','))) AS na, count_if(list_has_all(items, string_split(consequent, ','))) AS nc, count_if(list_has_all(items, string_split(antecedent || ',' || consequent, ','))) AS late_n, count(*) AS t FROM rules, lb GROUP BY 1, 2)
+SELECT antecedent, consequent, late_n, round(late_n * t::DOUBLE / (na * nc), 6) AS late_lift, CASE WHEN na = 0 OR nc = 0 THEN 'unmeasurable' WHEN late_n * t::DOUBLE / (na * nc) >= 0.95 THEN 'confirmed' ELSE 'degraded' END AS status FROM x""")
+def _(t):
+    cut = F.lit("1999-01-01").cast("timestamp_ntz")
+    p = pairs(t).join(t.orders.select(F.col("o_orderkey").alias("basket"), (F.col("o_orderdate") < cut).alias("early")), "basket")
+    early, late = p.where("early").drop("early"), p.where("not early").drop("early")
+    items = early.select("item").distinct()
+    found = B.rules(B.frequent_itemsets(B.baskets(early, items), 0.05), 0.1, 0.5)
+    out = B.remeasured(found, B.baskets(late, items), 0.95)
+    return _round(_joined(out.select("antecedent", "consequent", "late_n", "late_lift", "status")), 6)

@@ -250,3 +250,47 @@ b AS (SELECT a.*, abs(a.tpr - o.tpr) AS gap, row_number() OVER (PARTITION BY seg
 SELECT segment, round(threshold, 6) AS threshold, round(tpr, 6) AS tpr, round(gap, 6) AS gap FROM b WHERE rn = 1""")
 def _(t):
     return _round(D.equalised(scored(t), "segment", 0.5), 6)
+
+
+@query("reg4_scatter_sample", "REG-4", f"WITH {_PRED} SELECT l_orderkey, l_linenumber, l_partkey, y, p FROM pred ORDER BY ('0x' || substr(md5('42:' || l_orderkey || '-' || l_linenumber || '-' || l_partkey), 1, 15))::BIGINT, l_orderkey, l_linenumber, l_partkey, y, p LIMIT 1200")
+def _(t):
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")
+    cs = ["l_orderkey", "l_linenumber", "l_partkey", "y", "p"]
+    return predicted(t).select(*cs).orderBy(ordering.portable_hash(key), *cs).limit(1200)
+
+
+@query("dec1_isotonic", "DEC-1")
+def _(t):
+    """Scores calibrated by isotonic regression on two folds, for the third."""
+    from pyspark.ml.regression import IsotonicRegression
+
+    from plumbline.operators import splits
+
+    rows = splits.folds(scored(t).select("id", F.col("label").cast("double").alias("label"), F.col("score").alias("x")), "id", "label", 3)
+    parts = [IsotonicRegression(featuresCol="x", labelCol="label", predictionCol="calibrated").fit(rows.where(F.col("fold") != f)).transform(rows.where(F.col("fold") == f)) for f in range(3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("id", "label", "x", "calibrated")
+
+
+@query("dec2_sigmoid", "DEC-2 DEC-3")
+def _(t):
+    """Platt scaling: a logistic model of the score; and what the calibration does to the losses."""
+    from plumbline.operators import models
+
+    rows = scored(t).select("id", F.col("label").cast("double").alias("label"), F.col("score").alias("x"))
+    out = models.scores(models.pipeline("logistic", ["x"], regParam=0.0).fit(rows), rows, "score")
+    before = E.probability_losses(rows.withColumnRenamed("x", "score"))
+    return before.select(F.lit("before").alias("stage"), "*").unionByName(E.probability_losses(out).select(F.lit("after").alias("stage"), "*"))
+
+
+@query("scr4_churn_scoring", "SCR-4", f"WITH {SCORED_SQL} SELECT id, score >= 40 / (40 + 500 * 0.3::DOUBLE) AS contact, round(score * 150.0::DOUBLE - 40, 4) AS expected_value FROM scored")
+def _(t):
+    e = D.Economics()
+    out = D.expected_value(scored(t), e)
+    return out.select("id", (F.col("score") >= e.threshold).alias("contact"), F.round("expected_value", 4).alias("expected_value"))
+
+
+@query("scr10_nearest_budget", "SCR-10", f"WITH {SCORED_SQL}, s AS (SELECT segment, count_if(score >= 0.9) AS n FROM scored GROUP BY 1), b AS (SELECT unnest([25, 50, 100, 200, 400, 800, 1600])::BIGINT AS budget) SELECT segment, n, arg_min(budget, (abs(budget - n), budget)) AS budget FROM s, b GROUP BY 1, 2")
+def _(t):
+    s = scored(t).groupBy("segment").agg(F.count_if(F.col("score") >= 0.9).alias("n"))
+    near = F.array_min(F.array(*[F.struct(F.abs(F.lit(b) - F.col("n")).alias("d"), F.lit(b).cast("bigint").alias("budget")) for b in (25, 50, 100, 200, 400, 800, 1600)]))
+    return s.select("segment", "n", near["budget"].alias("budget"))

@@ -96,3 +96,16 @@ def _(t):
     base = kept(t).groupBy("pickup_borough").agg(F.avg("fare").alias("base"))
     out = M.sweep(base.withColumn("hour", F.lit(0).cast("bigint")), "hour", list(range(24)), lambda df: df.withColumn("fare", F.round(F.col("base") * (1 + F.col("hour") / 100.0), 4)))
     return out.select("pickup_borough", F.col("hour").cast("bigint").alias("hour"), "fare")
+
+
+@query("mdl10_greedy_ensemble", "MDL-10 UDF-2")
+def _(t):
+    oof = _oof(t)
+    weights, path = M.greedy_ensemble(oof.select("label", "p_logistic", "p_boosting"), ["p_logistic", "p_boosting"], rounds=2)
+    return M.blended(oof, weights, "blend").select("id", "blend", F.lit(path[-1]).alias("metric"))
+
+
+@query("exp1_permutation_importance", "EXP-1")
+def _(t):
+    df = rows(t).select("id", "label", F.col("price").alias("a"), F.col("score").alias("b"))
+    return M.permutation_importance(M.pipeline("logistic", ["a", "b"]).fit(df), df, ["a", "b"], "id", repeats=1)

@@ -196,3 +196,13 @@ def _(t):
         raise ValueError("the covariance is singular")
     x, y = F.col("a") - ma, F.col("b") - mb
     return e.select("event_id", ((x * x * vb - 2 * x * y * c + y * y * va) / det).alias("distance"))
+
+
+@query("seg16_personas", "SEG-16", f"WITH {_RFM}, m AS (SELECT median(frequency) AS f, median(monetary) AS v FROM rfm), x AS (SELECT customer, frequency / f AS a, monetary / v AS b FROM rfm, m) SELECT customer, CASE WHEN a >= 1.5 THEN 'devoted' WHEN a >= 1 THEN 'regular' WHEN a >= 0.5 THEN 'occasional' ELSE 'rare' END || ' / ' || CASE WHEN b >= 2 THEN 'top value' WHEN b >= 1 THEN 'good value' WHEN b >= 0.5 THEN 'fair value' ELSE 'small value' END AS persona FROM x")
+def _(t):
+    r = rfm(t)
+    f, v = ordering.quantile_list(r, "frequency", [0.5])[0], ordering.quantile_list(r, "monetary", [0.5])[0]
+    a, b = F.col("frequency") / f, F.col("monetary") / v
+    engagement = F.when(a >= 1.5, "devoted").when(a >= 1, "regular").when(a >= 0.5, "occasional").otherwise("rare")
+    value = F.when(b >= 2, "top value").when(b >= 1, "good value").when(b >= 0.5, "fair value").otherwise("small value")
+    return r.select("customer", F.concat_ws(" / ", engagement, value).alias("persona"))

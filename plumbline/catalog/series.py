@@ -138,3 +138,26 @@ def _(t):
     rows = s.select(fold.alias("fold"), "n", F.inline(models)).where("fold > 0 and p is not null")
     e = F.col("n") - F.col("p")
     return rows.groupBy("fold", "model").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(e)), 6).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"))
+
+
+@query("ts5_partial_autocorrelation", "TS-5")
+def _(t):
+    acf = [r["acf"] for r in S.autocorrelation(_counts(t), "i", "n", 24).orderBy("lag").collect()]  # 25 numbers
+    return t.events.limit(1).select(F.posexplode(F.array(*[F.lit(float(v)) for v in S.partial_autocorrelation(acf)])).alias("lag", "pacf"))
+
+
+_TREND = f"""WITH {_ALL}, w AS (SELECT i, n, CASE WHEN count(*) OVER x = 25 THEN (sum(n) OVER x - 0.5 * (first_value(n) OVER x + last_value(n) OVER x)) / 24 END AS trend FROM a WINDOW x AS (ORDER BY i RANGE BETWEEN 12 PRECEDING AND 12 FOLLOWING)),
+p AS (SELECT i % 24 AS phase, avg(n - trend) AS s FROM w GROUP BY 1), m AS (SELECT avg(s) AS m FROM p), d AS (SELECT i, n, trend, s - m AS seasonal, n - trend - (s - m) AS residual FROM w JOIN p ON i % 24 = phase, m)"""
+
+
+@query("ts9_decomposition", "TS-9", f"{_TREND} SELECT i, n, round(trend, 6)::DOUBLE AS trend, round(seasonal, 6)::DOUBLE + 0.0 AS seasonal, round(residual, 6)::DOUBLE + 0.0 AS residual FROM d")
+def _(t):
+    out = S.decomposed(_counts(t), "i", "n", 24)
+    return out.select("i", "n", F.round("trend", 6).alias("trend"), *[(F.round(c, 6) + 0.0).alias(c) for c in ("seasonal", "residual")])
+
+
+@query("ts11_band", "TS-11", f"{_TREND} SELECT i, n, n BETWEEN trend + seasonal - 5 AND trend + seasonal + 5 AS inside FROM d WHERE trend IS NOT NULL AND abs(abs(residual) - 5) > 1e-9")
+def _(t):
+    out = S.decomposed(_counts(t), "i", "n", 24).where(F.col("trend").isNotNull() & (F.abs(F.abs("residual") - 5) > 1e-9))
+    centre = F.col("trend") + F.col("seasonal")
+    return out.select("i", "n", F.col("n").between(centre - 5, centre + 5).alias("inside"))

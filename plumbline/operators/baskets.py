@@ -84,3 +84,21 @@ def completions(rows: DataFrame, found: DataFrame, k: int) -> DataFrame:
     best = new.groupBy("basket", "item").agg(F.max("lift").alias("lift"))
     top = best.groupBy("basket").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("lift")).alias("minus"), "item"))), 1, k).alias("t"))
     return top.select("basket", F.inline("t")).select("basket", "item", (-F.col("minus")).alias("lift"))
+
+
+def remeasured(found: DataFrame, late: DataFrame, least_lift: float) -> DataFrame:
+    """``found`` with late_n, late_lift and status: confirmed, degraded, or unmeasurable without late baskets of a side.
+
+    The late baskets are those of the vocabulary that the rules were mined with.
+    """
+    sides = found.select(F.col("antecedent").alias("s")).union(found.select("consequent")).union(found.select(F.array_sort(F.concat("antecedent", "consequent")))).distinct()
+    first = late.select("items", F.explode("items").alias("first"))
+    hits = first.join(sides.select("s", F.element_at("s", 1).alias("first")), "first").where(F.size(F.array_except("s", "items")) == 0)
+    counts = hits.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    total = late.count()
+    named = lambda column, n: counts.select(F.col("s").alias(column), F.col("n").alias(n))
+    out = found.withColumn("whole", F.array_sort(F.concat("antecedent", "consequent")))
+    out = out.join(named("antecedent", "na"), "antecedent", "left").join(named("consequent", "nc"), "consequent", "left").join(named("whole", "late_n"), "whole", "left").drop("whole")
+    lift = F.coalesce("late_n", F.lit(0)) * F.lit(float(total)) / (F.col("na") * F.col("nc"))
+    status = F.when(F.col("na").isNull() | F.col("nc").isNull(), "unmeasurable").when(lift >= least_lift, "confirmed").otherwise("degraded")
+    return out.withColumns({"late_lift": lift, "status": status, "late_n": F.coalesce("late_n", F.lit(0))}).drop("na", "nc")

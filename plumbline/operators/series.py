@@ -67,3 +67,30 @@ def autocorrelation(df: DataFrame, order: str, value: str, lags_: int) -> DataFr
     sums = both.groupBy("lag").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
     base = x.agg(F.sum(F.col("x") * F.col("x"))).first()[0]
     return sums.select(F.col("lag").cast("bigint").alias("lag"), (F.col("s") / F.lit(base)).alias("acf"), F.lit(1.96 / max(1, n) ** 0.5).alias("band"))
+
+
+def partial_autocorrelation(acf: Sequence[float]) -> list[float]:
+    """From autocorrelations 0, 1, ... (a short list), by the Durbin-Levinson recursion of Yule and Walker."""
+    out, phi, error = [1.0], [], 1.0
+    for k in range(1, len(acf)):
+        a = (acf[k] - sum(p * acf[k - 1 - j] for j, p in enumerate(phi))) / error if error > 0 else 0.0
+        phi = [p - a * q for p, q in zip(phi, reversed(phi))] + [a]
+        error *= 1 - a * a
+        out.append(a)
+    return out
+
+
+def decomposed(df: DataFrame, order: str, value: str, period: int) -> DataFrame:
+    """Adds trend (centred mean over a period), seasonal (mean of what is left, by phase, centred) and residual.
+
+    ``order`` is consecutive whole numbers; the trend is null where the window is not full.
+    """
+    half = period // 2
+    i = F.col(order)
+    weights = F.array(*[F.struct(F.lit(d).alias("d"), F.lit((0.5 if abs(d) == half and period % 2 == 0 else 1.0) / period).alias("w")) for d in range(-half, half + 1)])
+    spread = df.select(i.alias("j"), F.col(value).alias("y"), F.inline(weights)).groupBy((F.col("j") + F.col("d")).alias(order)).agg(F.sum(F.col("y") * F.col("w")).alias("trend"), F.count(F.lit(1)).alias("c"))
+    out = df.join(spread.where(F.col("c") == 2 * half + 1).drop("c"), order, "left")
+    phase = out.groupBy((i % period).alias("phase")).agg(F.avg(F.col(value) - F.col("trend")).alias("s"))
+    mean = phase.agg(F.avg("s")).first()[0] or 0.0
+    out = out.withColumn("phase", i % period).join(F.broadcast(phase), "phase").drop("phase")  # one row per phase
+    return out.withColumn("seasonal", F.col("s") - mean).drop("s").withColumn("residual", F.col(value) - F.col("trend") - F.col("seasonal"))
