@@ -42,25 +42,25 @@ def fit_frequency(train: DataFrame, column: str, normalise: bool = True) -> Fitt
     """Category -> its count, or share of the training rows."""
     n = train.count()
     c = F.count(F.lit(1)).cast("double")
-    return Fitted("frequency", (column,), train.groupBy(F.col(column).alias("k")).agg((c / F.lit(float(max(1, n))) if normalise else c).alias("v")))
+    return Fitted("frequency", (column,), train.groupBy(F.col(column).alias("__k")).agg((c / F.lit(float(max(1, n))) if normalise else c).alias("__v")))
 
 
 def _frequency(f: Fitted, df: DataFrame) -> DataFrame:
     c = f.columns[0]
-    out = df.join(f.learned, df[c].eqNullSafe(f.learned["k"]), "left").drop("k")
-    return out.withColumn(f"{c}_freq", F.coalesce("v", F.lit(0.0))).drop("v")
+    out = df.join(f.learned, df[c].eqNullSafe(f.learned["__k"]), "left").drop("__k")
+    return out.withColumn(f"{c}_freq", F.coalesce("__v", F.lit(0.0))).drop("__v")
 
 
 def fit_rare(train: DataFrame, column: str, least: float) -> Fitted:
     """The categories with at least this share of the rows that have one."""
     some = train.where(F.col(column).isNotNull())
     n = some.count()
-    return Fitted("rare", (column,), some.groupBy(F.col(column).alias("k")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least * n).select("k"))
+    return Fitted("rare", (column,), some.groupBy(F.col(column).alias("__k")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least * n).select("__k"))
 
 
 def _rare(f: Fitted, df: DataFrame) -> DataFrame:
     c = f.columns[0]
-    return df.join(f.learned, df[c] == f.learned["k"], "left").withColumn(c, F.coalesce("k", F.lit("__rare__"))).drop("k")
+    return df.join(f.learned, df[c] == f.learned["__k"], "left").withColumn(c, F.coalesce("__k", F.lit("__rare__"))).drop("__k")
 
 
 def fit_columns(train: DataFrame, kind: str, columns: Sequence[str]) -> Fitted:
@@ -95,24 +95,24 @@ def _columns(f: Fitted, df: DataFrame) -> DataFrame:
 
 def fit_mode(train: DataFrame, column: str) -> Fitted:
     """The most frequent value; ties go to the smallest."""
-    counts = train.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("k")).agg(F.count(F.lit(1)).alias("c"))
-    return Fitted("mode", (column,), counts.agg(F.min(F.struct((-F.col("c")).alias("c"), "k"))["k"].alias("k")))
+    counts = train.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__k")).agg(F.count(F.lit(1)).alias("c"))
+    return Fitted("mode", (column,), counts.agg(F.min(F.struct((-F.col("c")).alias("c"), "__k"))["__k"].alias("__k")))
 
 
 def _mode(f: Fitted, df: DataFrame) -> DataFrame:
-    return df.fillna({f.columns[0]: f.learned.first()["k"]})
+    return df.fillna({f.columns[0]: f.learned.first()["__k"]})
 
 
 def fit_one_hot(train: DataFrame, column: str, least: float = 0.0) -> Fitted:
     f = fit_rare(train, column, least)
-    return Fitted("one_hot", (column,), ordering.row_numbers(f.learned, [F.col("k")], "i"))
+    return Fitted("one_hot", (column,), ordering.row_numbers(f.learned, [F.col("__k")], "__i"))
 
 
 def _one_hot(f: Fitted, df: DataFrame) -> DataFrame:
     """The category's place (from 1) in the learned order: a sparse one-hot; 0 for unknown ones."""
     c = f.columns[0]
-    out = df.join(f.learned, df[c] == f.learned["k"], "left").drop("k")
-    return out.withColumn(f"{c}_index", F.coalesce("i", F.lit(0).cast("bigint"))).drop("i")
+    out = df.join(f.learned, df[c] == f.learned["__k"], "left").drop("__k")
+    return out.withColumn(f"{c}_index", F.coalesce("__i", F.lit(0).cast("bigint"))).drop("__i")
 
 
 APPLY = {
