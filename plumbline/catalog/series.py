@@ -161,3 +161,27 @@ def _(t):
     out = S.decomposed(_counts(t), "i", "n", 24).where(F.col("trend").isNotNull() & (F.abs(F.abs("residual") - 5) > 1e-9))
     centre = F.col("trend") + F.col("seasonal")
     return out.select("i", "n", F.col("n").between(centre - 5, centre + 5).alias("inside"))
+
+
+@query("win9_first_difference", "WIN-9", "WITH c AS (SELECT event_type, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1, 2) SELECT event_type, strftime(h, '%Y-%m-%d %H') AS at, n - lag(n) OVER (PARTITION BY event_type ORDER BY h) AS d FROM c")
+def _(t):
+    c = t.events.groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("event_type").orderBy("hour")
+    return c.select("event_type", _at(), (F.col("n") - F.lag("n").over(w)).alias("d"))
+
+
+@query("scr7_forecast_rows", "SCR-7", f"WITH {_SEASON}, md AS (SELECT median(n) AS m FROM a) SELECT i, round(0.5 * coalesce(y1, m) + 0.5 * coalesce(y24, m), 4)::DOUBLE AS forecast, round(0.5 * coalesce(y1, m) + 0.5 * coalesce(y24, m) - 6, 4)::DOUBLE AS low, round(0.5 * coalesce(y1, m) + 0.5 * coalesce(y24, m) + 6, 4)::DOUBLE AS high FROM s, md")
+def _(t):
+    s, _ = _season(t)
+    m = ordering.quantile_list(_counts(t), "n", [0.5])[0]
+    f = 0.5 * F.coalesce(F.col("y1").cast("double"), F.lit(m)) + 0.5 * F.coalesce(F.col("y24").cast("double"), F.lit(m))
+    return s.select("i", F.round(f, 4).alias("forecast"), F.round(f - 6, 4).alias("low"), F.round(f + 6, 4).alias("high"))
+
+
+@query("scr8_scenario_day", "SCR-8", "WITH c AS (SELECT date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1), p AS (SELECT hour(h) AS hour, avg(n) AS m FROM c GROUP BY 1), f AS (SELECT * FROM (VALUES ('clear', 1.0::DOUBLE), ('rain', 0.8::DOUBLE), ('storm', 0.5::DOUBLE)) v(scenario, factor)) SELECT scenario, round(sum(m * factor), 4) AS total, round(sum(m) - sum(m * factor), 4) AS loss FROM p, f GROUP BY 1")
+def _(t):
+    c = t.events.groupBy(F.date_trunc("hour", "ts").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    p = c.groupBy(F.hour("h").alias("hour")).agg(F.avg("n").alias("m"))
+    cases = F.array(*[F.struct(F.lit(k).alias("scenario"), F.lit(v).alias("factor")) for k, v in (("clear", 1.0), ("rain", 0.8), ("storm", 0.5))])
+    rows = p.select("m", F.inline(cases))
+    return rows.groupBy("scenario").agg(F.round(F.sum(F.col("m") * F.col("factor")), 4).alias("total"), F.round(F.sum("m") - F.sum(F.col("m") * F.col("factor")), 4).alias("loss"))

@@ -126,3 +126,23 @@ def _(t):
 @query("fe11_trip_features", "FE-11 FE-13", f"WITH {KEPT_SQL} SELECT l_orderkey, l_linenumber, l_partkey, round(fare / distance, 6) AS fare_per_unit, round(ln(1 + fare), 6) AS log_fare, pickup_borough = dropoff_borough AS same_borough, dow >= 6 AS weekend FROM kept")
 def _(t):
     return kept(t).select(*_KEY, F.round(F.col("fare") / F.col("distance"), 6).alias("fare_per_unit"), F.round(F.log1p("fare"), 6).alias("log_fare"), (F.col("pickup_borough") == F.col("dropoff_borough")).alias("same_borough"), (F.col("dow") >= 6).alias("weekend"))
+
+
+@query("fe10_branches", "FE-10 SPL-10", f"{_SPLIT}, f AS (SELECT pickup_zone AS z, count(*) * 1.0::DOUBLE / (SELECT count(*) FROM tr) AS v FROM tr GROUP BY 1), m AS (SELECT avg(fare) AS a, stddev_pop(fare) AS b FROM tr) SELECT l_orderkey, l_linenumber, l_partkey, round((fare - a) / b, 6) + 0.0 AS fare, round(coalesce(v, 0), 8) AS pickup_zone_freq FROM te LEFT JOIN f ON pickup_zone = z, m")
+def _(t):
+    """A numeric and a frequency branch side by side; columns in neither are left out."""
+    train, test = _halves(t)
+    train = train.where("pickup_zone <> 'NATION_5'")
+    S.require_absent(["fare", "pickup_zone"], ["duration", "dropoff"])
+    out = test
+    for f in (FE.fit_columns(train, "standard", ["fare"]), FE.fit_frequency(train, "pickup_zone")):
+        out = f.transform(out)
+    return out.select(*_KEY, (F.round("fare", 6) + 0.0).alias("fare"), F.round("pickup_zone_freq", 8).alias("pickup_zone_freq"))
+
+
+@query("fe12_customer_features", "FE-12 FE-14", "SELECT c_custkey, round(ln(1 + greatest(c_acctbal, 0)), 6) AS log_balance, CASE WHEN c_acctbal > 0 AND c_acctbal <= 3000 THEN 'low' WHEN c_acctbal > 3000 AND c_acctbal <= 7000 THEN 'mid' WHEN c_acctbal > 7000 AND c_acctbal <= 10000 THEN 'high' END AS band, (c_mktsegment IN ('BUILDING', 'MACHINERY'))::BIGINT AS industrial FROM customer")
+def _(t):
+    from plumbline.operators import relational as R
+
+    b = F.col("c_acctbal")
+    return t.customer.select("c_custkey", F.round(F.log1p(F.greatest(b, F.lit(0.0))), 6).alias("log_balance"), R.binned(b, [0, 3000, 7000, 10000], ["low", "mid", "high"]).alias("band"), R.membership_count([F.col("c_mktsegment")], ["BUILDING", "MACHINERY"]).alias("industrial"))

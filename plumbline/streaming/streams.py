@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,3 +30,11 @@ def hourly_counts(stream: DataFrame, ts: str, key: Sequence[str], late: str = "2
 def top_alerts(stream: DataFrame, order: Sequence[Column], budget: int, write: Callable[[DataFrame, int], None]):
     """A writer that hands each batch's first ``budget`` rows along ``order`` to ``write(rows, batch)``."""
     return stream.writeStream.foreachBatch(lambda batch, number: write(batch.orderBy(*order).limit(budget), number))
+
+
+def collected(stream: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Runs an appending stream over what has arrived so far into a new table of ``folder``, and reads it."""
+    path = f"{folder}/stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
