@@ -85,11 +85,11 @@ class EliasFano:
         return out
 
 
-def _quantised(x: np.ndarray) -> tuple[bytes, float, float]:
+def quantised(x: np.ndarray) -> tuple[np.ndarray, float, float]:
     """16-bit codes, and the value of code 0 and of a step."""
     lo, hi = (float(x.min()), float(x.max())) if len(x) else (0.0, 0.0)
     step = (hi - lo) / 65535 or 1.0
-    return np.round((x - lo) / step).astype("<u2").tobytes(), lo, step
+    return np.round((x - lo) / step).astype("<u2"), lo, step
 
 
 class Trie:
@@ -108,11 +108,11 @@ class Trie:
         rank = np.searchsorted(context_ids, first)
         pointers = np.concatenate(([0], np.cumsum(np.bincount(rank, minlength=len(context_ids)))))
         relative = rank.astype(np.uint64) * np.uint64(max(1, len(words))) + second.astype(np.uint64)
-        p, p0, p1 = _quantised(log_p)
-        b, b0, b1 = _quantised(backoff)
+        p, p0, p1 = quantised(log_p)
+        b, b0, b1 = quantised(backoff)
         parts = [EliasFano.encode(x) for x in (words, context_ids, pointers, relative)]
         head = struct.pack("<2Q4d", len(context_ids), len(log_p), p0, p1, b0, b1)
-        return head + b"".join(parts) + b + p
+        return head + b"".join(parts) + b.tobytes() + p.tobytes()
 
     def __init__(self, memory: memoryview) -> None:
         n_context, n_pair, *self.scale = struct.unpack_from("<2Q4d", memory, 0)

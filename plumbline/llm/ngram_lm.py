@@ -7,17 +7,18 @@ first word's back-off weight times the second word's own probability is exactly
 
 The corpus is worked on in blocks of a few million tokens, each with a dictionary of its own:
 
-1. documents are cut and coded into blocks, written once to the shared folder;
+1. documents are cut and coded into blocks, written once to the shared folder, bucketed by block,
+   so that what comes back to the blocks is joined without moving them;
 2. each block sends its words' counts to shards by word; a shard adds them up over all blocks,
-   and sends the totals back;
+   numbers the words, and sends numbers and totals back;
 3. each block sends its distinct pairs, with their counts in training and the totals of their
-   words, to shards by pair; a shard adds them up, builds its trie, writes it to a file, maps
-   that into memory, and answers the pairs of every block from it;
-4. each block adds up the answers by document.
+   words, to shards by pair; a shard adds them up, builds its trie, writes it to a file, maps that
+   into memory, scores every block's pairs from it, and sends the scores back;
+4. each block adds up its tokens' scores by document.
 
 All arrays that move are packed, so a shuffle has one row for each (block, shard).  Shards are by
-hash, and their number follows the data, so that one holds a bounded number of entries; a
-frequent word or pair comes once from each block.  Nothing but totals is on the driver.  The
+hash, and their number follows the data, so that one holds a bounded number of entries; of a
+frequent word or pair each block sends one entry.  Nothing but totals is on the driver.  The
 tries stay in the result of step 3 (``tries``).
 
 Edge cases: a null or empty text is its end token alone; rows whose ``train`` is null are not
@@ -32,6 +33,7 @@ import io
 import mmap
 import os
 import tempfile
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -42,12 +44,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import quoted, stored
-from plumbline.llm.elias_fano import Trie
+from plumbline.llm.common import quoted, shared_folder, stored
+from plumbline.llm.elias_fano import Trie, quantised
 
-BLOCK_TOKENS = 4_000_000
-#: Entries of a shard, about.
-SHARD_WORDS, SHARD_PAIRS = 1_000_000, 2_000_000
+BLOCK_TOKENS = 3_000_000
+#: Dictionary entries of a word shard, and tokens of a pair shard, about.
+SHARD_WORDS, SHARD_TOKENS = 1_000_000, 2_000_000
 LEAST_SHARDS = 12
 MU = 50.0
 ADD = 0.1
@@ -59,17 +61,19 @@ WORDS, PAIRS, TRIE = 0, 1, 2
 
 
 def pack(**arrays: np.ndarray) -> bytes:
+    """Arrays in one compressed value; bytes of the same place side by side, which compress better."""
     import zstandard
 
     out = io.BytesIO()
-    np.savez(out, **arrays)
+    np.savez(out, **{f"{k}:{v.dtype.str}": np.ascontiguousarray(v).view(np.uint8).reshape(-1, v.itemsize).T.copy() for k, v in arrays.items()})
     return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
 
 
 def unpack(data: bytes) -> dict[str, np.ndarray]:
     import zstandard
 
-    return dict(np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(data)), allow_pickle=False))
+    found = np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(data)), allow_pickle=False)
+    return {k.split(":")[0]: np.ascontiguousarray(found[k].T).view(k.split(":")[1]).ravel() for k in found.files}
 
 
 def _slim(x: np.ndarray) -> np.ndarray:
@@ -78,6 +82,15 @@ def _slim(x: np.ndarray) -> np.ndarray:
     return x.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """A sorted array as its first element and the steps from there."""
+    return _slim(np.diff(x.astype(np.uint64), prepend=np.uint64(0)))
+
+
+def _sums(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=np.uint64)
+
+
 class _Block:
     """Documents being coded."""
 
@@ -103,18 +116,20 @@ class _Block:
         import xxhash
 
         tokens, lengths, train = np.concatenate(self.tokens), np.array(self.lengths), np.array(self.train)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
-        counts = np.bincount(tokens[np.repeat(train, lengths)], minlength=len(hashes))
-        payload = pack(h=hashes, c=_slim(counts), t=_slim(tokens), l=_slim(lengths), train=train)
-        return [pa.array([number], pa.int64()), pa.array([self.ids], pa.list_(kind)), pa.array([payload], pa.binary()), pa.array([len(hashes)], pa.int64()), pa.array([self.n], pa.int64())]
+        hashes, place = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words)), return_inverse=True)
+        counts = np.bincount(place[tokens[np.repeat(train, lengths)]], minlength=len(hashes))
+        words, payload = pack(h=hashes, c=_slim(counts)), pack(t=_slim(tokens), p=_slim(place), l=_slim(lengths), train=train)
+        return [
+            pa.array([number], pa.int64()), pa.array([self.ids], pa.list_(kind)), pa.array([words], pa.binary()), pa.array([payload], pa.binary()),
+            pa.array([len(hashes)], pa.int64()), pa.array([self.n], pa.int64())]
 
 
 def code(docs: DataFrame, train: Column, doc_id: str, text: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Step 1: (block, ids, payload, n_words, n_tokens)."""
+    """Step 1: (block, ids, words, payload, n_words, n_tokens); words in order of their hashes."""
     rows = docs.select(quoted(doc_id).alias("id"), quoted(text).alias("t"), F.coalesce(train, F.lit(False)).alias("train"))
     schema = T.StructType([
         T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(rows.schema["id"].dataType)),
-        T.StructField("payload", T.BinaryType()), T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
+        T.StructField("words", T.BinaryType()), T.StructField("payload", T.BinaryType()), T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -131,7 +146,11 @@ def code(docs: DataFrame, train: Column, doc_id: str, text: str, block_tokens: i
         if block.ids:
             yield give()
 
-    return stored(rows.mapInArrow(run, schema), "lm-blocks")
+    spark, name = docs.sparkSession, f"lm_blocks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = rows.mapInArrow(run, schema).write.format("parquet").option("compression", "none").option("path", f"{shared_folder(spark)}/{name}")
+    writer.bucketBy(buckets, "block").saveAsTable(name)
+    return spark.table(name)
 
 
 def _moved(rows: list[tuple]) -> pa.Table:
@@ -139,95 +158,101 @@ def _moved(rows: list[tuple]) -> pa.Table:
 
 
 def _word_shards(h: np.ndarray, shards: int) -> np.ndarray:
-    return (h % np.uint64(shards)).astype(np.int64)
+    """Ranges of the hash, so that a block's words of one shard are side by side."""
+    return (h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
 
 
-def _pair_shards(h1: np.ndarray, h2: np.ndarray, shards: int) -> np.ndarray:
-    mixed = (h1 * np.uint64(0x9E3779B97F4A7C15) + h2) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return ((mixed >> np.uint64(29)) % np.uint64(shards)).astype(np.int64)
+def _pair_shards(one: np.ndarray, two: np.ndarray, shards: int) -> np.ndarray:
+    mixed = (one * np.uint64(0x9E3779B97F4A7C15) + two + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return ((mixed ^ mixed >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(shards)
 
 
 def word_totals(blocks: DataFrame, shards: int) -> DataFrame:
-    """Step 2: for each (block, shard) the totals of the block's words, and v and n of the shard."""
+    """Step 2: for each (block, shard) the block's words' numbers and totals, and v and n of the shard.
+
+    A word's number is its shard, times 2 ** 32, plus its place there: in order of the hash.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, payload in zip(b.column(0).to_pylist(), b.column(1)):
-                x = unpack(payload.as_py())
-                of = _word_shards(x["h"], shards)
+            for block, words in zip(b.column(0).to_pylist(), b.column(1)):
+                x = unpack(words.as_py())
+                ends = np.searchsorted(_word_shards(x["h"], shards), np.arange(shards + 1, dtype=np.uint64))
                 for s in range(shards):
-                    if (mine := of == s).any():
-                        yield from _moved([(block, s, WORDS, pack(h=x["h"][mine], c=x["c"][mine]), 0, 0)]).to_batches()
+                    if ends[s] < ends[s + 1]:
+                        part = slice(ends[s], ends[s + 1])
+                        yield from _moved([(block, s, WORDS, pack(h=x["h"][part], c=x["c"][part]), 0, 0)]).to_batches()
 
     def add(table: pa.Table) -> pa.Table:
         got = [unpack(p.as_py()) for p in table["payload"]]
         h, inverse = np.unique(np.concatenate([x["h"] for x in got]), return_inverse=True)
         total = np.bincount(inverse, np.concatenate([x["c"] for x in got]), len(h)).astype(np.uint64)
-        cuts = np.cumsum([len(x["h"]) for x in got])[:-1]
         shard = table["shard"][0].as_py()
         v, n = int((total > 0).sum()), int(total.sum())
-        parts = np.split(inverse, cuts)
+        parts = np.split(inverse, np.cumsum([len(x["h"]) for x in got])[:-1])
         return _moved([
-            (block, shard, WORDS, pack(c=_slim(total[p])), v if i == 0 else 0, n if i == 0 else 0)
+            (block, shard, WORDS, pack(c=_slim(total[p]), g=_steps(p)), v if i == 0 else 0, n if i == 0 else 0)
             for i, (block, p) in enumerate(zip(table["block"].to_pylist(), parts))])
 
-    sent = blocks.select("block", "payload").mapInArrow(send, _MOVED)
+    sent = blocks.select("block", "words").mapInArrow(send, _MOVED)
     return stored(sent.groupBy("shard").applyInArrow(add, _MOVED), "lm-words")
 
 
-def _totals(x: dict, answers: pa.Table, shards: int) -> np.ndarray:
-    """The block's words' totals, put together from the shards'."""
-    of, out = _word_shards(x["h"], shards), np.zeros(len(x["h"]), np.uint64)
-    for shard, kind, payload in zip(answers["shard"].to_pylist(), answers["kind"].to_pylist(), answers["payload"]):
-        if kind == WORDS:
-            out[of == shard] = unpack(payload.as_py())["c"]
-    return out
-
-
-def _pairs(x: dict) -> tuple[np.ndarray, np.ndarray]:
-    """The block's pairs, one for each token: (first << 32 | second), and whether they are learned from."""
-    t, lengths = x["t"].astype(np.uint64), x["l"].astype(np.int64)
-    first = np.concatenate((np.zeros(1, np.uint64), t[:-1]))  # a text's first word follows the end token, 0
-    return first << np.uint64(32) | t, np.repeat(x["train"], lengths)
+def _numbered(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The block's words' numbers and totals, put together from the shards'."""
+    rows = sorted(zip(answers["shard"].to_pylist(), answers["payload"].to_pylist()))
+    parts = [(shard, unpack(p)) for shard, p in rows]
+    numbers = np.concatenate([_sums(x["g"]) + np.uint64(shard << 32) for shard, x in parts])
+    return numbers, np.concatenate([x["c"].astype(np.uint64) for _, x in parts])
 
 
 def _log_own(c: np.ndarray, n: int, v: int) -> np.ndarray:
     return np.log10((c + ADD) / (n + ADD * (v + 1)))
 
 
-def pair_answers(blocks: DataFrame, words: DataFrame, n: int, v: int, word_shards: int, shards: int) -> DataFrame:
-    """Step 3: for each (block, shard) the log10 probabilities of the block's pairs; and the tries."""
+def _requests(x: dict, numbers: np.ndarray, shards: int):
+    """The block's pairs as places of their words: distinct ones, each token's, the order by shard, and its ends."""
+    place = x["p"].astype(np.uint64)
+    second = place[x["t"]]
+    first = np.concatenate((place[:1], second[:-1]))  # a text's first word follows the end token, the block's first word
+    distinct, pair = np.unique(first << np.uint64(32) | second, return_inverse=True)
+    one, two = (distinct >> np.uint64(32)).astype(np.int64), (distinct & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    of = _pair_shards(numbers[one], numbers[two], shards)
+    order = np.argsort(of, kind="stable")
+    return one, two, pair, order, np.searchsorted(of[order], np.arange(shards + 1, dtype=np.uint64))
+
+
+def pair_scores(blocks: DataFrame, words: DataFrame, n: int, v: int, shards: int) -> DataFrame:
+    """Step 3: for each (block, shard) the quantised log10 probabilities of the block's pairs; and the tries."""
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        x = unpack(left["payload"][0].as_py())
-        totals = _totals(x, right, word_shards)
-        pairs, train = _pairs(x)
-        distinct, inverse = np.unique(pairs, return_inverse=True)
-        seen = np.bincount(inverse, train, len(distinct)).astype(np.uint64)
-        one, two = (distinct >> np.uint64(32)).astype(np.int64), (distinct & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        of = _pair_shards(x["h"][one], x["h"][two], shards)
-        order = np.argsort(of, kind="stable")
+        x, (numbers, totals) = unpack(left["payload"][0].as_py()), _numbered(right)
+        one, two, pair, order, ends = _requests(x, numbers, shards)
+        learned = np.bincount(pair[np.repeat(x["train"], x["l"])], minlength=len(one))
+        del pair
         rows = []
-        for s, part in zip(range(shards), np.split(order, np.searchsorted(of[order], np.arange(1, shards)))):
-            if len(part):
+        for s in range(shards):
+            if ends[s] < ends[s + 1]:
+                part = order[ends[s] : ends[s + 1]]
                 used, both = np.unique(np.concatenate((one[part], two[part])), return_inverse=True)
                 rows.append((left["block"][0].as_py(), s, PAIRS, pack(
-                    h=x["h"][used], c=_slim(totals[used]), a=_slim(both[: len(part)]), b=_slim(both[len(part) :]), n=_slim(seen[part])), 0, 0))
+                    w=_steps(numbers[used]), c=_slim(totals[used]), a=_steps(both[: len(part)]), b=_slim(both[len(part) :]), n=_slim(learned[part])), 0, 0))
         return _moved(rows)
 
     def answer(table: pa.Table) -> pa.Table:
         got = [unpack(p.as_py()) for p in table["payload"]]
-        words_, inverse = np.unique(np.concatenate([x["h"] for x in got]), return_inverse=True)
+        words_, inverse = np.unique(np.concatenate([_sums(x["w"]) for x in got]), return_inverse=True)
         own = np.zeros(len(words_), np.float64)
         own[inverse] = np.concatenate([x["c"] for x in got])
-        starts = np.cumsum([0, *[len(x["h"]) for x in got]])
-        keys = [inverse[s + x["a"].astype(np.int64)].astype(np.uint64) << np.uint64(32) | inverse[s + x["b"].astype(np.int64)].astype(np.uint64) for s, x in zip(starts, got)]
+        starts = np.cumsum([0, *[len(x["w"]) for x in got]])
+        keys = [inverse[s + _sums(x["a"]).astype(np.int64)].astype(np.uint64) << np.uint64(32) | inverse[s + x["b"].astype(np.int64)].astype(np.uint64) for s, x in zip(starts, got)]
         distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
         counts = np.bincount(back, np.concatenate([x["n"] for x in got]), len(distinct))
+        parts = np.split(back, np.cumsum([len(k) for k in keys])[:-1])
+        del got, keys, inverse
         one, two = (distinct >> np.uint64(32)).astype(np.int64), (distinct & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        log_own = _log_own(own, n, v)
-        learned = counts > 0
-        # Every context that occurs in training has a back-off weight, with successors here or not.
+        log_own, learned = _log_own(own, n, v), counts > 0
+        # Every context of the shard that occurs in training has a back-off weight.
         contexts = np.unique(one[own[one] > 0])
         p = (counts[learned] + MU * 10 ** log_own[two[learned]]) / (own[one[learned]] + MU)
         data = Trie.encode(words_, one[learned], two[learned], np.log10(p), contexts, np.log10(MU / (own[contexts] + MU)))
@@ -237,11 +262,11 @@ def pair_answers(blocks: DataFrame, words: DataFrame, n: int, v: int, word_shard
             with mmap.mmap(f.fileno(), os.fstat(f.fileno()).st_size, access=mmap.ACCESS_READ) as mapped:
                 view = memoryview(mapped)
                 trie = Trie(view)
-                found = trie.score(words_[one], words_[two], log_own[two]).astype("<f4")
+                codes, low, step = quantised(trie.score(words_[one], words_[two], log_own[two]))
                 del trie
                 view.release()
-        shard, cuts = table["shard"][0].as_py(), np.cumsum([len(k) for k in keys])[:-1]
-        rows = [(block, shard, PAIRS, pack(p=found[part]), 0, 0) for block, part in zip(table["block"].to_pylist(), np.split(back, cuts))]
+        shard = table["shard"][0].as_py()
+        rows = [(block, shard, PAIRS, pack(p=codes[part], q=np.array([low, step])), 0, 0) for block, part in zip(table["block"].to_pylist(), parts)]
         return _moved([*rows, (-1, shard, TRIE, data, 0, 0)])
 
     sent = blocks.select("block", "payload").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(send, _MOVED)
@@ -255,7 +280,7 @@ def tries(answers: DataFrame) -> DataFrame:
 
 def score(
     docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS,
-    shard_words: int = SHARD_WORDS, shard_pairs: int = SHARD_PAIRS,
+    shard_words: int = SHARD_WORDS, shard_tokens: int = SHARD_TOKENS,
 ) -> DataFrame:
     """Learns from the rows where ``train`` holds, and scores all rows.
 
@@ -263,36 +288,30 @@ def score(
     """
     blocks = code(docs, train, doc_id, text, block_tokens)
     size = blocks.agg(F.sum("n_words").alias("w"), F.sum("n_tokens").alias("t")).first()
-    word_shards = max(LEAST_SHARDS, -(-(size["w"] or 0) // shard_words))
-    pair_shards = max(LEAST_SHARDS, -(-(size["t"] or 0) // shard_pairs))
-    words = word_totals(blocks, word_shards)
+    words = word_totals(blocks, max(LEAST_SHARDS, -(-(size["w"] or 0) // shard_words)))
     total = words.agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
     v, n = total["v"] or 0, total["n"] or 0
-    pairs = pair_answers(blocks, words, n, v, word_shards, pair_shards)
-    answers = words.unionByName(pairs.where(F.col("kind") == PAIRS))
-    kind = blocks.schema["ids"].dataType.elementType
+    pair_shards = max(LEAST_SHARDS, -(-(size["t"] or 0) // shard_tokens))
+    pairs = pair_scores(blocks, words, n, v, pair_shards).where(F.col("kind") == PAIRS)
     schema = T.StructType([
-        T.StructField("id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
+        T.StructField("id", blocks.schema["ids"].dataType.elementType), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
         T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        x = unpack(left["payload"][0].as_py())
-        totals = _totals(x, right, word_shards)
-        pairs_, _ = _pairs(x)
-        distinct, inverse = np.unique(pairs_, return_inverse=True)
-        one, two = (distinct >> np.uint64(32)).astype(np.int64), (distinct & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        of, found = _pair_shards(x["h"][one], x["h"][two], pair_shards), np.zeros(len(distinct))
-        for shard, what, payload in zip(right["shard"].to_pylist(), right["kind"].to_pylist(), right["payload"]):
-            if what == PAIRS:
-                found[of == shard] = unpack(payload.as_py())["p"]
-        t, lengths = x["t"].astype(np.int64), x["l"].astype(np.int64)
+        kinds = np.array(right["kind"])
+        x, (numbers, totals) = unpack(left["payload"][0].as_py()), _numbered(right.filter(pa.array(kinds == WORDS)))
+        one, _, pair, order, ends = _requests(x, numbers, pair_shards)
+        found = np.zeros(len(one))
+        answers = right.filter(pa.array(kinds == PAIRS))
+        for s, payload in zip(answers["shard"].to_pylist(), answers["payload"]):
+            y = unpack(payload.as_py())
+            found[order[ends[s] : ends[s + 1]]] = y["q"][0] + y["q"][1] * y["p"]
+        own, lengths = totals[x["p"]], x["l"].astype(np.int64)  # by the block's own codes
         at = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        base = np.add.reduceat(_log_own(totals, n, v)[t], at)
-        known = np.add.reduceat((totals[t] > 0).astype(np.int64), at)
-        scored = np.add.reduceat(found[inverse], at)
-        ids = left["ids"].combine_chunks().flatten()
+        add = lambda values: pa.array(np.add.reduceat(values, at))
         return pa.Table.from_arrays([
-            ids, pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), n, np.int64)), pa.array(base), pa.array(scored)],
-            names=schema.names)
+            left["ids"].combine_chunks().flatten(), pa.array(lengths), add((own > 0).astype(np.int64)[x["t"]]), pa.array(np.full(len(lengths), n, np.int64)),
+            add(_log_own(own, n, v)[x["t"]]), add(found[pair])], names=schema.names)
 
-    return blocks.select("block", "ids", "payload").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
+    back = words.unionByName(pairs).groupBy("block")
+    return blocks.select("block", "ids", "payload").groupBy("block").cogroup(back).applyInArrow(finish, schema)

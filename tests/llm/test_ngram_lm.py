@@ -74,7 +74,7 @@ def test_query_equals_brute_force(spark, sf_dir):
 
 def test_blocks_and_shards_do_not_matter(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(5)
-    got = ngram_lm.score(docs, train(), block_tokens=5000, shard_words=500, shard_pairs=900)
+    got = ngram_lm.score(docs, train(), block_tokens=5000, shard_words=500, shard_tokens=900)
     same(order(got), brute([(r["doc_id"], r["text"]) for r in docs.collect()]))
 
 
