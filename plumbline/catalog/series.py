@@ -93,9 +93,9 @@ def _(t):
 @query("ts8_interpolated", "TS-8", f"""WITH {_GRID}, x AS (SELECT *, epoch(hour)::DOUBLE AS e, CASE WHEN v IS NOT NULL THEN epoch(hour)::DOUBLE END AS ev FROM h),
 y AS (SELECT *, last_value(ev IGNORE NULLS) OVER a AS x0, last_value(v IGNORE NULLS) OVER a AS y0, first_value(ev IGNORE NULLS) OVER b AS x1, first_value(v IGNORE NULLS) OVER b AS y1 FROM x
   WINDOW a AS (PARTITION BY event_type ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY event_type ORDER BY hour ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT {_KEY}, round(coalesce(v, CASE WHEN x1 > x0 THEN y0 + (y1 - y0) * (e - x0) / (x1 - x0) ELSE y0 END, y0, y1), 4) AS v FROM y""")
+SELECT {_KEY}, round(coalesce(v, CASE WHEN x1 > x0 THEN y0 + (y1 - y0) * (e - x0) / (x1 - x0) ELSE y0 END, y0, y1), 6) AS v FROM y""")
 def _(t):
-    return S.interpolated(grid(t), "v", ["event_type"], "filled").select("event_type", _at(), F.round("filled", 4).alias("v"))
+    return S.interpolated(grid(t), "v", ["event_type"], "filled").select("event_type", _at(), F.round("filled", 6).alias("v"))
 
 
 @query("ts12_recent", "TS-12", "WITH c AS (SELECT date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1) SELECT strftime(h, '%Y-%m-%d %H') AS at, n FROM c WHERE h > (SELECT max(h) FROM c) - INTERVAL 336 HOUR")
