@@ -22,6 +22,10 @@ def local_session(cores: str = "8", partitions: int = 8, name: str = "plumbline"
     return spark
 
 
+#: Scratch folders of local applications without a checkpoint folder.
+_SCRATCH: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
@@ -32,8 +36,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="plumbline-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        application = spark.sparkContext.applicationId
+        if application not in _SCRATCH:
+            _SCRATCH[application] = tempfile.mkdtemp(prefix="plumbline-checkpoint-")
+        named = _SCRATCH[application]
     return named.rstrip("/")
 
 
