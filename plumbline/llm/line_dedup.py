@@ -1,7 +1,8 @@
 """Line deduplication by site-relative frequency.  DataFrame functions only.
 
 Pages are grouped by host.  For every line, the number of the host's pages that contain it is
-divided by the host's pages; lines above ``ratio`` are boilerplate and are dropped.  Counting
+divided by the host's pages; lines above ``ratio``, on ``least_pages`` pages or more, are boilerplate
+and are dropped.  Counting
 is by (host, line hash), so a hot host spreads over all tasks and a common line is summed
 before the shuffle.  A host has at most (mean distinct lines per page) / ratio boilerplate
 lines, so its list stays short; the lists are broadcast while their size is within a bound
@@ -35,12 +36,13 @@ def _has_text(line: Column) -> Column:
 
 def boilerplate(
     pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
+    least_pages: int = 1,
 ) -> DataFrame:
     """(host, line_hash, pages, host_pages) of every boilerplate line."""
     page = pages.select(quoted(host).alias("host"), F.coalesce(quoted(text), F.lit("")).alias("t"))
     hashes = F.array_distinct(F.transform(F.filter(_lines(F.col("t")), _has_text), lambda x: F.xxhash64(x)))
     each = page.select("host", F.explode(hashes).alias("line_hash"))
-    least = max(1, int(min_pages * ratio))  # a line on fewer pages is under the ratio on every judged host
+    least = max(1, least_pages, int(min_pages * ratio))  # a line on fewer pages is under the ratio on every judged host
     counts = each.groupBy("host", "line_hash").agg(F.count(F.lit(1)).alias("pages"))
     counts = counts.where(F.col("pages") >= least).withColumn("salt", F.pmod("line_hash", F.lit(SALTS)).cast("int"))
     totals = page.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages")).where(F.col("host_pages") >= min_pages)
@@ -53,13 +55,14 @@ def boilerplate(
 def drop_lines(
     pages: DataFrame, host: str = "source", text: str = "text", out: str = "text", ratio: float = RATIO,
     min_pages: int = MIN_PAGES, counts: bool = False, broadcast_bytes: int = BROADCAST_BYTES,
+    least_pages: int = 1,
 ) -> DataFrame:
     """``pages`` with ``out``: the text without its host's boilerplate lines.
 
     With ``counts``, columns n_lines and n_dropped are added.  Columns of these names that
     ``pages`` already has are replaced.
     """
-    lines = stored(boilerplate(pages, host, text, ratio, min_pages), "boilerplate")
+    lines = stored(boilerplate(pages, host, text, ratio, min_pages, least_pages), "boilerplate")
     h, salt, drop, split, kept = (fresh(f"__{n}", pages) for n in ("host", "salt", "drop", "lines", "kept"))
     lists = lines.groupBy(F.col("host").alias(h)).agg(F.collect_list("line_hash").alias(drop))
     if small(lines, F.lit(16), broadcast_bytes):

@@ -52,3 +52,14 @@ def test_awkward_rows(spark):
     assert got == expected
     assert line_dedup.drop_lines(nothing(spark)).count() == 0
     assert docs.where(F.col("text").isNull()).count() == out.where(F.col("text").isNull()).count()
+
+
+def test_stage_drops_what_a_source_repeats(spark):
+    """A line on 2 % of a source's pages goes, and one that chance repeats stays."""
+    import corpus_pipeline
+
+    texts = [f"text {i}\nand more {i}" + ("\nRead the terms" if i % 50 == 0 else "") + ("\nby chance" if i < 3 else "") for i in range(500)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r["text"] for r in dict(corpus_pipeline.STAGES)["lines"](spark, docs, "").collect()]
+    assert sum("Read the terms" in t for t in got) == 0
+    assert sum("by chance" in t for t in got) == 3 and sum("and more" in t for t in got) == 500
