@@ -46,19 +46,26 @@ SEED = 42
 _LOW = (1 << SEGMENT) - 1
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The SimHash of a text: A-Z lower-cased, words between ASCII white space, XXH64 of shingles."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle of a text: A-Z lower-cased, words between ASCII white space."""
     import xxhash
 
     words = (text or "").encode().lower().split()  # bytes: only A-Z are lowered, only ASCII splits
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-1])).tolist()
     last = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, last)], dtype="<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, last)], dtype="<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The SimHash of a text."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8)
@@ -143,6 +150,18 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def named(marks: DataFrame, edges: DataFrame) -> DataFrame:
+    """``marks`` (id, fp and others) with root and component_id by the links between their fp."""
+    nodes = stored(marks.groupBy("fp").agg(F.min("id").alias("rep")), "fingerprint-reps")
+    roots = stored(components(edges), "simhash-roots")
+    found = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
+        "fp", "rep", F.coalesce("root", "fp").alias("root"))
+    found = stored(found, "simhash-named")
+    least = stored(found.groupBy("root").agg(F.min("rep").alias("component_id")), "simhash-least")
+    by_fp = stored(found.join(least, "root").select("fp", "root", "component_id"), "simhash-by-fp")
+    return marks.join(by_fp, "fp")
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET,
 ) -> DataFrame:
@@ -151,16 +170,9 @@ def near_duplicates(
     ``component_id`` is the least id of the documents reachable by links, itself included.
     """
     marks = stored(fingerprints(docs, doc_id, text, shingle), "fingerprints")
-    reps = marks.groupBy("fp").agg(F.min("id").alias("rep"))
-    nodes = stored(reps, "fingerprint-reps")
-    roots = stored(components(links(nodes.select("fp"), bucket)), "simhash-roots")
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "rep", F.coalesce("root", "fp").alias("root"))
-    named = stored(named, "simhash-named")
-    least = stored(named.groupBy("root").agg(F.min("rep").alias("component_id")), "simhash-least")
-    by_fp = stored(named.join(least, "root").select("fp", "component_id"), "simhash-by-fp")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return marks.join(by_fp, "fp").select("id", "text_hash", "fp", digits.alias("fingerprint"), "component_id")
+    edges = links(stored(marks.select("fp").distinct(), "fingerprint-nodes"), bucket)
+    return named(marks, edges).select("id", "text_hash", "fp", digits.alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(
@@ -173,7 +185,12 @@ def drop_near_duplicates(
     """
     found = near_duplicates(docs, doc_id, text, shingle, bucket)
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("?"), F.col("fingerprint")))
-    best = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("text_hash"))).alias("k"))
+    return keep_one(docs, found.withColumn("g", group), doc_id, text)
+
+
+def keep_one(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One document of each group g of ``found`` (id, text_hash, g)."""
+    best = found.groupBy("g").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("text_hash"))).alias("k"))
     best = best.select(F.col("k.id").alias("k_id"), F.col("k.text_hash").alias("k_hash"))
     same = found.groupBy(F.col("id").alias("s_id"), F.col("text_hash").alias("s_hash")).agg(F.count(F.lit(1)).alias("n"))
     rows = fresh("__rows", docs)
