@@ -10,6 +10,9 @@ least 1 % of all words, so there are at most 100, and any other language, null i
 compared with all documents together.  The references are therefore a bounded table, and are
 literals of the plan.
 
+A text is far by its words beyond ``max_word``, which overuse reaches, or if it has fewer common words
+than the language and over ``lack_share`` of the distance of a text with none of them.
+
 The distances are judged only from ``min_words`` words on: short texts vary too much.
 
 Edge cases: null and empty texts have no words, distances null, and fail the base rules;
@@ -31,6 +34,8 @@ MIN_LANGUAGE_SHARE = 0.01
 MIN_WORDS = 30
 MAX_CLASS_DISTANCE = 0.3
 MAX_WORD_DISTANCE = 0.45
+#: A text lacks the common words from this share of the distance that a text with none of them has.
+LACK_SHARE = 0.9
 WINDOW = 8
 
 
@@ -142,6 +147,7 @@ def repeated_words(w: Column, window: int = WINDOW) -> tuple[list[tuple[str, Col
 def judge(
     docs: DataFrame, refs: dict | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
     min_words: int = MIN_WORDS, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE,
+    lack_share: float = LACK_SHARE,
 ) -> DataFrame:
     """One row per row of ``docs``: id, lang, the counts, base_failed, class_distance, word_distance, kept."""
     refs = references(docs, text, lang) if refs is None else refs
@@ -185,15 +191,21 @@ def judge(
         rest = lambda a: F.concat(a, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(a, F.lit(0.0), lambda s, x: s + x))))
         word_distance = jensen_shannon(
             rest(F.col("_own")), for_lang(lambda r: _literals([*r.words.values(), max(0.0, 1 - sum(r.words.values()))])))
+        shares_of = lambda r: [*r.words.values(), max(0.0, 1 - sum(r.words.values()))]
+        none = for_lang(lambda r: jensen_shannon(_literals([*[0.0] * len(r.words), 1.0]), _literals(shares_of(r))))
+        covered = F.aggregate("_own", F.lit(0.0), lambda s, x: s + x)
+        lacks = (covered < for_lang(lambda r: F.lit(float(sum(r.words.values()))))) & (word_distance > lack_share * none)
     else:
+        lacks = F.lit(False)
         class_distance = word_distance = F.lit(None).cast("double")
     out = out.withColumns({
         "word_chars": chars,
         "base_failed": base_failed,
         "class_distance": F.when(F.col("n_words") > 0, class_distance),
         "word_distance": F.when(F.col("n_words") > 0, word_distance),
+        "_lacks": lacks,
     })
-    far = (F.col("n_words") >= min_words) & ((F.col("class_distance") > max_class) | (F.col("word_distance") > max_word))
+    far = (F.col("n_words") >= min_words) & ((F.col("class_distance") > max_class) | (F.col("word_distance") > max_word) | F.col("_lacks"))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).select(
         "id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         "class_distance", "word_distance", "kept")

@@ -95,3 +95,11 @@ def test_awkward_rows(spark):
     assert out.where("kept is null").count() == 0
     assert quality_rules.judge(nothing(spark)).count() == 0
     assert quality_rules.judge(docs.withColumn("text", F.lit(None).cast("string"))).where("kept").count() == 0
+
+
+def test_text_in_the_wrong_language_goes(spark):
+    english, german = "the cat and dog of a house".split(), "der Hund und die Katze im Haus".split()
+    text = lambda common, i: " ".join(f"{common[(i + j) % len(common)]} {common[(i * j) % len(common)]} w{i}x{j} v{i}y{j} u{i}z{j}" for j in range(20))
+    docs = [(i, text(english, i), "en") for i in range(60)] + [(100 + i, text(german, i), "de") for i in range(60)] + [(200, text(german, 70), "en")]
+    got = {r["id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    assert not got.pop(200) and all(got.values())
