@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    byte_bpe, chat_format, decontaminate, language_id, line_dedup, ngram_lm, quality_model, quality_rules,
-    simhash_dedup, url_filter,
+    byte_bpe, chat_format, decontaminate, hash_forest, language_id, line_dedup, merkle_manifest, ngram_lm, quality_model,
+    quality_rules, simhash_dedup, spelling_variants, url_filter,
 )
+from plumbline.llm.common import lower_ascii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -234,3 +235,92 @@ SELECT conv_id, count(*) AS n_turns,
     + length(replace(replace(text, '\', '\\'), '<|', '<\|')))::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id
 """
+
+
+def _crc32_sql(text: str) -> str:
+    """The CRC-32 of a text's UTF-8 bytes, bit by bit from the lowest of each byte."""
+    digit = lambda i: f"strpos('0123456789ABCDEF', substr(hex({text}::VARCHAR), {i}, 1)) - 1"
+    bits = f"""flatten([[(({digit('2 * k - b // 4')}) >> (b % 4)) & 1 for b in range(8)]
+      for k in range(1, octet_length(encode({text}::VARCHAR)) + 1)])"""
+    step = "lambda c, b: xor(c >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {bits}::BIGINT[]), {step}))"
+
+
+@_query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = _table(spark, sf_dir, "documents", *fields)
+    changed = F.when(_remainder(3) == 0, lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    manifest = merkle_manifest.build(docs, fields, "doc_id", "lang", [*map(F.col, fields[:-1]), changed])
+    return merkle_manifest.prove(manifest).select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def _merkle_levels(name: str, tree: str, levels: int) -> str:
+    """Tables {name}0 to {name}{levels} of nodes (tree, i, d, n: nodes of the tree at that level, l and r: what stands beside)."""
+    out = []
+    for k in range(levels + 1):
+        run = f"PARTITION BY {tree}, i // 8 ORDER BY i"
+        below = f"{name}_leaves" if k == 0 else f"(SELECT {tree}, i // 8 AS i, CASE WHEN any_value(n) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d FROM {name}{k - 1} GROUP BY {tree}, i // 8)"
+        out.append(f"""{name}{k} AS (SELECT {tree}, i, d, count(*) OVER (PARTITION BY {tree}) AS n,
+  coalesce(string_agg(d, '') OVER ({run} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(d, '') OVER ({run} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {below})""")
+    return ",\n".join(out)
+
+
+def _merkle_sql(levels: int = 9, top_levels: int = 3) -> str:
+    """Levels enough for 8 ** 9 documents of a language and 8 ** 3 languages."""
+    field = lambda c: f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars')))} || {field(text)})"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [f"""
+WITH leaf AS (SELECT doc_id, coalesce('=' || lang, '-') AS tree, {leaf('text')} AS leaf, CASE WHEN {_crc32_sql('doc_id')} % 3 = 0 THEN {leaf(lowered)} ELSE {leaf('text')} END AS changed FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaf),
+t_leaves AS (SELECT tree, i, leaf AS d FROM placed)""", _merkle_levels("t", "tree", levels)]
+    parts.append(f"sub AS (SELECT tree, d AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS rank FROM t{levels} WHERE i = 0)")
+    parts.append("u_leaves AS (SELECT '' AS tree, rank AS i, subroot AS d FROM sub)")
+    parts.append(_merkle_levels("u", "tree", top_levels))
+    parts.append("f0 AS (SELECT p.doc_id, p.leaf, p.tree, p.i, s.subroot, s.rank, p.changed AS f, '' AS proof FROM placed p JOIN sub s USING (tree))")
+    at = 0
+    for name, count, key, place in (("t", levels, "x.tree = y.tree", "x.i"), ("u", top_levels, "true", "x.rank")):
+        for k in range(count):
+            parts.append(f"""f{at + 1} AS (SELECT x.* REPLACE (CASE WHEN y.n > 1 THEN sha256(y.l || x.f || y.r) ELSE x.f END AS f, CASE WHEN y.n > 1 THEN proof || y.l || y.r ELSE proof END AS proof)
+  FROM f{at} x JOIN {name}{k} y ON {key} AND {place} // {8 ** k} = y.i)""")
+            at += 1
+    return ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = d AS verified
+FROM f{at} CROSS JOIN (SELECT d FROM u{top_levels} WHERE i = 0) r
+"""
+
+
+ORACLES["op11_merkle_manifest"] = _merkle_sql()
+
+
+@_query
+def op12_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_forest.search(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0, 5)
+
+
+@_query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.grouped(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+ORACLES["op13_spelling_variants"] = f"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
+h AS (SELECT run, {_crc32_sql("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM r WHERE length(run) >= 7),
+o AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM h),
+v AS (SELECT word, count(*) AS n FROM o WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+cut AS (SELECT DISTINCT word, n, p, substr(word, 1, p - 1) AS a, substr(word, p + 1) AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM v)),
+near AS (
+  SELECT DISTINCT x.word, y.word AS near, y.n FROM cut x JOIN cut y ON x.p = y.p AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT DISTINCT x.word, y.word, y.n FROM cut x JOIN v y ON x.a || x.b = y.word
+  UNION SELECT DISTINCT y.word, x.word, x.n FROM cut x JOIN v y ON x.a || x.b = y.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-n, near)) AS near, max(n) AS near_n FROM near GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * v.n THEN near END AS form, CASE WHEN near_n >= 10 * v.n THEN near_n END AS form_n
+  FROM v LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS at FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON walk.at = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n
+FROM f JOIN (SELECT walk.word, walk.at FROM walk JOIN f ON walk.at = f.word WHERE f.form IS NULL) w ON f.word = w.word
+"""
