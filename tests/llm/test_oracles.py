@@ -7,7 +7,7 @@ import pytest
 
 from plumbline.llm.queries import ORACLES, QUERIES
 
-TABLES = "documents pages benchmark labels conversations".split()
+TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
