@@ -80,9 +80,15 @@ def silhouettes(df: DataFrame, x: str = "x", cluster: str = "cluster") -> DataFr
     return df.withColumn("silhouette", F.when(n_own > 1, s).otherwise(0.0))
 
 
-def separation(df: DataFrame, x: str = "x", cluster: str = "cluster") -> dict[str, float]:
-    """Davies-Bouldin and Calinski-Harabasz, from the clusters' sums (k rows) and mean distances."""
+def separation(df: DataFrame, x: str = "x", cluster: str = "cluster") -> dict[str, float | None]:
+    """Davies-Bouldin and Calinski-Harabasz, from the clusters' sums (k rows) and mean distances.
+
+    Both are None for fewer than two clusters, the second also where every row is a cluster or the
+    rows of each are equal; clusters of equal centres make the first infinite (0 if they have no spread).
+    """
     sums = {r[cluster]: r for r in cluster_sums(df, x, cluster).collect()}
+    if len(sums) < 2:
+        return {"davies_bouldin": None, "calinski_harabasz": None}
     centres = {k: [v / r["n"] for v in r["sum"]] for k, r in sums.items()}
     table = F.lit(None).cast("array<double>")
     for k, c in centres.items():
@@ -90,12 +96,13 @@ def separation(df: DataFrame, x: str = "x", cluster: str = "cluster") -> dict[st
     d2 = F.aggregate(F.zip_with(x, table, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
     spread = {r[cluster]: (r["s"], r["w"]) for r in df.groupBy(cluster).agg(F.avg(F.sqrt(d2)).alias("s"), F.sum(d2).alias("w")).collect()}
     gap = lambda a, b: sum((u - v) ** 2 for u, v in zip(centres[a], centres[b])) ** 0.5
-    worst = [max((spread[a][0] + spread[b][0]) / gap(a, b) for b in centres if b != a) for a in centres]
+    closeness = lambda s, g: s / g if g else (float("inf") if s else 0.0)
+    worst = [max(closeness(spread[a][0] + spread[b][0], gap(a, b)) for b in centres if b != a) for a in centres]
     n, k = sum(r["n"] for r in sums.values()), len(sums)
     mean = [sum(r["sum"][i] for r in sums.values()) / n for i in range(len(next(iter(centres.values()))))]
     between = sum(r["n"] * sum((u - v) ** 2 for u, v in zip(centres[c], mean)) for c, r in sums.items())
     within = sum(w for _, w in spread.values())
-    return {"davies_bouldin": sum(worst) / k, "calinski_harabasz": between / (k - 1) / (within / (n - k))}
+    return {"davies_bouldin": sum(worst) / k, "calinski_harabasz": between / (k - 1) / (within / (n - k)) if n > k and within else None}
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:

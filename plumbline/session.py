@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,8 +45,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` at a reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
+    """``df`` written to the shared folder and read again: computed once, lineage cut.
+
+    A table that Parquet cannot hold (void or interval columns, repeated names) is checkpointed
+    there instead, which computes it twice.
+    """
+    spark, names = df.sparkSession, [c.lower() for c in df.columns]
+    kinds = " ".join(kind for _, kind in df.dtypes)
+    if names and len(set(names)) == len(names) and "void" not in kinds and "interval" not in kinds:
+        path = f"{shared_folder(spark)}/durable-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
