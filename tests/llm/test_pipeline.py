@@ -11,7 +11,7 @@ from plumbline.llm import byte_bpe, language_id
 from tests.llm.fixtures import awkward, nothing
 from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_line_dedup import brute as lines
-from tests.llm.test_simhash_dedup import groups, slow_fingerprint
+from tests.llm.test_near_copies import least_ids
 
 
 def as_rows(df):
@@ -29,15 +29,13 @@ def test_stages_on_given_tables(spark, sf_dir, tmp_path):
     assert len(expected) >= 0.97 * docs.count()
     # lines
     cleaned = {r["doc_id"]: r for r in stages["lines"](spark, one, sf_dir).collect()}
-    texts = lines([(r["source"], r["text"]) for r in expected], 0.1, 20)
+    texts = lines([(r["source"], r["text"]) for r in expected], corpus_pipeline.LINE_RATIO, corpus_pipeline.LINE_PAGES)
     assert sorted([(r["source"], r["text"]) for r in cleaned.values()], key=repr) == sorted([(h, c) for h, _, c, _, _ in texts], key=repr)
     assert all(r["n_chars"] == len(r["text"]) for r in cleaned.values())
-    # near copies: the least id of each group
+    # near copies: the least id of each group, by the Jaccard similarity of all pairs
     two = spark.createDataFrame(list(cleaned.values()), docs.schema)
-    ordered = sorted(cleaned)
-    roots = groups([slow_fingerprint(cleaned[i]["text"]) for i in ordered])
+    left = set(least_ids([(i, r["text"]) for i, r in cleaned.items()]).values())
     three = stages["near copies"](spark, two, sf_dir)
-    left = {ordered[g] for g in roots}
     assert as_rows(three) == sorted([tuple(cleaned[i]) for i in left], key=repr)
     # benchmark
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
