@@ -6,7 +6,7 @@ import importlib
 
 from plumbline.catalog.registry import IDS, ORACLES, QUERIES  # noqa: F401
 
-MODULES = ["relational", "evaluation", "profiling", "splitting", "series", "baskets", "corpus", "segmentation", "modelling", "streams", "outliers", "clustering"]
+MODULES = ["relational", "evaluation", "profiling", "splitting", "series", "baskets", "corpus", "segmentation", "modelling", "streams", "outliers", "clustering", "forecasting", "reports"]
 
 
 def load() -> None:
