@@ -17,6 +17,8 @@ ASCII_SPACE = r"[\x20\x09-\x0D]+"
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Tables up to this many bytes are broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
+#: Row groups of written intermediate tables: what a task holds of its file before it writes.
+ROW_GROUP_BYTES = 16 << 20
 #: Copies of the small side, and shares of a hot key, in a salted join.
 SALTS = 16
 
@@ -54,7 +56,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: computed once, lineage cut."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
