@@ -9,6 +9,7 @@ from plumbline.catalog.trips import KEPT_SQL, SCORED_SQL, kept, scored
 from plumbline.operators import decisions as D
 from plumbline.operators import evaluation as E
 from plumbline.plans import ordering
+from plumbline.session import durable
 
 _TABLE = f"""
 WITH {SCORED_SQL}, s AS (SELECT score, count_if(label = 1) AS pos, count_if(label <> 1) AS neg FROM scored GROUP BY score),
@@ -259,27 +260,34 @@ def _(t):
     return predicted(t).select(*cs).orderBy(ordering.portable_hash(key), *cs).limit(1200)
 
 
+def _folds(t):
+    from plumbline.operators import splits
+
+    return durable(splits.folds(scored(t).select("id", F.col("label").cast("double").alias("label"), F.col("score").alias("x")), "id", "label", 3))
+
+
+def _calibrated(t):
+    """Scores of each fold by isotonic and by sigmoid calibration on the other two."""
+    from plumbline.operators import models
+
+    folds = _folds(t)
+    out = models.cross_fitted(folds, lambda: D.Isotonic("x", "label", "isotonic"), lambda m, df: m.transform(df))
+    return models.cross_fitted(out, lambda: models.pipeline("logistic", ["x"], regParam=0.0), lambda m, df: models.scores(m, df, "sigmoid"))
+
+
 @query("dec1_isotonic", "DEC-1")
 def _(t):
-    """Scores calibrated by isotonic regression on two folds, for the third."""
-    from pyspark.ml.regression import IsotonicRegression
+    return _calibrated(t).select("id", "label", "x", F.col("isotonic").alias("calibrated"))
 
-    from plumbline.operators import splits
 
-    rows = splits.folds(scored(t).select("id", F.col("label").cast("double").alias("label"), F.col("score").alias("x")), "id", "label", 3)
-    parts = [IsotonicRegression(featuresCol="x", labelCol="label", predictionCol="calibrated").fit(rows.where(F.col("fold") != f)).transform(rows.where(F.col("fold") == f)) for f in range(3)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("id", "label", "x", "calibrated")
+@query("dec2_sigmoid", "DEC-2")
+def _(t):
+    return _calibrated(t).select("id", "label", "x", F.col("sigmoid").alias("calibrated"))
 
 
-@query("dec2_sigmoid", "DEC-2 DEC-3")
+@query("dec3_comparison", "DEC-3")
 def _(t):
-    """Platt scaling: a logistic model of the score; and what the calibration does to the losses."""
-    from plumbline.operators import models
-
-    rows = scored(t).select("id", F.col("label").cast("double").alias("label"), F.col("score").alias("x"))
-    out = models.scores(models.pipeline("logistic", ["x"], regParam=0.0).fit(rows), rows, "score")
-    before = E.probability_losses(rows.withColumnRenamed("x", "score"))
-    return before.select(F.lit("before").alias("stage"), "*").unionByName(E.probability_losses(out).select(F.lit("after").alias("stage"), "*"))
+    return D.calibration_comparison(_calibrated(t), {"raw": "x", "isotonic": "isotonic", "sigmoid": "sigmoid"})
 
 
 @query("scr4_churn_scoring", "SCR-4", f"WITH {SCORED_SQL} SELECT id, score >= 40 / (40 + 500 * 0.3::DOUBLE) AS contact, round(score * 150.0::DOUBLE - 40, 4) AS expected_value FROM scored")

@@ -41,7 +41,7 @@ def _(t):
     return T.stationarity(series(t), "i", "n", adf_lags=1).select("test", F.round("statistic", 6).alias("statistic"), "lags", "n", "rejects")
 
 
-@query("fc4_baselines", "FC-4 REG-7", f"""WITH {_SERIES}, x AS (SELECT s.i, s.n, a.n AS l1, b.n AS l24, c.n AS l168, s.i % 24 AS h FROM s LEFT JOIN s a ON a.i = s.i - 1 LEFT JOIN s b ON b.i = s.i - 24 LEFT JOIN s c ON c.i = s.i - 168),
+@query("fc4_baselines", "FC-4", f"""WITH {_SERIES}, x AS (SELECT s.i, s.n, a.n AS l1, b.n AS l24, c.n AS l168, s.i % 24 AS h FROM s LEFT JOIN s a ON a.i = s.i - 1 LEFT JOIN s b ON b.i = s.i - 24 LEFT JOIN s c ON c.i = s.i - 168),
 p AS (SELECT * FROM x, cut WHERE i <= cut), m AS (SELECT avg(n) AS mean, avg(abs(n - l24)) AS scale FROM p), hr AS (SELECT h, avg(n) AS by_hour FROM p GROUP BY 1),
 f AS (SELECT x.n, mean, coalesce(by_hour, mean) AS hour, l1::DOUBLE AS last, l24::DOUBLE AS day, l168::DOUBLE AS week FROM x JOIN cut ON i > cut LEFT JOIN hr USING (h), m), u AS (UNPIVOT f ON mean, hour, last, day, week INTO NAME model VALUE p)
 SELECT model, count(*) AS n, round(avg(abs(n - p)), 6) AS mae, round(sqrt(avg((n - p) ** 2)), 6) AS rmse, round(avg(abs(n - p)) / any_value(scale), 6) AS mase, round(1 - avg((n - p) ** 2) / var_pop(n), 6) AS r2 FROM u, m GROUP BY 1""")

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from plumbline.catalog.evaluation import _round
 from plumbline.catalog.registry import query
 from plumbline.catalog.trips import KEPT_SQL, kept, scored
+from plumbline.operators import evaluation as E
 from plumbline.operators import models as M
+from plumbline.operators import profile as P
+from plumbline.operators import search as Q
 from plumbline.operators import splits as S
+from plumbline.session import durable, shared_folder
 
 NUMERIC, CATEGORICAL = ["price", "score"], ["segment", "region"]
 
@@ -20,30 +24,72 @@ def rows(t):
     return scored(t).withColumn("label", F.col("label").cast("double"))
 
 
-@query("mdl1_ridge", "MDL-1", f"WITH {KEPT_SQL} SELECT round(regr_slope(fare, distance), 4) AS slope, round(regr_intercept(fare, distance), 4) AS intercept, round(regr_r2(fare, distance), 6) AS r2 FROM kept")
+_PENALTY = 25.0
+
+
+@query("mdl1_ridge", "MDL-1", f"WITH {KEPT_SQL}, m AS (SELECT covar_pop(fare, distance) / (var_pop(distance) + {_PENALTY}) AS slope, avg(fare) AS y, avg(distance) AS x FROM kept) SELECT round(any_value(slope), 4) AS slope, round(any_value(y - slope * x), 4) AS intercept, round(1 - avg((fare - (y - slope * x) - slope * distance) ** 2) / var_pop(fare), 6) AS r2 FROM kept, m")
 def _(t):
-    df = VectorAssembler(inputCols=["distance"], outputCol="features").transform(kept(t).select("distance", "fare"))
-    m = LinearRegression(featuresCol="features", labelCol="fare", regParam=0.0, solver="normal").fit(df)
-    return df.agg(F.round(F.lit(float(m.coefficients[0])), 4).alias("slope"), F.round(F.lit(float(m.intercept)), 4).alias("intercept"), F.round(F.lit(float(m.summary.r2)), 6).alias("r2"))
+    rows = kept(t).select("distance", "fare")
+    m = M.ridge(rows, ["distance"], "fare", _PENALTY)
+    r2 = 1 - F.avg(F.pow(F.col("fare") - m.predict(), 2)) / F.var_pop("fare")
+    return rows.agg(F.round(F.lit(m.coefficients[0]), 4).alias("slope"), F.round(F.lit(m.intercept), 4).alias("intercept"), F.round(r2, 6).alias("r2"))
+
+
+def _parts(t):
+    return durable(S.stratified(rows(t), "id", "label", 0.2))
+
 
+def _scored_once(t, *families):
+    """Each family fitted on the training rows and judged once on the others."""
+    parts, out = _parts(t), None
+    for name in families:
+        model = M.pipeline(name, NUMERIC, CATEGORICAL).fit(parts.where("part = 'train'"))
+        p = M.scores(model, parts.where("part = 'test'"), "p").select(F.lit(name).alias("family"), "id", "label", "p")
+        out = p if out is None else out.unionByName(p)
+    return out
 
-@query("mdl1_logistic", "MDL-1 MDL-15 UDF-3")
+
+@query("mdl1_logistic", "MDL-1 UDF-3")
 def _(t):
-    train = S.stratified(rows(t), "id", "label", 0.2)
-    model = M.pipeline("logistic", NUMERIC, CATEGORICAL).fit(train.where("part = 'train'"))
-    return M.scores(model, train.where("part = 'test'"), "p").select("id", "label", "p")
+    return _scored_once(t, "logistic").select("id", "label", "p")
 
 
 @query("mdl2_forest", "MDL-2 MDL-18")
 def _(t):
-    model = M.pipeline("forest", NUMERIC, CATEGORICAL).fit(rows(t))
+    model = M.pipeline("forest", NUMERIC, CATEGORICAL).fit(_parts(t).where("part = 'train'"))
     weights = [float(x) for x in model.stages[-1].featureImportances.toArray()]
-    return t.orders.limit(1).select(F.posexplode(F.array(*[F.lit(w) for w in weights])).alias("feature", "importance"))
+    return t.spark.range(1).select(F.posexplode(F.array(*[F.lit(w) for w in weights])).alias("feature", "importance"))
 
 
 @query("mdl3_boosting", "MDL-3")
 def _(t):
-    return M.scores(M.pipeline("boosting", NUMERIC).fit(rows(t)), rows(t), "p").select("id", "label", "p")
+    return _scored_once(t, "boosting").select("id", "label", "p")
+
+
+@query("mdl15_holdout", "MDL-15")
+def _(t):
+    """Of each family the metrics on the rows that none has seen."""
+    found = durable(_scored_once(t, "logistic", "forest", "boosting"))
+    out = None
+    for name in ("logistic", "forest", "boosting"):
+        one = E.ranking_metrics(E.score_table(found.where(F.col("family") == name), score="p")).select(F.lit(name).alias("family"), "n_pos", "n_neg", "roc_auc", "average_precision")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("mdl17_saved_model", "MDL-17 STR-1")
+def _(t):
+    """A pipeline that was saved and read again scores raw rows as the one that was fitted: no row differs."""
+    import uuid
+
+    parts = _parts(t)
+    model = M.pipeline("logistic", NUMERIC, CATEGORICAL).fit(parts.where("part = 'train'"))
+    path = f"{shared_folder(t.spark)}/model-{uuid.uuid4().hex}"
+    model.write().overwrite().save(path)
+    test = parts.where("part = 'test'").drop("part")
+    one = M.scores(model, test, "fitted").select("id", "fitted")
+    two = M.scores(PipelineModel.load(path), test, "loaded").select("id", "loaded")
+    return one.join(two, "id").select("id", "fitted", "loaded", (F.col("fitted") == F.col("loaded")).alias("same"))
 
 
 def _oof(t):
@@ -51,22 +97,72 @@ def _oof(t):
     return M.out_of_fold(folds, {"logistic": lambda: M.pipeline("logistic", NUMERIC, CATEGORICAL), "boosting": lambda: M.pipeline("boosting", NUMERIC, maxIter=4)})
 
 
-@query("mdl9_out_of_fold", "MDL-9 MDL-13")
+_BASE = ["p_logistic", "p_boosting"]
+
+
+@query("mdl9_out_of_fold", "MDL-9")
 def _(t):
-    return _oof(t).select("id", "label", "p_logistic", "p_boosting")
+    return _oof(t).select("id", "label", *_BASE)
+
+
+@query("mdl13_correlation", "MDL-13")
+def _(t):
+    oof = _oof(t)
+    both = P.pearson(oof, _BASE).withColumnRenamed("r", "pearson")
+    return both.join(P.spearman(oof, "id", _BASE).withColumnRenamed("r", "spearman"), ["a", "b"])
 
 
 @query("mdl12_stacking", "MDL-12 MDL-11")
 def _(t):
-    oof = VectorAssembler(inputCols=["p_logistic", "p_boosting"], outputCol="f").transform(_oof(t))
-    model = LogisticRegression(featuresCol="f", labelCol="label").fit(oof)
-    return M.blended(model.transform(oof), {"p_logistic": 0.5, "p_boosting": 0.5}, "blend").select("id", "label", "blend", F.col("prediction").alias("stacked"))
+    """A logistic model of the base scores, judged on folds that neither level has seen, beside the even blend."""
+    make = lambda: Pipeline(stages=[VectorAssembler(inputCols=_BASE, outputCol="f"), LogisticRegression(featuresCol="f", labelCol="label")])
+    stacked = M.cross_fitted(_oof(t), make, lambda m, df: M.scores(m, df, "stacked"))
+    return M.blended(stacked, {c: 0.5 for c in _BASE}, "blend").select("id", "label", "blend", "stacked")
+
+
+def _distilled(t):
+    return M.distilled(_oof(t), ["price", "score"], "p_boosting", 0.4)
 
 
 @query("mdl14_distillation", "MDL-14 SCR-6")
 def _(t):
-    model, fidelity = M.distilled(rows(t), ["price"], "score", 0.5)
-    return model.transform(rows(t)).select("id", F.col("prediction").alias("decision"), F.lit(fidelity).alias("fidelity"))
+    """A champion's decisions out of fold, and a shallow tree's that saw neither the row nor its score."""
+    return _distilled(t).select("id", "decision", "repeated", "p_tree")
+
+
+@query("mdl14_fidelity", "MDL-14 SCR-6")
+def _(t):
+    return M.fidelity(_distilled(t), "label", "p_boosting")
+
+
+@query("mdl14_rules", "MDL-14")
+def _(t):
+    work = _oof(t).withColumn("decision", (F.col("p_boosting") >= 0.4).cast("double"))
+    found = M.tree_rules(M.shallow_tree(["price", "score"]).fit(work), ["price", "score"])
+    return t.spark.createDataFrame([(i, *r) for i, r in enumerate(found)], "rule bigint, conditions string, decision double, n double")
+
+
+def _families():
+    return {
+        "logistic": Q.Family(lambda **p: M.pipeline("logistic", NUMERIC, CATEGORICAL, **p), {"regParam": 0.1}, {"regParam": [0.001, 0.1], "elasticNetParam": [0.0, 0.5]}),
+        "tree": Q.Family(lambda **p: M.pipeline("forest", NUMERIC, **p), {"numTrees": 5, "maxDepth": 2}, {"maxDepth": [2, 4], "minInstancesPerNode": [0]})}
+
+
+def _searched(t):
+    parts = _parts(t)
+    train = durable(S.folds(parts.where("part = 'train'").drop("part"), "id", "label", 2))
+    return Q.search(train, _families(), folds=2, max_trials=4, patience=1), train, parts.where("part = 'test'")
+
+
+@query("mdl5_search", "MDL-5")
+def _(t):
+    return _searched(t)[0]
+
+
+@query("mdl5_leaderboard", "MDL-5")
+def _(t):
+    ledger, train, test = _searched(t)
+    return Q.leaderboard(ledger, train, test, _families())
 
 
 @query("exp2_partial_dependence", "EXP-2")
@@ -101,11 +197,11 @@ def _(t):
 @query("mdl10_greedy_ensemble", "MDL-10 UDF-2")
 def _(t):
     oof = _oof(t)
-    weights, path = M.greedy_ensemble(oof.select("label", "p_logistic", "p_boosting"), ["p_logistic", "p_boosting"], rounds=2)
+    weights, path = M.greedy_ensemble(oof.select("label", *_BASE), _BASE, rounds=6)
     return M.blended(oof, weights, "blend").select("id", "blend", F.lit(path[-1]).alias("metric"))
 
 
 @query("exp1_permutation_importance", "EXP-1")
 def _(t):
     df = rows(t).select("id", "label", F.col("price").alias("a"), F.col("score").alias("b"))
-    return M.permutation_importance(M.pipeline("logistic", ["a", "b"]).fit(df), df, ["a", "b"], "id", repeats=1)
+    return M.permutation_importance(M.pipeline("logistic", ["a", "b"]).fit(df), df, ["a", "b"], "id")

@@ -444,14 +444,6 @@ def _(t):
     return t.lineitem.select("l_partkey", "l_suppkey").distinct()
 
 
-@query("set3_set_equality", "SET-3", "SELECT 0::BIGINT AS only_left, 0::BIGINT AS only_right, true AS equal")
-def _(t):
-    a = t.lineitem.select(F.col("l_partkey").alias("k")).distinct()
-    b = t.lineitem.groupBy(F.col("l_partkey").alias("k")).agg(F.count(F.lit(1)).alias("n")).select("k")
-    counts = a.withColumn("a", F.lit(1)).join(b.withColumn("b", F.lit(1)), "k", "full").agg(F.count_if(F.col("b").isNull()).alias("only_left"), F.count_if(F.col("a").isNull()).alias("only_right"))
-    return counts.withColumn("equal", (F.col("only_left") + F.col("only_right")) == 0)
-
-
 @query("set4_intersection", "SET-4", "SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def _(t):
     return t.orders.where("o_orderstatus = 'F'").select("o_custkey").intersect(t.orders.where("o_orderstatus = 'P'").select("o_custkey"))

@@ -90,18 +90,26 @@ def _(t):
     return S.silhouettes(labelled(t)).select("vec_id", F.round("silhouette", 6).alias("silhouette"))
 
 
-@query("seg22_silhouette_histogram", "SEG-22")
+_SIL = f"""{_EMB}, d AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM x a, x b GROUP BY 1, 2, 3),
+n AS (SELECT label, count(*) AS n FROM x GROUP BY 1), m AS (SELECT vec_id, own, min(CASE WHEN own <> other THEN d / n END) AS b, max(CASE WHEN own = other THEN d / greatest(1, n - 1) END) AS a, max(CASE WHEN own = other THEN n END) AS n FROM d JOIN n ON n.label = other GROUP BY 1, 2)"""
+
+
+@query("seg22_silhouette_histogram", "SEG-22", f"WITH {_SIL}, s AS (SELECT own AS cluster, CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END AS s FROM m) SELECT cluster, least(floor((s + 0.4::DOUBLE) / 0.0875::DOUBLE), 15)::BIGINT AS bin, count(*) AS n FROM s WHERE s BETWEEN -0.4 AND 1 GROUP BY 1, 2")
 def _(t):
     from plumbline.operators.evaluation import histogram
 
     return histogram(S.silhouettes(labelled(t)), "silhouette", -0.4, 1.0, 16, ["cluster"])
 
 
-@query("seg10_separation", "SEG-10")
+@query("seg10_separation", "SEG-10", f"""WITH {_EMB}, v AS (SELECT vec_id, label, unnest(range(1, 65)) AS i, unnest(x) AS v FROM x), c AS (SELECT label, i, avg(v) AS c FROM v GROUP BY 1, 2), g AS (SELECT i, avg(v) AS g FROM v GROUP BY 1),
+r AS (SELECT vec_id, v.label, sum((v - c) ** 2) AS d2 FROM v JOIN c ON v.label = c.label AND v.i = c.i GROUP BY 1, 2), s AS (SELECT label, avg(sqrt(d2)) AS s, sum(d2) AS w, count(*) AS n FROM r GROUP BY 1),
+p AS (SELECT a.label AS a, b.label AS b, sqrt(sum((a.c - b.c) ** 2)) AS gap FROM c a JOIN c b ON a.i = b.i AND a.label <> b.label GROUP BY 1, 2), w AS (SELECT a, max((x.s + y.s) / gap) AS worst FROM p JOIN s x ON x.label = a JOIN s y ON y.label = b GROUP BY 1),
+bt AS (SELECT sum(n * e) AS between FROM (SELECT c.label, sum((c - g) ** 2) AS e FROM c JOIN g ON c.i = g.i GROUP BY 1) e JOIN s ON s.label = e.label)
+SELECT sum(n)::BIGINT AS n, round((SELECT avg(worst) FROM w), 6) AS davies_bouldin, round((SELECT between FROM bt) / (count(*) - 1) / (sum(w) / (sum(n) - count(*))), 6) AS calinski_harabasz FROM s""")
 def _(t):
     x = labelled(t)
     found = S.separation(x)
-    return x.agg(F.count(F.lit(1)).alias("n")).select("n", *[F.lit(v).alias(k) for k, v in found.items()])
+    return x.agg(F.count(F.lit(1)).alias("n")).select("n", *[F.round(F.lit(v), 6).alias(k) for k, v in found.items()])
 
 
 @query("seg13_adjusted_rand", "SEG-13", "WITH e AS (SELECT label AS a, vec_id % 7 AS b FROM embeddings), c AS (SELECT a, b, count(*)::DOUBLE AS n FROM e GROUP BY 1, 2), i AS (SELECT sum(n * (n - 1) / 2) AS i FROM (SELECT sum(n) AS n FROM c GROUP BY a)), j AS (SELECT sum(n * (n - 1) / 2) AS j FROM (SELECT sum(n) AS n FROM c GROUP BY b)), s AS (SELECT sum(n * (n - 1) / 2) AS ij, sum(n) AS t FROM c) SELECT round((ij - i * j / (t * (t - 1) / 2)) / ((i + j) / 2 - i * j / (t * (t - 1) / 2)), 6) AS ari FROM i, j, s")
@@ -186,7 +194,8 @@ def _(t):
     return r.where((F.col("rn") <= 5) | ((F.col("rn") > half) & (F.col("rn") <= half + 5))).select("event_id", F.when(F.col("rn") <= 5, "top").otherwise("median").alias("kind"))
 
 
-@query("ano4_mahalanobis", "ANO-4")
+@query("ano4_mahalanobis", "ANO-4", """WITH e AS (SELECT event_id, value AS a, hour(ts)::DOUBLE AS b FROM events), m AS (SELECT avg(a) AS ma, avg(b) AS mb, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS c FROM e)
+SELECT event_id, round(((a - ma) * (a - ma) * vb - 2 * (a - ma) * (b - mb) * c + (b - mb) * (b - mb) * va) / (va * vb - c * c), 6) AS distance FROM e, m""")
 def _(t):
     """Squared Mahalanobis distance of (value, hour); a singular covariance is an error, not a score."""
     e = t.events.select("event_id", F.col("value").cast("double").alias("a"), F.hour("ts").cast("double").alias("b"))
@@ -195,7 +204,7 @@ def _(t):
     if det <= 1e-12 * va * vb:
         raise ValueError("the covariance is singular")
     x, y = F.col("a") - ma, F.col("b") - mb
-    return e.select("event_id", ((x * x * vb - 2 * x * y * c + y * y * va) / det).alias("distance"))
+    return e.select("event_id", F.round((x * x * vb - 2 * x * y * c + y * y * va) / det, 6).alias("distance"))
 
 
 @query("seg16_personas", "SEG-16", f"WITH {_RFM}, m AS (SELECT median(frequency) AS f, median(monetary) AS v FROM rfm), x AS (SELECT customer, frequency / f AS a, monetary / v AS b FROM rfm, m) SELECT customer, CASE WHEN a >= 1.5 THEN 'devoted' WHEN a >= 1 THEN 'regular' WHEN a >= 0.5 THEN 'occasional' ELSE 'rare' END || ' / ' || CASE WHEN b >= 2 THEN 'top value' WHEN b >= 1 THEN 'good value' WHEN b >= 0.5 THEN 'fair value' ELSE 'small value' END AS persona FROM x")

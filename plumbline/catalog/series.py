@@ -143,7 +143,7 @@ def _(t):
 @query("ts5_partial_autocorrelation", "TS-5")
 def _(t):
     acf = [r["acf"] for r in S.autocorrelation(_counts(t), "i", "n", 24).orderBy("lag").collect()]  # 25 numbers
-    return t.events.limit(1).select(F.posexplode(F.array(*[F.lit(float(v)) for v in S.partial_autocorrelation(acf)])).alias("lag", "pacf"))
+    return t.spark.range(1).select(F.posexplode(F.array(*[F.lit(float(v)) for v in S.partial_autocorrelation(acf)])).alias("lag", "pacf"))
 
 
 _TREND = f"""WITH {_ALL}, w AS (SELECT i, n, CASE WHEN count(*) OVER x = 25 THEN (sum(n) OVER x - 0.5 * (first_value(n) OVER x + last_value(n) OVER x)) / 24 END AS trend FROM a WINDOW x AS (ORDER BY i RANGE BETWEEN 12 PRECEDING AND 12 FOLLOWING)),

@@ -24,38 +24,52 @@ def baskets(pairs: DataFrame, items: DataFrame, least: int = 2) -> DataFrame:
     return rows.groupBy("basket").agg(F.array_sort(F.collect_set("item")).alias("items")).where(F.size("items") >= least)
 
 
-def _combinations(items: Column, size: int) -> Column:
-    """The sorted subsets of 1, 2 or 3 elements of a sorted array."""
-    if size == 1:
-        return F.transform(items, lambda a: F.array(a))
-    shorter = _combinations(items, size - 1)
-    return F.flatten(F.transform(shorter, lambda s: F.transform(F.filter(items, lambda b: b > F.element_at(s, -1)), lambda b: F.concat(s, F.array(b)))))
+def candidates(level: DataFrame) -> DataFrame:
+    """(head, last): the sets one longer than those of ``level`` (s, sorted arrays) all of whose parts are in it."""
+    cut = level.select("s", F.slice("s", 1, F.size("s") - 1).alias("stem"), F.element_at("s", -1).alias("end"))
+    other = cut.select("stem", F.col("end").alias("last"))
+    pairs = cut.join(other, "stem").where(F.col("end") < F.col("last")).select(F.col("s").alias("head"), "last")
+    size = level.select(F.max(F.size("s"))).first()[0] or 0
+    for i in range(1, size):  # leaving out the last or the one before gives the two sets that were joined
+        without = F.concat(F.slice("head", 1, i - 1), F.slice("head", i + 1, size), F.array("last"))
+        pairs = pairs.withColumn("s", without).join(level.select("s"), "s", "left_semi").drop("s")
+    return pairs
 
 
 def frequent_itemsets(rows: DataFrame, support: float, longest: int = 3) -> DataFrame:
-    """(items, n, support), level by level: a basket keeps only items of sets that are still frequent.
+    """(items, n, support), level by level; each level is written.
 
-    A set can be frequent only if all its parts are, so from each level on, a basket's items that
-    are in no frequent set of that level inside it are dropped before the next level's sets are formed.
+    A set can be frequent only if all its parts are, so a level's candidates are made from the
+    frequent sets of the one before, and a basket is looked at as rows (basket, set): what it has
+    of a level is joined with the candidates that begin so, and then with its own items.  No set
+    that is not a candidate is ever made in a basket, however long it is.
     """
     total = rows.count()
     least = support * total
-    out, work = None, rows.select("basket", "items")
-    for size in range(1, longest + 1):
-        sets = work.select("basket", F.explode(_combinations(F.col("items"), size)).alias("s"))
-        level = durable(sets.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least))
-        out = level if out is None else out.unionByName(level)
-        if size < longest:
-            left = sets.join(level.select("s"), "s", "left_semi").groupBy("basket").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("items"))
-            work = left.where(F.size("items") > size)
+    held = rows.select("basket", F.explode(F.array_distinct("items")).alias("item"))
+    singles = durable(held.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least))
+    held = durable(held.join(singles.select("item"), "item", "left_semi").select("basket", "item"))
+    level = singles.select(F.array("item").alias("s"), "n")
+    out, at = level, held.select("basket", F.array("item").alias("s"))
+    for _ in range(1, longest):
+        next_ = durable(candidates(level))
+        if next_.isEmpty():
+            break
+        grown = at.join(next_, at["s"] == next_["head"]).select("basket", "head", F.col("last").alias("item"))
+        at = grown.join(held, ["basket", "item"]).select("basket", F.concat("head", F.array("item")).alias("s"))
+        level = durable(at.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least))
+        out = out.unionByName(level)
+        at = at.join(level.select("s"), "s", "left_semi")
     return out.select(F.col("s").alias("items"), "n", (F.col("n") / F.lit(max(1, total))).alias("support"))
 
 
 def rules(itemsets: DataFrame, confidence: float = 0.25, lift: float = 1.2) -> DataFrame:
     """(antecedent, consequent, support, confidence, lift, leverage, conviction, zhang): every split of every set."""
     items = F.col("items")
-    ways = F.filter(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(2)), lambda k: F.when(k == 1, _combinations(items, 1)).otherwise(_combinations(items, 2)))), lambda s: F.size(s) < F.size(items))
-    split = itemsets.where(F.size("items") > 1).select("items", "support", F.explode(ways).alias("antecedent"))
+    # A subset for each number from 1 to 2 ** size - 2, whose bits say which items are in it.
+    masks = F.sequence(F.lit(1).cast("bigint"), (F.pow(F.lit(2.0), F.size(items)) - 2).cast("bigint"))
+    part = lambda m: F.filter(items, lambda x, i: F.getbit(m, i) == 1)
+    split = itemsets.where(F.size("items") > 1).select("items", "support", F.explode(F.transform(masks, part)).alias("antecedent"))
     split = split.withColumn("consequent", F.array_except("items", "antecedent"))
     known = itemsets.select(F.col("items").alias("k"), F.col("support").alias("s"))
     both = split.join(known.withColumnsRenamed({"k": "antecedent", "s": "sa"}), "antecedent").join(known.withColumnsRenamed({"k": "consequent", "s": "sc"}), "consequent")

@@ -8,7 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators import evaluation
 from plumbline.operators.evaluation import confusion, gain, ratio
+from plumbline.plans import ordering
+from plumbline.session import durable
 
 
 @dataclass(frozen=True)
@@ -77,3 +80,47 @@ def equalised(df: DataFrame, by: str, threshold: float, label: str = "label", sc
     at = frame.join(reached, [by, "i"], "left").fillna({"tp": 0}).withColumn("tpr", F.col("tp") / F.col("p"))
     best = at.groupBy(by).agg(F.min(F.struct(F.abs(F.col("tpr") - overall).alias("gap"), "i", "threshold", "tpr")).alias("b"))
     return best.select(by, F.col("b.threshold").alias("threshold"), F.col("b.tpr").alias("tpr"), F.col("b.gap").alias("gap"))
+
+
+#: Score groups that isotonic regression is fitted on.
+GROUPS = 2000
+
+
+class Isotonic:
+    """Isotonic calibration of a score: ``fit(df)`` gives a model with ``transform(df)``.
+
+    Scores are first put into GROUPS groups of equal numbers of rows, by exact quantiles, and the
+    regression sees each group's mean score, mean label and weight; with no more distinct scores
+    than GROUPS each is its own group, and the fit is the exact one.  So what it pools is bounded.
+    """
+
+    def __init__(self, score: str, label: str, out: str, groups: int = GROUPS) -> None:
+        self.score, self.label, self.out, self.groups = score, label, out, groups
+
+    def fit(self, df: DataFrame):
+        from pyspark.ml.regression import IsotonicRegression
+
+        counts = df.where(F.col(self.score).isNotNull() & F.col(self.label).isNotNull()).groupBy(F.col(self.score).alias(self.score)).agg(
+            F.count(F.lit(1)).alias("w"), F.sum(self.label).alias("y"))
+        counts = durable(counts)
+        if counts.count() > self.groups:
+            upto = ordering.cumulate(counts, [F.col(self.score)], {"upto": F.col("w")})
+            total = upto.agg(F.max("upto")).first()[0]
+            group = F.floor((F.col("upto") - 1) * self.groups / F.lit(total))
+            counts = durable(upto.groupBy(group.alias("g")).agg((F.sum(F.col(self.score) * F.col("w")) / F.sum("w")).alias(self.score), F.sum("y").alias("y"), F.sum("w").alias("w")))
+        rows = counts.select(F.col(self.score).cast("double").alias(self.score), (F.col("y") / F.col("w")).alias(self.label), F.col("w").cast("double").alias("w"))
+        return IsotonicRegression(featuresCol=self.score, labelCol=self.label, weightCol="w", predictionCol=self.out).fit(rows)
+
+
+def calibration_comparison(df: DataFrame, columns: dict[str, str], label: str = "label", bins: int = 10) -> DataFrame:
+    """(stage, n, mean_predicted, observed, brier, log_loss, average_precision, ece) for each column of scores, on the same rows."""
+    out = None
+    for stage, c in columns.items():
+        rows = durable(df.select(F.col(label).alias("label"), F.col(c).alias("score")))
+        ap = evaluation.ranking_metrics(evaluation.score_table(rows)).first()["average_precision"]
+        ece = evaluation.calibration_error(evaluation.calibration(rows, bins)).first()["ece"]
+        loss = evaluation.probability_losses(rows).first()
+        means = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_predicted"), F.avg("label").alias("observed"))
+        one = means.select(F.lit(stage).alias("stage"), "*", *[F.lit(v).alias(k) for k, v in (("brier", loss["brier"]), ("log_loss", loss["log_loss"]), ("average_precision", ap), ("ece", ece))])
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -12,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.evaluation import ranking_metrics, score_table
+from plumbline.operators.outliers import complete, moments
+from plumbline.plans.ordering import cumulate, portable_hash, row_numbers
+from plumbline.session import durable
 
 #: Factories from parameters to estimators; a caller may add its own.
 FAMILIES: dict[str, Callable[..., Estimator]] = {
@@ -36,8 +40,11 @@ def scores(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame
 
 
 def out_of_fold(df: DataFrame, makers: Mapping[str, Callable[[], Estimator]], fold: str = "fold", k: int = 3) -> DataFrame:
-    """``df`` with a column of scores for each model; every row is scored by a model that has not seen it."""
-    parts = []
+    """``df`` with a column of scores for each model; every row is scored by a model that has not seen it.
+
+    The folds are written before they are fitted, and the result is written too, so that nothing is fitted twice.
+    """
+    df, parts = durable(df), []
     for f in range(k):
         train, test = df.where(F.col(fold) != f), df.where(F.col(fold) == f)
         for name, make in makers.items():
@@ -46,7 +53,41 @@ def out_of_fold(df: DataFrame, makers: Mapping[str, Callable[[], Estimator]], fo
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return durable(out)
+
+
+@dataclass
+class Ridge:
+    """A linear model with a penalty on the squares of its coefficients, not on the intercept."""
+
+    features: list[str]
+    coefficients: list[float]
+    intercept: float
+
+    def predict(self) -> Column:
+        return sum((F.col(c).cast("double") * w for c, w in zip(self.features, self.coefficients)), F.lit(self.intercept))
+
+
+def ridge(df: DataFrame, features: Sequence[str], label: str, penalty: float) -> Ridge:
+    """Solves (S + penalty I) b = s of the (population) covariances, which are one aggregate; rows with a null are left out."""
+    import numpy as np
+
+    rows = df.where(complete(df, [*features, label]))
+    n, mean, cov = moments(rows, [*features, label])
+    if not n:
+        raise ValueError("no complete row to learn from")
+    k = len(features)
+    b = np.linalg.solve(cov[:k, :k] + penalty * np.eye(k), cov[:k, k])
+    return Ridge(list(features), [float(v) for v in b], float(mean[k] - b @ mean[:k]))
+
+
+def cross_fitted(df: DataFrame, make: Callable[[], Estimator], score: Callable[[PipelineModel, DataFrame], DataFrame], fold: str = "fold", k: int = 3) -> DataFrame:
+    """``score(model, rows)`` of each fold's rows by the model that was fitted on the other folds."""
+    out = None
+    for f in range(k):
+        part = score(make().fit(df.where(F.col(fold) != f)), df.where(F.col(fold) == f))
+        out = part if out is None else out.unionByName(part)
+    return durable(out)
 
 
 def average_precision(df: DataFrame, label: str, score: str) -> float:
@@ -75,36 +116,82 @@ def blended(df: DataFrame, weights: Mapping[str, float], out: str = "score") ->
     return df.withColumn(out, sum((F.col(c) * (w / total) for c, w in weights.items()), F.lit(0.0)))
 
 
-def distilled(df: DataFrame, numeric: Sequence[str], score: str, threshold: float, depth: int = 4) -> tuple[PipelineModel, float]:
-    """A shallow tree that repeats the decisions of ``score``, and the share of rows on which it agrees."""
-    work = df.withColumn("__y", (F.col(score) >= threshold).cast("double"))
-    stages = [VectorAssembler(inputCols=list(numeric), outputCol="__f"), DecisionTreeClassifier(labelCol="__y", featuresCol="__f", maxDepth=depth, seed=42)]
-    model = Pipeline(stages=stages).fit(work)
-    return model, model.transform(work).agg(F.avg((F.col("prediction") == F.col("__y")).cast("double"))).first()[0]
+def shallow_tree(numeric: Sequence[str], depth: int = 4, label: str = "decision") -> Pipeline:
+    """A tree small enough to be read."""
+    return Pipeline(stages=[
+        VectorAssembler(inputCols=list(numeric), outputCol="__f"),
+        DecisionTreeClassifier(labelCol=label, featuresCol="__f", maxDepth=depth, seed=42)])
+
+
+def distilled(df: DataFrame, numeric: Sequence[str], score: str, threshold: float, depth: int = 4, fold: str = "fold", k: int = 3) -> DataFrame:
+    """``df`` with ``decision`` (of ``score`` at the threshold), ``repeated`` and ``p_tree`` of a shallow tree that has not seen the row."""
+    work = durable(df.withColumn("decision", (F.col(score) >= threshold).cast("double")))
+
+    def judged(model: PipelineModel, rows: DataFrame) -> DataFrame:
+        found = model.transform(rows)
+        p = F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0))  # a fold may have one decision only
+        return found.select(*[F.col(f"`{c}`") for c in rows.columns], F.col("prediction").alias("repeated"), p.alias("p_tree"))
+
+    return cross_fitted(work, lambda: shallow_tree(numeric, depth), judged, fold, k)
+
+
+def fidelity(df: DataFrame, label: str, score: str) -> DataFrame:
+    """One row about a distilled table: agreement, and the ROC-AUC of both and how much of it the tree keeps."""
+    agree = df.agg(F.avg((F.col("decision") == F.col("repeated")).cast("double")).alias("agreement")).first()[0]
+    auc = [ranking_metrics(score_table(df, label, c)).first()["roc_auc"] for c in (score, "p_tree")]
+    kept = (auc[1] - 0.5) / (auc[0] - 0.5) if None not in auc and auc[0] != 0.5 else None
+    return df.sparkSession.createDataFrame([(agree, *auc, kept)], "agreement double, auc double, auc_tree double, auc_kept double")
+
+
+def tree_rules(model: PipelineModel, names: Sequence[str]) -> list[tuple[str, float, float]]:
+    """(conditions, prediction, rows) of each leaf, from left to right."""
+    out: list[tuple[str, float, float]] = []
+
+    def walk(node, path):
+        if node.numDescendants() == 0:
+            out.append((" and ".join(path) or "always", float(node.prediction()), float(node.impurityStats().count())))
+            return
+        split = node.split()
+        name, at = names[split.featureIndex()], split.threshold()
+        walk(node.leftChild(), [*path, f"{name} <= {at:.6g}"])
+        walk(node.rightChild(), [*path, f"{name} > {at:.6g}"])
+
+    walk(model.stages[-1]._java_obj.rootNode(), [])
+    return out
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], key: str, label: str = "label", repeats: int = 2) -> DataFrame:
+def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], key: str, label: str = "label", repeats: int = 8) -> DataFrame:
     """(feature, mean_drop, std_drop, significant): the loss of average precision when a feature's values are dealt anew.
 
-    A value is taken from the row next in a seeded hash order of the keys, inside ranges of that order.
+    In each repeat the rows stand in another seeded order, over all rows, and a row takes the value
+    of the row before it.  All features and repeats are scored in one pass, into one table of
+    distinct scores.  Significant is a mean drop over two standard deviations of the repeats.
     """
-    from pyspark.sql import Window
-
-    from plumbline.plans.ordering import portable_hash
-
-    base = average_precision(scores(model, df), label, "score")
-    rows = []
-    for f in features:
-        drops = []
-        for seed in range(repeats):
-            h = portable_hash(F.col(key), seed)
-            w = Window.partitionBy(F.pmod(h, F.lit(64))).orderBy(h)
-            dealt = df.withColumn(f, F.coalesce(F.lag(f).over(w), F.last(f).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-            drops.append(base - average_precision(scores(model, dealt), label, "score"))
-        mean = sum(drops) / len(drops)
-        std = (sum((d - mean) ** 2 for d in drops) / len(drops)) ** 0.5
-        rows.append((f, float(mean), float(std), bool(mean > 2 * std)))
-    return df.sparkSession.createDataFrame(rows, "feature string, mean_drop double, std_drop double, significant boolean")
+    if repeats < 2:
+        raise ValueError("a deviation needs two repeats at least")
+    rows = durable(df.select(key, label, *features))
+    n = rows.count()
+    laid = rows.withColumn("__repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    order = [portable_hash(F.concat(F.col("__repeat").cast("string"), F.lit("/"), F.col(key).cast("string"))), F.col(key)]
+    at = durable(row_numbers(laid, order, "__at", ["__repeat"]))
+    before = at.select("__repeat", (F.col("__at") % n + 1).alias("__at"), *[F.col(f).alias(f"__new{i}") for i, f in enumerate(features)])
+    both = at.join(before, ["__repeat", "__at"])
+    swaps = F.array(*[F.struct(F.lit(i).alias("__case"), *[(F.col(f"__new{j}") if i == j else F.col(f)).alias(f"__v{j}") for j, f in enumerate(features)]) for i in range(len(features))])
+    cases = both.select("__repeat", label, F.inline(swaps)).select("__repeat", "__case", label, *[F.col(f"__v{j}").alias(f) for j, f in enumerate(features)])
+    whole = rows.select(F.lit(-1).alias("__repeat"), F.lit(-1).alias("__case"), label, *features)
+    scored = scores(model, cases.unionByName(whole))
+    y = F.col(label)
+    counts = scored.groupBy("__repeat", "__case", F.col("score")).agg(F.count_if(y == 1).alias("pos"), F.count_if(y != 1).alias("neg"))
+    table = cumulate(counts, [-F.col("score")], {"tp": F.col("pos"), "fp": F.col("neg")}, ["__repeat", "__case"])
+    found = table.groupBy("__repeat", "__case").agg((F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.sum("pos")).alias("ap")).collect()  # a row for each case
+    base = next((r["ap"] for r in found if r["__case"] == -1), None) or 0.0
+    out = []
+    for i, f in enumerate(features):
+        drops = [base - (r["ap"] or 0.0) for r in found if r["__case"] == i]
+        mean = sum(drops) / max(1, len(drops))
+        std = (sum((d - mean) ** 2 for d in drops) / max(1, len(drops))) ** 0.5
+        out.append((f, float(mean), float(std), bool(mean > 2 * std and mean > 0)))
+    return df.sparkSession.createDataFrame(out, "feature string, mean_drop double, std_drop double, significant boolean")
 
 
 def partial_dependence(model: PipelineModel, df: DataFrame, feature: str, grid: Sequence[float]) -> DataFrame:
