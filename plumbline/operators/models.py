@@ -169,7 +169,8 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
     """
     if repeats < 2:
         raise ValueError("a deviation needs two repeats at least")
-    rows = durable(df.select(key, label, *features))
+    rows = durable(df)  # the model may need columns that are not dealt anew
+    rest = [F.col(f"`{c}`") for c in rows.columns if c not in features]
     n = rows.count()
     laid = rows.withColumn("__repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     order = [portable_hash(F.concat(F.col("__repeat").cast("string"), F.lit("/"), F.col(key).cast("string"))), F.col(key)]
@@ -177,8 +178,8 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
     before = at.select("__repeat", (F.col("__at") % n + 1).alias("__at"), *[F.col(f).alias(f"__new{i}") for i, f in enumerate(features)])
     both = at.join(before, ["__repeat", "__at"])
     swaps = F.array(*[F.struct(F.lit(i).alias("__case"), *[(F.col(f"__new{j}") if i == j else F.col(f)).alias(f"__v{j}") for j, f in enumerate(features)]) for i in range(len(features))])
-    cases = both.select("__repeat", label, F.inline(swaps)).select("__repeat", "__case", label, *[F.col(f"__v{j}").alias(f) for j, f in enumerate(features)])
-    whole = rows.select(F.lit(-1).alias("__repeat"), F.lit(-1).alias("__case"), label, *features)
+    cases = both.select("__repeat", *rest, F.inline(swaps)).select("__repeat", "__case", *rest, *[F.col(f"__v{j}").alias(f) for j, f in enumerate(features)])
+    whole = rows.select(F.lit(-1).alias("__repeat"), F.lit(-1).alias("__case"), *rest, *features)
     scored = scores(model, cases.unionByName(whole))
     y = F.col(label)
     counts = scored.groupBy("__repeat", "__case", F.col("score")).agg(F.count_if(y == 1).alias("pos"), F.count_if(y != 1).alias("neg"))
