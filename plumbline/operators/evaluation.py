@@ -22,7 +22,7 @@ def ratio(a: Column, b: Column) -> Column:
 def score_table(df: DataFrame, label: str = "label", score: str = "score", partitions: int | None = None) -> DataFrame:
     """(score, pos, neg, tp, fp): tp and fp count the rows with this score or a higher one."""
     y = F.col(label)
-    counts = df.where(F.col(score).isNotNull() & y.isNotNull()).groupBy(F.col(score).alias("score")).agg(
+    counts = df.where(F.col(score).isNotNull() & ~F.isnan(score) & y.isNotNull()).groupBy(F.col(score).alias("score")).agg(
         F.count_if(y == 1).alias("pos"), F.count_if(y != 1).alias("neg"))
     return ordering.cumulate(counts, [-F.col("score")], {"tp": F.col("pos"), "fp": F.col("neg")}, partitions=partitions)
 
@@ -44,8 +44,8 @@ def ranking_metrics(table: DataFrame) -> DataFrame:
 
 
 def confusion(df: DataFrame, threshold: float, label: str = "label", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
-    """tp, fp, tn, fn at a threshold (inclusive), per group if asked."""
-    y, hit = F.col(label) == 1, F.col(score) >= threshold
+    """tp, fp, tn, fn at a threshold (inclusive), per group if asked; rows without a label or with a null or NaN score are in none."""
+    y, hit = F.col(label) == 1, F.when(~F.isnan(score), F.col(score) >= threshold)
     return df.groupBy(*by).agg(
         F.count_if(y & hit).alias("tp"), F.count_if(~y & hit).alias("fp"), F.count_if(~y & ~hit).alias("tn"), F.count_if(y & ~hit).alias("fn"))
 

@@ -72,3 +72,9 @@ def test_perfect_and_inverted_scores(spark):
 def test_scorecard_needs_its_key(spark):
     with pytest.raises(ValueError):
         profile.scorecard(spark.range(3).toDF("a"), ["b"], {}, "a", [])
+
+
+def test_scores_that_are_not_numbers_count_nowhere(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.1), (1, float("nan")), (0, float("nan")), (1, None), (None, 0.5)], "label int, score double")
+    assert tuple(evaluation.confusion(df, 0.5).first()) == (1, 0, 1, 0)
+    assert evaluation.totals(evaluation.score_table(df)) == (1, 1)
