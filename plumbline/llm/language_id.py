@@ -6,9 +6,10 @@ text's distinct words are what is compressed, in chunks, all of them, so that th
 helps everywhere and a repeated word does not drown the rest.  Only letters count: texts are
 lower-cased, and anything else separates words.
 
-The dictionaries are learned from a bounded sample: per language, ``sample_docs`` documents in
-order of a hash of their text, as much as fills ``dictionary_bytes``.  They are a fixed size, and the
-scoring is one pass without a shuffle.
+The dictionaries are learned from a bounded sample: per language, ``sample_docs`` distinct texts in
+order of their hash, copies counting once, as much as fills ``dictionary_bytes``.  Of a text, pieces
+spread from its start to its end give ``slice_bytes`` at most.  The dictionaries are a fixed size, and
+the scoring is one pass without a shuffle.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0 and rejected;
 languages without a letter in their sample are not learned; with no language learned, all is
@@ -30,8 +31,8 @@ from plumbline.llm.common import quoted
 
 DICTIONARY_BYTES = 48 << 10
 SAMPLE_DOCS = 96
-#: Bytes that one sampled document may give.
-SLICE_BYTES = 2048
+#: Bytes that one sampled text may give, and the pieces of it that give them in equal parts.
+SLICE_BYTES, PIECES = 2048, 4
 CHUNK_BYTES = 1024
 LEVEL = 6
 #: The smallest size must be this much below the second, as a share, or the text is rejected.
@@ -48,21 +49,43 @@ def distinct_words(text: str) -> bytes:
 
 def learn(
     docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
-    dictionary_bytes: int = DICTIONARY_BYTES, sample_docs: int = SAMPLE_DOCS,
+    dictionary_bytes: int = DICTIONARY_BYTES, sample_docs: int = SAMPLE_DOCS, slice_bytes: int = SLICE_BYTES,
 ) -> dict[str, bytes]:
     """{language: dictionary} from the rows where ``train`` holds.  The sample is on the driver."""
     rows = docs.where(train & quoted(text).isNotNull() & quoted(lang).isNotNull()).select(
-        quoted(lang).cast("string").alias("lang"), F.substring(quoted(text), 1, 4 * SLICE_BYTES).alias("part"),
-        F.xxhash64(quoted(text)).alias("h"))
-    first = Window.partitionBy("lang").orderBy("h", "part")
-    sample = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_docs).collect()
+        quoted(lang).cast("string").alias("lang"), F.xxhash64(quoted(text)).alias("h"), quoted(text).alias("t"))
+    first = Window.partitionBy("lang").orderBy("h")
+    keys = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_docs)
+    # A row a sampled text: languages times sample_docs, so the keys and the sample stay small.
+    chosen = rows.join(F.broadcast(keys), ["lang", "h"]).select("lang", "n", _pieces(F.col("t"), slice_bytes).alias("pieces"))
+    sample = chosen.groupBy("lang", "n").agg(F.min("pieces").alias("pieces")).collect()
     parts: dict[str, list[bytes]] = {}
     for r in sorted(sample, key=lambda r: (r["lang"], r["n"])):
-        if cleaned := distinct_words(r["part"])[:SLICE_BYTES]:
+        if cleaned := _sliced(r["pieces"], slice_bytes):
             parts.setdefault(r["lang"], []).append(cleaned)
     return {k: b" ".join(v)[:dictionary_bytes] for k, v in sorted(parts.items())}
 
 
+def _pieces(text: Column, slice_bytes: int) -> Column:
+    """Pieces of ``slice_bytes`` characters each, evenly from the start of a text to its end."""
+    spare = F.greatest(F.length(text) - slice_bytes, F.lit(0))
+    starts = [F.floor(spare * (i / (PIECES - 1))).cast("int") + 1 for i in range(PIECES)]
+    return F.array(*[F.substring(text, s, F.lit(slice_bytes)) for s in starts])
+
+
+def _sliced(pieces: list[str], slice_bytes: int) -> bytes:
+    """Distinct words of the pieces, each piece's share of the bytes; what one leaves, the next may use."""
+    seen: dict[bytes, None] = {}
+    used = 0
+    for i, piece in enumerate(pieces, 1):
+        for word in distinct_words(piece).split():
+            word = word[: max(0, slice_bytes * i // len(pieces) - used)]
+            if word and word not in seen:
+                seen[word] = None
+                used += len(word) + 1
+    return b" ".join(seen)
+
+
 class Sizer:
     """Compressed sizes of texts by language."""
 

@@ -10,9 +10,9 @@ and joined by (host, salt) beyond it.
 
 Edge cases: lines are compared as they are, by a 64-bit hash; lines without a character other
 than white space are never boilerplate; hosts with fewer than ``min_pages`` pages are left
-alone; null hosts form one host; a null text stays null and counts as a page without lines; a page whose
-lines with text would all go is a copied page, not boilerplate, and stays whole (near-duplicate
-removal is for those); repeated rows count each; other columns pass through.
+alone; null hosts form one host; a null text stays null and counts as a page without lines; a page of
+nothing but boilerplate loses all of it, or with ``keep_copied`` stays whole (for callers whose
+near-duplicate removal judges copied pages); repeated rows count each; other columns pass through.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ def boilerplate(
 def drop_lines(
     pages: DataFrame, host: str = "source", text: str = "text", out: str = "text", ratio: float = RATIO,
     min_pages: int = MIN_PAGES, counts: bool = False, broadcast_bytes: int = BROADCAST_BYTES,
-    least_pages: int = 1,
+    least_pages: int = 1, keep_copied: bool = False,
 ) -> DataFrame:
     """``pages`` with ``out``: the text without its host's boilerplate lines.
 
@@ -76,8 +76,8 @@ def drop_lines(
     hit = F.arrays_overlap(F.transform(quoted(split), lambda x: F.xxhash64(x)), quoted(drop))
     left = F.filter(quoted(split), lambda x: ~F.array_contains(quoted(drop), F.xxhash64(x)))
     joined = joined.withColumn(kept, F.when(F.coalesce(hit, F.lit(False)), left))
-    # A page of nothing but boilerplate is a copy of a page.
-    joined = joined.withColumn(kept, F.when(F.exists(quoted(kept), _has_text), quoted(kept)))
+    if keep_copied:  # a page of nothing but boilerplate is a copy of a page
+        joined = joined.withColumn(kept, F.when(F.exists(quoted(kept), _has_text), quoted(kept)))
     if counts:
         n = F.coalesce(F.size(quoted(split)), F.lit(0))
         joined = joined.withColumns({

@@ -192,9 +192,9 @@ k AS (
   SELECT doc_id, text, ls, list_filter(ls, lambda x: NOT list_contains(coalesce(ll, []), x)) AS kept
   FROM d LEFT JOIN bl ON d.source IS NOT DISTINCT FROM bl.source),
 e AS (
-  SELECT *, len(kept) < len(ls) AND len(list_filter(kept, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) > 0 AS cut FROM k)
+  SELECT *, len(kept) < len(ls) AS cut FROM k)
 SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, (CASE WHEN cut THEN len(ls) - len(kept) ELSE 0 END)::BIGINT AS n_dropped,
-  sha256(CASE WHEN cut THEN array_to_string(kept, chr(10)) ELSE coalesce(text, '') END) AS text_sha256
+  sha256(CASE WHEN cut THEN coalesce(array_to_string(kept, chr(10)), '') ELSE coalesce(text, '') END) AS text_sha256
 FROM e
 """
 

@@ -54,3 +54,16 @@ def test_a_later_part_of_a_long_text_counts():
     sizer = language_id.Sizer(dictionaries)
     head = " ".join(chr(97 + i % 26) + chr(97 + i // 26 % 26) + chr(97 + i // 676) for i in range(3000))
     assert sizer.judge(head + " vala tuma rike noso pelu gani meto suri kalo bine")[0] == "bb"
+
+
+def test_copies_fill_no_dictionary_and_the_end_of_a_text_is_sampled(spark):
+    copies = [("en", "copied words " * 300)] * 2000
+    others = [("en", " ".join(chr(97 + i) * 3 + chr(97 + j) * 2 for j in range(20))) for i in range(20)]
+    long = [("de", "anfang " * 20_000 + "schluss")]
+    docs = spark.createDataFrame(copies + others + long, "lang string, text string")
+    found = language_id.learn(docs, F.lit(True))
+    assert found["en"].split().count(b"copied") == 1
+    assert all(word in found["en"] for _, t in others for word in t.encode().split())
+    assert b"schluss" in found["de"]
+    assert all(len(v) <= 100 for v in language_id.learn(docs, F.lit(True), dictionary_bytes=100).values())
+    assert len(language_id.learn(docs, F.lit(True), sample_docs=1, slice_bytes=64)["en"]) <= 64

@@ -11,7 +11,7 @@ from plumbline.llm import line_dedup
 from tests.llm.fixtures import awkward, nothing
 
 
-def brute(pages, ratio, least):
+def brute(pages, ratio, least, keep_copied=False):
     total = Counter(h for h, _ in pages)
     seen = Counter((h, x) for h, t in pages for x in set((t or "").split("\n")) if x.strip(" \t\n\r\x0b\x0c"))
     drop = {k for k, n in seen.items() if total[k[0]] >= least and n > ratio * total[k[0]]}
@@ -19,7 +19,7 @@ def brute(pages, ratio, least):
     for h, t in pages:
         lines = None if t is None else t.split("\n")
         kept = lines and [x for x in lines if (h, x) not in drop]
-        if not kept or len(kept) == len(lines) or not any(x.strip(" \t\n\r\x0b\x0c") for x in kept):
+        if lines is None or len(kept) == len(lines) or keep_copied and not any(x.strip(" \t\n\r\x0b\x0c") for x in kept):
             out.append((h, t, t, len(lines or []), 0))
         else:
             out.append((h, t, "\n".join(kept), len(lines), len(lines) - len(kept)))
@@ -34,12 +34,20 @@ def pages():
 
 @pytest.mark.parametrize("bound", [1 << 26, 0])
 @pytest.mark.parametrize("ratio", [0.1, 0.5, 0.999])
-def test_equals_brute_force(spark, bound, ratio):
+@pytest.mark.parametrize("copied", [False, True])
+def test_equals_brute_force(spark, bound, ratio, copied):
     df = spark.createDataFrame([(*p, "mine") for p in pages()], "source string, text string, host string")
-    out = line_dedup.drop_lines(df, out="clean", ratio=ratio, counts=True, broadcast_bytes=bound)
+    out = line_dedup.drop_lines(df, out="clean", ratio=ratio, counts=True, broadcast_bytes=bound, keep_copied=copied)
     assert out.columns == ["source", "text", "host", "n_lines", "n_dropped", "clean"]
     got = sorted([(r["source"], r["text"], r["clean"], r["n_lines"], r["n_dropped"]) for r in out.collect()], key=repr)
-    assert got == brute(pages(), ratio, line_dedup.MIN_PAGES)
+    assert got == brute(pages(), ratio, line_dedup.MIN_PAGES, copied)
+
+
+def test_a_page_of_nothing_but_boilerplate_loses_it(spark):
+    rows = [("a", f"We use cookies\ntext {i}") for i in range(20)] + [("a", "We use cookies"), ("a", "We use cookies\n\n")]
+    df = spark.createDataFrame(rows, "source string, text string")
+    short = lambda keep: sorted(r["text"] for r in line_dedup.drop_lines(df, keep_copied=keep).collect() if "text" not in r["text"])
+    assert short(False) == ["", "\n"] and short(True) == ["We use cookies", "We use cookies\n\n"]
 
 
 def test_awkward_rows(spark):

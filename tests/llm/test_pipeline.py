@@ -29,7 +29,7 @@ def test_stages_on_given_tables(spark, sf_dir, tmp_path):
     assert len(expected) >= 0.97 * docs.count()
     # lines
     cleaned = {r["doc_id"]: r for r in stages["lines"](spark, one, sf_dir).collect()}
-    texts = lines([(r["source"], r["text"]) for r in expected], corpus_pipeline.LINE_RATIO, corpus_pipeline.LINE_PAGES)
+    texts = lines([(r["source"], r["text"]) for r in expected], corpus_pipeline.LINE_RATIO, corpus_pipeline.LINE_PAGES, keep_copied=True)
     assert sorted([(r["source"], r["text"]) for r in cleaned.values()], key=repr) == sorted([(h, c) for h, _, c, _, _ in texts], key=repr)
     assert all(r["n_chars"] == len(r["text"]) for r in cleaned.values())
     # near copies: the least id of each group, by the Jaccard similarity of all pairs
