@@ -1,4 +1,4 @@
-"""Elias-Fano sequences and the bigram trie made of them, over memory-mapped bytes."""
+"""Elias-Fano sequences and a level of the n-gram trie made of them, over memory-mapped bytes."""
 
 from __future__ import annotations
 
@@ -86,16 +86,16 @@ class EliasFano:
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, float, float]:
-    """16-bit codes, and the value of code 0 and of a step."""
+    """16-bit codes up to 65534, and the value of code 0 and of a step."""
     lo, hi = (float(x.min()), float(x.max())) if len(x) else (0.0, 0.0)
-    step = (hi - lo) / 65535 or 1.0
+    step = (hi - lo) / 65534 or 1.0
     return np.round((x - lo) / step).astype("<u2"), lo, step
 
 
 class Trie:
-    """Words, contexts and successors of one shard.
+    """Words, contexts and successors of one shard and level; a context is a word, or a pair with a number of its own.
 
-    words       Elias-Fano, the sorted 64-bit word hashes; a word's id is its place
+    words       Elias-Fano, the sorted 64-bit numbers of words and contexts; a word's id is its place
     contexts    Elias-Fano, ids of the words that have successors; quantised back-off weights
     pointers    Elias-Fano, the first successor of each context, and the end
     successors  Elias-Fano, context rank * words + successor id, so that ids are relative to the
@@ -124,14 +124,26 @@ class Trie:
         self.backoff = np.frombuffer(memory, "<u2", n_context, at)
         self.codes = np.frombuffer(memory, "<u2", n_pair, at + 2 * n_context)
 
+    def _ranks(self, ids: np.ndarray) -> np.ndarray:
+        """The place among the contexts of each id, -1 where there is none."""
+        asked, inverse = np.unique(np.where(ids < 0, 0, ids).astype(np.uint64), return_inverse=True)
+        return np.where(ids < 0, -1, self.contexts.find(asked)[inverse])
+
+    def _backoffs(self, rank: np.ndarray) -> np.ndarray:
+        _, _, b0, b1 = self.scale
+        return np.where(rank >= 0, b0 + b1 * self.backoff[np.maximum(rank, 0)] if len(self.backoff) else 0.0, 0.0)
+
+    def weights(self, contexts: np.ndarray) -> np.ndarray:
+        """log10 of the back-off weight of each of the sorted numbers, 0 for what is no context."""
+        return self._backoffs(self._ranks(self.words.find(contexts)))
+
     def score(self, first: np.ndarray, second: np.ndarray, log_second: np.ndarray) -> np.ndarray:
-        """log10 of each pair's probability; word hashes, and the words' own log10 probability."""
-        p0, p1, b0, b1 = self.scale
+        """What is kept of each pair, log10, else the context's weight times the second's own; numbers, and log10 of the own."""
+        p0, p1, *_ = self.scale
         both, inverse = np.unique(np.concatenate((first, second)), return_inverse=True)
         ids = self.words.find(both)[inverse]
         one, two = ids[: len(first)], ids[len(first) :]
-        asked, inverse = np.unique(np.where(one < 0, 0, one).astype(np.uint64), return_inverse=True)
-        rank = np.where(one < 0, -1, self.contexts.find(asked)[inverse])
+        rank = self._ranks(one)
         known = (rank >= 0) & (two >= 0)
         keys = rank[known].astype(np.uint64) * np.uint64(max(1, self.words.n)) + two[known].astype(np.uint64)
         order = np.argsort(keys, kind="stable")
@@ -140,8 +152,7 @@ class Trie:
         ends = self.pointers.values().astype(np.int64)
         at = rank[known]
         inside = (place >= 0) & (place >= ends[at]) & (place < ends[at + 1])  # of this context
-        back = np.where(rank >= 0, b0 + b1 * self.backoff[np.maximum(rank, 0)] if len(self.backoff) else 0.0, 0.0)
-        out = back + log_second
+        out = self._backoffs(rank) + log_second
         hit = np.flatnonzero(known)[inside]
         out[hit] = p0 + p1 * self.codes[place[inside]]
         return out

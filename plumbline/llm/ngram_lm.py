@@ -1,9 +1,14 @@
-"""Language-model scores from a sharded Elias-Fano bigram trie.
+"""Language-model scores from sharded Elias-Fano tries of pairs and of trigrams.
 
 The model: a word's probability after another is (count of the pair + MU * the word's own
 probability) / (count of the first + MU), and a word's own is the smoothed unigram share.  Pairs
 seen in training have their smoothed probability in the trie, quantised; for any other pair the
 first word's back-off weight times the second word's own probability is exactly that formula.
+With ``order`` 3 (the default) a word after two others has (count of the three + MU_TOP * its
+probability after the nearer one) / (count of the two + MU_TOP).  The probability of the lower
+order lies in another shard, so the upper level holds the two parts, quantised: for a trigram
+its count's share, for a pair as a context the weight of the lower order; a text's first word has
+no second word before it and stays at order 2.
 
 The corpus is worked on in blocks of a few million tokens, each with a dictionary of its own:
 
@@ -11,15 +16,20 @@ The corpus is worked on in blocks of a few million tokens, each with a dictionar
    so that what comes back to the blocks is joined without moving them;
 2. each block sends its words' counts to shards by word; a shard adds them up over all blocks,
    numbers the words, and sends numbers and totals back;
-3. each block sends its distinct pairs, with their counts in training and the totals of their
-   words, to shards by pair; a shard adds them up, builds its trie, writes it to a file, maps that
-   into memory, scores every block's pairs from it, and sends the scores back;
+3. each block sends its distinct pairs and what follows each, with their counts in training and
+   the totals of their words, to shards by pair; a shard adds them up, builds its tries, writes
+   them to a file, maps that into memory, scores every block's pairs and trigrams from it, and
+   sends the scores back;
 4. each block adds up its tokens' scores by document.
 
 All arrays that move are packed, so a shuffle has one row for each (block, shard).  Shards are by
 hash, and their number follows the data, so that one holds a bounded number of entries; of a
-frequent word or pair each block sends one entry.  Nothing but totals is on the driver.  The
-tries stay in the result of step 3 (``tries``).
+frequent word or pair each block sends one entry.  What follows a heavy pair (a shard's worth of
+tokens or more) is spread over the shards by trigram; such pairs are counted first (``heavy``),
+and their totals go along.  There are at most HEAVY_PAIRS of them at any size, as the bound is no
+less than that share of all tokens.  Nothing but totals and heavy pairs is on the driver.  The
+tries stay in the result of step 3 (``tries``); the file is a temporary one of the task, which a
+lost executor's rerun writes anew.
 
 Edge cases: a null or empty text is its end token alone; rows whose ``train`` is null are not
 learned from; with nothing to learn from, base scores are those of N = V = 0 and the score
@@ -52,7 +62,9 @@ BLOCK_TOKENS = 3_000_000
 #: Dictionary entries of a word shard, and tokens of a pair shard, about.
 SHARD_WORDS, SHARD_TOKENS = 1_000_000, 2_000_000
 LEAST_SHARDS = 12
-MU = 50.0
+MU, MU_TOP = 50.0, 5.0
+#: Pairs that can be heavy, at most.
+HEAVY_PAIRS = 1 << 20
 ADD = 0.1
 END = b""  # hashed for the end token; no word is empty
 
@@ -163,9 +175,14 @@ def _word_shards(h: np.ndarray, shards: int) -> np.ndarray:
     return (h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
 
 
-def _pair_shards(one: np.ndarray, two: np.ndarray, shards: int) -> np.ndarray:
-    mixed = (one * np.uint64(0x9E3779B97F4A7C15) + two + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return ((mixed ^ mixed >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(shards)
+def _mixed(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of two numbers."""
+    x = (one * np.uint64(0x9E3779B97F4A7C15) + two + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (x ^ x >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _shard(hashed: np.ndarray, shards: int) -> np.ndarray:
+    return (hashed >> np.uint64(40)) % np.uint64(shards)
 
 
 def word_totals(blocks: DataFrame, shards: int) -> DataFrame:
@@ -211,33 +228,129 @@ def _log_own(c: np.ndarray, n: int, v: int) -> np.ndarray:
     return np.log10((c + ADD) / (n + ADD * (v + 1)))
 
 
-def _requests(x: dict, numbers: np.ndarray, shards: int):
-    """The block's pairs as places of their words: distinct ones, each token's, the order by shard, and its ends."""
-    place = x["p"].astype(np.uint64)
-    second = place[x["t"]]
-    first = np.concatenate((place[:1], second[:-1]))  # a text's first word follows the end token, the block's first word
-    distinct, pair = np.unique(first << np.uint64(32) | second, return_inverse=True)
-    one, two = (distinct >> np.uint64(32)).astype(np.int64), (distinct & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    of = _pair_shards(numbers[one], numbers[two], shards)
-    order = np.argsort(of, kind="stable")
-    return one, two, pair, order, np.searchsorted(of[order], np.arange(shards + 1, dtype=np.uint64))
+def _firsts(place: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The word before each token: a text's first word follows the end token, the block's first word."""
+    return np.concatenate((place[:1], second[:-1]))
+
+
+class Heavy:
+    """Hashes and training counts of the heavy pairs, in order of the hash."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        self.hashes, self.counts = hashes[order], counts[order]
+
+    def find(self, hashed: np.ndarray) -> np.ndarray:
+        """The count of each that is heavy, else 0."""
+        if not len(self.hashes):
+            return np.zeros(len(hashed), np.uint64)
+        at = np.minimum(np.searchsorted(self.hashes, hashed), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashed, self.counts[at], np.uint64(0))
+
+
+def heavy(blocks: DataFrame, words: DataFrame, least: int) -> Heavy:
+    """Pairs that occur ``least`` times or more in training; only pairs of words that do are looked at."""
 
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, (numbers, totals) = unpack(left["payload"][0].as_py()), _numbered(right)
+        place = x["p"].astype(np.int64)
+        second = place[x["t"]]
+        first = _firsts(place, second)
+        often = totals >= least
+        found = np.flatnonzero(often[first] & often[second] & np.repeat(x["train"], x["l"]))
+        hashed, n = np.unique(_mixed(numbers[first[found]], numbers[second[found]]), return_counts=True)
+        return pa.table({"pair": hashed.view(np.int64), "n": n.astype(np.int64)})
+
+    sent = blocks.select("block", "payload").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(send, "pair bigint, n bigint")
+    found = sent.groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
+    return Heavy(np.array(found["pair"], np.int64).view(np.uint64), np.array(found["n"], np.int64).astype(np.uint64))
+
+
+class _Requests:
+    """A block's distinct pairs and trigrams, in the order in which the shards are asked.
+
+    An entry is a pair at a shard: its own, and for a heavy pair those of its trigrams.
+    """
 
-def pair_scores(blocks: DataFrame, words: DataFrame, n: int, v: int, shards: int) -> DataFrame:
-    """Step 3: for each (block, shard) the quantised log10 probabilities of the block's pairs; and the tries."""
+    def __init__(self, x: dict, numbers: np.ndarray, shards: int, order: int, heavy_: Heavy) -> None:
+        low, wide = np.uint64(0xFFFFFFFF), np.uint64(32)
+        place = x["p"].astype(np.uint64)
+        second = place[x["t"]]
+        distinct, self.pair = np.unique(_firsts(place, second) << wide | second, return_inverse=True)
+        one, two = (distinct >> wide).astype(np.int64), (distinct & low).astype(np.int64)
+        hashed = _mixed(numbers[one], numbers[two])
+        own = _shard(hashed, shards) << wide | np.arange(len(one), dtype=np.uint64)
+        train = np.repeat(x["train"], x["l"])
+        self.at = self.which = np.empty(0, np.int64)
+        context, self.third = np.empty(0, np.int64), np.empty(0, np.int64)
+        if order == 3:
+            inner = np.ones(len(second), bool)
+            inner[np.cumsum(x["l"].astype(np.int64))[:-1]] = inner[:1] = False
+            self.at = np.flatnonzero(inner)  # tokens that are not a text's first
+            tri, self.which = np.unique(self.pair[self.at - 1].astype(np.uint64) << wide | second[self.at], return_inverse=True)
+            context, self.third = (tri >> wide).astype(np.int64), (tri & low).astype(np.int64)
+        asked = own[context]
+        spread = np.flatnonzero((heavy_.find(hashed) > 0)[context])
+        by_trigram = _shard(_mixed(hashed[context[spread]], numbers[self.third[spread]]), shards)
+        asked[spread] = by_trigram << wide | context[spread].astype(np.uint64)
+        entries = np.unique(np.concatenate((own, asked[spread])))
+        self.own = np.searchsorted(entries, own)
+        entry = (entries & low).astype(np.int64)
+        self.one, self.two = one[entry], two[entry]
+        self.learned = np.zeros(len(entries), np.int64)
+        self.learned[self.own] = np.bincount(self.pair[train], minlength=len(one))
+        asked = np.searchsorted(entries, asked)
+        turn = np.argsort(asked, kind="stable")
+        back = np.empty(len(turn), np.int64)
+        back[turn] = np.arange(len(turn))
+        self.which, self.third, self.context = back[self.which], self.third[turn], asked[turn]
+        self.learned_top = np.bincount(self.which[train[self.at]], minlength=len(turn))
+        self.followers = np.bincount(self.context, minlength=len(entries))
+        self.ends = np.searchsorted(entries >> wide, np.arange(shards + 1, dtype=np.uint64))
+        self.ends_top = np.concatenate(([0], np.cumsum(self.followers)))[self.ends]
+
+    def parts(self) -> Iterator[tuple[int, slice, slice]]:
+        """(shard, entries, trigrams) of the shards that are asked."""
+        for s in range(len(self.ends) - 1):
+            if self.ends[s] < self.ends[s + 1]:
+                yield s, slice(self.ends[s], self.ends[s + 1]), slice(self.ends_top[s], self.ends_top[s + 1])
+
+
+def _marked(x: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """16-bit codes of what is known, 0 for the rest; the value of code 1 and of a step."""
+    codes, low, step = quantised(x[known])
+    out = np.zeros(len(x), "<u2")
+    out[known] = codes + np.uint16(1)
+    return out, low, step
+
+
+def _mapped(parts: list[bytes]) -> Iterator[Trie]:
+    """Tries over a memory-mapped file of them, one at a time."""
+    with tempfile.TemporaryFile() as f:
+        f.write(b"".join(parts))
+        f.flush()
+        with mmap.mmap(f.fileno(), os.fstat(f.fileno()).st_size, access=mmap.ACCESS_READ) as mapped:
+            view, at = memoryview(mapped), 0
+            for part in parts:
+                inner = view[at : at + len(part)]
+                yield Trie(inner)
+                inner.release()
+                at += len(part)
+            view.release()
+
+
+def gram_scores(blocks: DataFrame, words: DataFrame, n: int, v: int, shards: int, order: int, heavy_: Heavy) -> DataFrame:
+    """Step 3: for each (block, shard) the quantised parts of the scores of its pairs and trigrams; and the tries."""
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         x, (numbers, totals) = unpack(left["payload"][0].as_py()), _numbered(right)
-        one, two, pair, order, ends = _requests(x, numbers, shards)
-        learned = np.bincount(pair[np.repeat(x["train"], x["l"])], minlength=len(one))
-        del pair
-        rows = []
-        for s in range(shards):
-            if ends[s] < ends[s + 1]:
-                part = order[ends[s] : ends[s + 1]]
-                used, both = np.unique(np.concatenate((one[part], two[part])), return_inverse=True)
-                rows.append((left["block"][0].as_py(), s, PAIRS, pack(
-                    w=_steps(numbers[used]), c=_slim(totals[used]), a=_steps(both[: len(part)]), b=_slim(both[len(part) :]), n=_slim(learned[part])), 0, 0))
+        r, rows = _Requests(x, numbers, shards, order, heavy_), []
+        for s, part, top in r.parts():
+            used, at = np.unique(np.concatenate((r.one[part], r.two[part], r.third[top])), return_inverse=True)
+            size = part.stop - part.start
+            rows.append((left["block"][0].as_py(), s, PAIRS, pack(
+                w=_steps(numbers[used]), c=_slim(totals[used]), a=_steps(at[:size]), b=_slim(at[size : 2 * size]), n=_slim(r.learned[part]),
+                k=_slim(r.followers[part]), d=_slim(at[2 * size :]), m=_slim(r.learned_top[top])), 0, 0))
         return _moved(rows)
 
     def answer(table: pa.Table) -> pa.Table:
@@ -246,54 +359,74 @@ def pair_scores(blocks: DataFrame, words: DataFrame, n: int, v: int, shards: int
         own = np.zeros(len(words_), np.float64)
         own[inverse] = np.concatenate([x["c"] for x in got])
         starts = np.cumsum([0, *[len(x["w"]) for x in got]])
-        keys = [inverse[s + _sums(x["a"]).astype(np.int64)].astype(np.uint64) << np.uint64(32) | inverse[s + x["b"].astype(np.int64)].astype(np.uint64) for s, x in zip(starts, got)]
+        word = lambda s, part: inverse[s + part.astype(np.int64)].astype(np.uint64)
+        keys = [word(s, _sums(x["a"])) << np.uint64(32) | word(s, x["b"]) for s, x in zip(starts, got)]
         distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
         counts = np.bincount(back, np.concatenate([x["n"] for x in got]), len(distinct))
         parts = np.split(back, np.cumsum([len(k) for k in keys])[:-1])
-        del got, keys, inverse
+        keys = [np.repeat(p, x["k"]).astype(np.uint64) << np.uint64(32) | word(s, x["d"]) for s, p, x in zip(starts, parts, got)]
+        tops, back = np.unique(np.concatenate(keys), return_inverse=True)
+        counts_top = np.bincount(back, np.concatenate([x["m"] for x in got]), len(tops))
+        parts_top = np.split(back, np.cumsum([len(k) for k in keys])[:-1])
+        del got, keys, inverse, back
         one, two = (distinct >> np.uint64(32)).astype(np.int64), (distinct & np.uint64(0xFFFFFFFF)).astype(np.int64)
         log_own, learned = _log_own(own, n, v), counts > 0
         # Every context of the shard that occurs in training has a back-off weight.
         contexts = np.unique(one[own[one] > 0])
         p = (counts[learned] + MU * 10 ** log_own[two[learned]]) / (own[one[learned]] + MU)
-        data = Trie.encode(words_, one[learned], two[learned], np.log10(p), contexts, np.log10(MU / (own[contexts] + MU)))
-        with tempfile.TemporaryFile() as f:
-            f.write(data)
-            f.flush()
-            with mmap.mmap(f.fileno(), os.fstat(f.fileno()).st_size, access=mmap.ACCESS_READ) as mapped:
-                view = memoryview(mapped)
-                trie = Trie(view)
-                codes, low, step = quantised(trie.score(words_[one], words_[two], log_own[two]))
-                del trie
-                view.release()
+        data = [Trie.encode(words_, one[learned], two[learned], np.log10(p), contexts, np.log10(MU / (own[contexts] + MU)))]
+        if order == 3:  # the pairs, as contexts, have the numbers after those of the words
+            total = np.maximum(counts, heavy_.find(_mixed(words_[one], words_[two])))
+            context, third = (tops >> np.uint64(32)).astype(np.int64), (tops & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            numbers = np.concatenate((words_, words_[-1:] + np.uint64(1) + np.arange(len(distinct), dtype=np.uint64)))
+            seen, contexts, w = counts_top > 0, np.flatnonzero(total > 0), len(words_)
+            share = np.log10(counts_top[seen] / (total[context[seen]] + MU_TOP))
+            data.append(Trie.encode(numbers, w + context[seen], third[seen], share, w + contexts, np.log10(MU_TOP / (total[contexts] + MU_TOP))))
+        levels = _mapped(data)
+        codes, low, step = quantised(next(levels).score(words_[one], words_[two], log_own[two]))
+        codes_top, scale_top, weights, scale = np.zeros(len(tops), "<u2"), (0.0, 0.0), np.zeros(len(distinct), "<u2"), (0.0, 0.0)
+        if order == 3:
+            trie = next(levels)
+            found = trie.score(numbers[w + context], words_[third], np.full(len(tops), -np.inf))
+            codes_top, *scale_top = _marked(found, np.isfinite(found))
+            weights, *scale = quantised(trie.weights(numbers[w:]))
+            del trie
+        next(levels, None)
         shard = table["shard"][0].as_py()
-        rows = [(block, shard, PAIRS, pack(p=codes[part], q=np.array([low, step])), 0, 0) for block, part in zip(table["block"].to_pylist(), parts)]
-        return _moved([*rows, (-1, shard, TRIE, data, 0, 0)])
+        rows = [
+            (block, shard, PAIRS, pack(p=codes[part], w=weights[part], d=codes_top[top], q=np.array([low, step, *scale, *scale_top])), 0, 0)
+            for block, part, top in zip(table["block"].to_pylist(), parts, parts_top)]
+        return _moved(rows + [(-1, shard, TRIE, level, i, 0) for i, level in enumerate(data, 2)])
 
     sent = blocks.select("block", "payload").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(send, _MOVED)
-    return stored(sent.groupBy("shard").applyInArrow(answer, _MOVED), "lm-pairs")
+    return stored(sent.groupBy("shard").applyInArrow(answer, _MOVED), "lm-grams")
 
 
 def tries(answers: DataFrame) -> DataFrame:
-    """(shard, payload): the model's shards."""
-    return answers.where(F.col("kind") == TRIE).select("shard", "payload")
+    """(shard, order, payload): the model's shards, a level each."""
+    return answers.where(F.col("kind") == TRIE).select("shard", F.col("v").alias("order"), "payload")
 
 
 def score(
     docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS,
-    shard_words: int = SHARD_WORDS, shard_tokens: int = SHARD_TOKENS,
+    shard_words: int = SHARD_WORDS, shard_tokens: int = SHARD_TOKENS, order: int = 3,
 ) -> DataFrame:
-    """Learns from the rows where ``train`` holds, and scores all rows.
+    """Learns from the rows where ``train`` holds, and scores all rows by a model of ``order`` 2 or 3.
 
     One row per row of ``docs``: id, n_tokens, n_known, train_tokens, base_score, score.
     """
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     blocks = code(docs, train, doc_id, text, block_tokens)
     size = blocks.agg(F.sum("n_words").alias("w"), F.sum("n_tokens").alias("t")).first()
     words = word_totals(blocks, max(LEAST_SHARDS, -(-(size["w"] or 0) // shard_words)))
     total = words.agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
     v, n = total["v"] or 0, total["n"] or 0
     pair_shards = max(LEAST_SHARDS, -(-(size["t"] or 0) // shard_tokens))
-    pairs = pair_scores(blocks, words, n, v, pair_shards).where(F.col("kind") == PAIRS)
+    least = max(shard_tokens, -(-n // HEAVY_PAIRS))
+    none = np.empty(0, np.uint64)
+    heavy_ = heavy(blocks, words, least) if order == 3 and n >= least else Heavy(none, none)
+    pairs = gram_scores(blocks, words, n, v, pair_shards, order, heavy_).where(F.col("kind") == PAIRS)
     schema = T.StructType([
         T.StructField("id", blocks.schema["ids"].dataType.elementType), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
         T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
@@ -301,18 +434,24 @@ def score(
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         kinds = np.array(right["kind"])
         x, (numbers, totals) = unpack(left["payload"][0].as_py()), _numbered(right.filter(pa.array(kinds == WORDS)))
-        one, _, pair, order, ends = _requests(x, numbers, pair_shards)
-        found = np.zeros(len(one))
+        r = _Requests(x, numbers, pair_shards, order, heavy_)
+        found, weight, share = np.zeros(len(r.one)), np.zeros(len(r.one)), np.zeros(len(r.third))
         answers = right.filter(pa.array(kinds == PAIRS))
+        asked = {s: (part, top) for s, part, top in r.parts()}
         for s, payload in zip(answers["shard"].to_pylist(), answers["payload"]):
-            y = unpack(payload.as_py())
-            found[order[ends[s] : ends[s + 1]]] = y["q"][0] + y["q"][1] * y["p"]
+            y, (part, top) = unpack(payload.as_py()), asked[s]
+            q = y["q"]
+            found[part] = q[0] + q[1] * y["p"]
+            weight[part] = q[2] + q[3] * y["w"]
+            share[top] = np.where(y["d"] > 0, 10 ** (q[4] + q[5] * (y["d"] - 1.0)), 0.0)
+        log_p = found[r.own][r.pair]
+        log_p[r.at] = np.log10(share[r.which] + 10 ** (weight[r.context[r.which]] + log_p[r.at]))
         own, lengths = totals[x["p"]], x["l"].astype(np.int64)  # by the block's own codes
         at = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         add = lambda values: pa.array(np.add.reduceat(values, at))
         return pa.Table.from_arrays([
             left["ids"].combine_chunks().flatten(), pa.array(lengths), add((own > 0).astype(np.int64)[x["t"]]), pa.array(np.full(len(lengths), n, np.int64)),
-            add(_log_own(own, n, v)[x["t"]]), add(found[pair])], names=schema.names)
+            add(_log_own(own, n, v)[x["t"]]), add(log_p)], names=schema.names)
 
     back = words.unionByName(pairs).groupBy("block")
     return blocks.select("block", "ids", "payload").groupBy("block").cogroup(back).applyInArrow(finish, schema)
