@@ -28,8 +28,8 @@ frequent word or pair each block sends one entry.  What follows a heavy pair (a
 tokens or more) is spread over the shards by trigram; such pairs are counted first (``heavy``),
 and their totals go along.  There are at most HEAVY_PAIRS of them at any size, as the bound is no
 less than that share of all tokens.  Nothing but totals and heavy pairs is on the driver.  The
-tries stay in the result of step 3 (``tries``); the file is a temporary one of the task, which a
-lost executor's rerun writes anew.
+file of a shard's tries is a temporary one of the task, which a lost executor's rerun writes anew;
+``gram_scores`` with ``keep`` leaves them in its result too (``tries``).
 
 Edge cases: a null or empty text is its end token alone; rows whose ``train`` is null are not
 learned from; with nothing to learn from, base scores are those of N = V = 0 and the score
@@ -58,7 +58,7 @@ from plumbline.llm.common import quoted, stored
 from plumbline.llm.elias_fano import Trie, quantised
 from plumbline.session import shared_folder
 
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 2_000_000
 #: Dictionary entries of a word shard, and tokens of a pair shard, about.
 SHARD_WORDS, SHARD_TOKENS = 1_000_000, 2_000_000
 LEAST_SHARDS = 12
@@ -266,6 +266,17 @@ def heavy(blocks: DataFrame, words: DataFrame, least: int) -> Heavy:
     return Heavy(np.array(found["pair"], np.int64).view(np.uint64), np.array(found["n"], np.int64).astype(np.uint64))
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys, and each key's place among them."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return keys[new], place
+
+
 class _Requests:
     """A block's distinct pairs and trigrams, in the order in which the shards are asked.
 
@@ -274,38 +285,44 @@ class _Requests:
 
     def __init__(self, x: dict, numbers: np.ndarray, shards: int, order: int, heavy_: Heavy) -> None:
         low, wide = np.uint64(0xFFFFFFFF), np.uint64(32)
-        place = x["p"].astype(np.uint64)
-        second = place[x["t"]]
-        distinct, self.pair = np.unique(_firsts(place, second) << wide | second, return_inverse=True)
-        one, two = (distinct >> wide).astype(np.int64), (distinct & low).astype(np.int64)
+        second = x["p"].astype(np.uint64)[x["t"]]
+        distinct, self.pair = _distinct(_firsts(x["p"].astype(np.uint64), second) << wide | second)
+        one, two = (distinct >> wide).astype(np.int32), (distinct & low).astype(np.int32)
         hashed = _mixed(numbers[one], numbers[two])
-        own = _shard(hashed, shards) << wide | np.arange(len(one), dtype=np.uint64)
+        del distinct
+        of = _slim(_shard(hashed, shards))
         train = np.repeat(x["train"], x["l"])
-        self.at = self.which = np.empty(0, np.int64)
-        context, self.third = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.at = self.which = context = third = np.empty(0, np.int32)
         if order == 3:
             inner = np.ones(len(second), bool)
             inner[np.cumsum(x["l"].astype(np.int64))[:-1]] = inner[:1] = False
-            self.at = np.flatnonzero(inner)  # tokens that are not a text's first
-            tri, self.which = np.unique(self.pair[self.at - 1].astype(np.uint64) << wide | second[self.at], return_inverse=True)
-            context, self.third = (tri >> wide).astype(np.int64), (tri & low).astype(np.int64)
-        asked = own[context]
+            self.at = np.flatnonzero(inner).astype(np.int32)  # tokens that are not a text's first
+            tri, self.which = _distinct(self.pair[self.at - 1].astype(np.uint64) << wide | second[self.at])
+            context, third = (tri >> wide).astype(np.int32), (tri & low).astype(np.int32)
+            del tri, inner
+        del second
         spread = np.flatnonzero((heavy_.find(hashed) > 0)[context])
-        by_trigram = _shard(_mixed(hashed[context[spread]], numbers[self.third[spread]]), shards)
-        asked[spread] = by_trigram << wide | context[spread].astype(np.uint64)
-        entries = np.unique(np.concatenate((own, asked[spread])))
-        self.own = np.searchsorted(entries, own)
-        entry = (entries & low).astype(np.int64)
+        by_trigram = _shard(_mixed(hashed[context[spread]], numbers[third[spread]]), shards) << wide | context[spread].astype(np.uint64)
+        guests = np.unique(by_trigram)
+        guests = guests[of[(guests & low).astype(np.int64)] != guests >> wide]
+        sorted_ = np.argsort(of, kind="stable")
+        entries = of[sorted_].astype(np.uint64) << wide | sorted_.astype(np.uint64)
+        later = np.arange(len(entries)) + np.searchsorted(guests, entries)
+        self.own = np.empty(len(entries), np.int32)
+        self.own[sorted_] = later
+        asked = self.own[context]
+        entries = np.insert(entries, np.searchsorted(entries, guests), guests)
+        asked[spread] = np.searchsorted(entries, by_trigram)
+        entry = (entries & low).astype(np.int32)
         self.one, self.two = one[entry], two[entry]
-        self.learned = np.zeros(len(entries), np.int64)
+        self.learned = np.zeros(len(entries), np.int32)
         self.learned[self.own] = np.bincount(self.pair[train], minlength=len(one))
-        asked = np.searchsorted(entries, asked)
         turn = np.argsort(asked, kind="stable")
-        back = np.empty(len(turn), np.int64)
+        back = np.empty(len(turn), np.int32)
         back[turn] = np.arange(len(turn))
-        self.which, self.third, self.context = back[self.which], self.third[turn], asked[turn]
-        self.learned_top = np.bincount(self.which[train[self.at]], minlength=len(turn))
-        self.followers = np.bincount(self.context, minlength=len(entries))
+        self.which, self.third, self.context = back[self.which], third[turn], asked[turn]
+        self.learned_top = np.bincount(self.which[train[self.at]], minlength=len(turn)).astype(np.int32)
+        self.followers = np.bincount(self.context, minlength=len(entries)).astype(np.int32)
         self.ends = np.searchsorted(entries >> wide, np.arange(shards + 1, dtype=np.uint64))
         self.ends_top = np.concatenate(([0], np.cumsum(self.followers)))[self.ends]
 
@@ -339,8 +356,8 @@ def _mapped(parts: list[bytes]) -> Iterator[Trie]:
             view.release()
 
 
-def gram_scores(blocks: DataFrame, words: DataFrame, n: int, v: int, shards: int, order: int, heavy_: Heavy) -> DataFrame:
-    """Step 3: for each (block, shard) the quantised parts of the scores of its pairs and trigrams; and the tries."""
+def gram_scores(blocks: DataFrame, words: DataFrame, n: int, v: int, shards: int, order: int, heavy_: Heavy, keep: bool = False) -> DataFrame:
+    """Step 3: for each (block, shard) the quantised parts of the scores of its pairs and trigrams; the tries with ``keep``."""
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         x, (numbers, totals) = unpack(left["payload"][0].as_py()), _numbered(right)
@@ -396,14 +413,14 @@ def gram_scores(blocks: DataFrame, words: DataFrame, n: int, v: int, shards: int
         rows = [
             (block, shard, PAIRS, pack(p=codes[part], w=weights[part], d=codes_top[top], q=np.array([low, step, *scale, *scale_top])), 0, 0)
             for block, part, top in zip(table["block"].to_pylist(), parts, parts_top)]
-        return _moved(rows + [(-1, shard, TRIE, level, i, 0) for i, level in enumerate(data, 2)])
+        return _moved(rows + [(-1, shard, TRIE, level, i, 0) for i, level in enumerate(data, 2) if keep])
 
     sent = blocks.select("block", "payload").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(send, _MOVED)
     return stored(sent.groupBy("shard").applyInArrow(answer, _MOVED), "lm-grams")
 
 
 def tries(answers: DataFrame) -> DataFrame:
-    """(shard, order, payload): the model's shards, a level each."""
+    """(shard, order, payload): the model's shards, a level each, of answers that keep them."""
     return answers.where(F.col("kind") == TRIE).select("shard", F.col("v").alias("order"), "payload")
 
 

@@ -99,6 +99,8 @@ def test_heavy_pairs_are_spread(spark, sf_dir):
             pairs.update(zip([b"", *w], w))
     found = ngram_lm.heavy(blocks, words, 60)
     assert sorted(found.counts.tolist()) == sorted(n for n in pairs.values() if n >= 60) and len(found.counts) > 5
+    answers = ngram_lm.gram_scores(blocks, words, 70_000, 5_000, 4, 3, found, keep=True)
+    assert sorted((r["shard"], r["order"]) for r in ngram_lm.tries(answers).select("shard", "order").collect()) == [(s, o) for s in range(4) for o in (2, 3)]
     got = ngram_lm.score(docs, train(), block_tokens=5000, shard_words=500, shard_tokens=60)
     same(rows_of(got), brute([(r["doc_id"], r["text"]) for r in rows]))
 
