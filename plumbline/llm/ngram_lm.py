@@ -416,7 +416,8 @@ def gram_scores(blocks: DataFrame, words: DataFrame, n: int, v: int, shards: int
         return _moved(rows + [(-1, shard, TRIE, level, i, 0) for i, level in enumerate(data, 2) if keep])
 
     sent = blocks.select("block", "payload").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(send, _MOVED)
-    return stored(sent.groupBy("shard").applyInArrow(answer, _MOVED), "lm-grams")
+    answers = sent.groupBy("shard").applyInArrow(answer, _MOVED)
+    return stored(answers, "lm-grams") if keep else answers  # read once, so the shuffle to the blocks is copy enough
 
 
 def tries(answers: DataFrame) -> DataFrame:
