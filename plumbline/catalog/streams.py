@@ -32,7 +32,6 @@ def _(t):
 @query("str3_alert_queue", "STR-3", "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 25")
 def _(t):
     path = f"{shared_folder(t.spark)}/alerts-{streams.uuid.uuid4().hex}"
-    save = lambda rows, n: rows.select("event_id", "value").write.mode("append").parquet(path)
-    writer = streams.top_alerts(arriving(t), [F.desc("value"), F.col("event_id")], 25, save)
+    writer = streams.top_alerts(arriving(t).select("event_id", "value"), [F.desc("value"), F.col("event_id")], 25, streams.batch_writer(path))
     writer.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(path)
+    return t.spark.read.parquet(path).select("event_id", "value")

@@ -32,6 +32,11 @@ def top_alerts(stream: DataFrame, order: Sequence[Column], budget: int, write: C
     return stream.writeStream.foreachBatch(lambda batch, number: write(batch.orderBy(*order).limit(budget), number))
 
 
+def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
+    """Writes each batch to a folder of its number in place of what is there, so that a batch that is run again is kept once."""
+    return lambda rows, number: rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
 def collected(stream: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
     """Runs an appending stream over what has arrived so far into a new table of ``folder``, and reads it."""
     path = f"{folder}/stream-{uuid.uuid4().hex}"

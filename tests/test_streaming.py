@@ -42,3 +42,11 @@ def test_alerts(spark, sf_dir, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(got) == [(0, 5), (1, 5), (2, 5)]
+
+
+def test_a_batch_that_runs_again_is_kept_once(spark, tmp_path):
+    save, path = streams.batch_writer(str(tmp_path / "alerts")), str(tmp_path / "alerts")
+    save(spark.range(5), 0)
+    save(spark.range(5, 8), 1)
+    save(spark.range(5, 8), 1)
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == list(range(8))
