@@ -1,17 +1,20 @@
 """Exact neighbourhoods of points in a few dimensions: nearest neighbours, outlier factor, density clusters.
 
-Points are rows (id, x), x an array of up to MAX_DIMENSIONS doubles.  Space is cut into cells, and
-only points of near cells are ever joined.  Equal points are one point with a weight, named by their
+Points are rows (id, x), x an array of up to MAX_DIMENSIONS doubles.  Space is cut into blocks
+or cells, and only points of near ones ever meet.  Equal points are one point with a weight, named by their
 least id, so copies are never paired.  Points with null, NaN or infinite components are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.operators import segments
 from plumbline.plans import ordering
@@ -19,8 +22,10 @@ from plumbline.plans.components import components
 from plumbline.session import durable
 
 MAX_DIMENSIONS = 4
-#: Halvings of the range of the points until cells are not cut any finer.
-LEVELS = 20
+#: Points of a block, at least; rows of a block that are compared at a time; points that ask one copy of a block.
+BLOCK, ROWS, ASKED = 512, 128, 1 << 15
+#: What a distance is stretched by before a box is left out.
+SLACK = 1 + 1e-9
 
 
 def distance(a: Column | str, b: Column | str) -> Column:
@@ -48,44 +53,111 @@ def _around(cell: Column | str, offsets: Sequence[Sequence[int]]) -> Column:
     return F.transform(moves, lambda m: F.zip_with(cell, m, lambda c, o: c + o))
 
 
-def _gap(x: Column | str, cell: Column | str, side: Column | float) -> Column:
-    """The distance of a point to a cell."""
-    outside = F.zip_with(x, cell, lambda v, c: F.greatest(c * side - v, v - (c + 1) * side, F.lit(0.0)))
-    return F.sqrt(F.aggregate(outside, F.lit(0.0), lambda s, v: s + v * v))
+def _blocks(points: DataFrame, dimensions: int, size: int) -> DataFrame:
+    """(block, rn, p, x, w): the points along a curve that keeps near ones together, cut into runs of ``size`` to 2 * ``size``."""
+    low = points.agg(*[f(F.col("x")[i]) for f in (F.min, F.max) for i in range(dimensions)], F.count(F.lit(1))).first()
+    mins = np.array(low[:dimensions], float)
+    span = float((np.array(low[dimensions:-1], float) - mins).max()) or 1.0
+    bits = 60 // dimensions
+    schema = T.StructType([*[points.schema[c] for c in ("p", "x", "w")], T.StructField("z", T.LongType())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.minimum((_values(b.column(1), dimensions) - mins) / span * (1 << bits), (1 << bits) - 1).astype(np.int64)
+            z = np.zeros(len(at), np.int64)
+            for bit in range(bits):
+                for i in range(dimensions):
+                    z |= (at[:, i] >> bit & 1) << (bit * dimensions + i)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(z)], names=schema.names)
 
-def nearest(points: DataFrame, k: int, dimensions: int, levels: int = LEVELS) -> DataFrame:
+    laid = ordering.row_numbers(points.select("p", "x", "w").mapInArrow(run, schema), [F.col("z"), F.col("p")])
+    n = max(1, low[-1] // size)
+    return durable(laid.select(F.floor((F.col("rn") - 1) * n / F.lit(low[-1])).cast("int").alias("block"), "rn", "p", "x", "w"))
+
+
+def _values(x: pa.Array | pa.ChunkedArray, dimensions: int) -> np.ndarray:
+    whole = x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+    return whole.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The distances of all rows of ``x`` from all of ``y``, added up as ``distance`` does."""
+    total = np.zeros((len(x), len(y)))
+    for i in range(x.shape[1]):
+        gap = x[:, i, None] - y[:, i]
+        total += gap * gap
+    return np.sqrt(total)
+
+
+def nearest(points: DataFrame, k: int, dimensions: int, size: int = BLOCK) -> DataFrame:
     """(p, q, d, w, kdist): for each point its k nearest rows, all at the k-th distance ``kdist`` included.
 
     ``points`` is (p, x, w); q is another point with all its w rows, or the point itself with its
-    other rows.  Each point begins in the finest cell that holds k other rows, which its diagonal
-    bounds the k-th distance by, and is joined with the cells that this distance reaches.  Cells
-    halve from the whole range on, so they are small where points are dense; a point that has
-    only coarse cells has at most k points in a finer one, so few points meet a dense cell.
+    other rows.  Points lie in blocks of near ones.  The k-th distance inside its own block bounds a
+    point's k-th distance, so it asks its block and those whose boxes this distance reaches, and
+    each gives its k nearest.  Rows grow with the points; a block that many ask is copied for each ASKED of them.
     """
-    low = points.agg(*[F.min(F.col("x")[i]).alias(f"a{i}") for i in range(dimensions)], *[F.max(F.col("x")[i]).alias(f"b{i}") for i in range(dimensions)]).first()
-    if low["a0"] is None:
+    spark = points.sparkSession
+    if points.isEmpty():
         return points.select("p", F.col("p").alias("q"), F.lit(0.0).alias("d"), "w", F.lit(0.0).alias("kdist"))
-    mins = [low[f"a{i}"] for i in range(dimensions)]
-    span = max(low[f"b{i}"] - low[f"a{i}"] for i in range(dimensions)) * 1.000001 or 1.0
-    at = points.select("p", F.zip_with("x", F.array(*[F.lit(float(m)) for m in mins]), lambda v, m: v - m).alias("x"), "w")
-    side = lambda level: F.lit(span) / F.pow(F.lit(2.0), level)
-    every = F.sequence(F.lit(0), F.lit(levels))
-    laid = at.select("p", "w", "x", F.explode(every).alias("level")).withColumn("cell", _cell("x", side(F.col("level"))))
-    full = laid.groupBy("level", "cell").agg(F.sum("w").alias("n")).where(F.col("n") > k)
-    finest = laid.join(full, ["level", "cell"]).groupBy("p").agg(F.max("level").alias("level"))
-    ask = durable(at.join(finest, "p", "left").select("p", "x", F.coalesce("level", F.lit(0)).alias("level")))
-    used = [r["level"] for r in ask.select("level").distinct().collect()]  # levels + 1 at most
-    ring = int(dimensions**0.5 - 1e-9) + 1
-    offsets = list(product(range(-ring, ring + 1), repeat=dimensions))
-    s = side(F.col("level"))
-    reach = s * (dimensions**0.5)
-    # Level 0 is one cell, and holds everything where there are not k other rows at all.
-    asked = ask.withColumn("to", F.explode(F.filter(_around(_cell("x", s), offsets), lambda c: (_gap(F.col("x"), c, s) <= reach) & ~F.exists(c, lambda v: v < 0))))
-    there = laid.where(F.col("level").isin(used)).select(F.col("p").alias("q"), F.col("x").alias("y"), "w", "level", F.col("cell").alias("to"))
-    d = distance("x", "y")
-    pairs = asked.join(there, ["level", "to"]).select("p", "q", d.alias("d"), F.when(F.col("p") == F.col("q"), F.col("w") - 1).otherwise(F.col("w")).alias("w"), reach.alias("reach"), "level")
-    pairs = pairs.where((F.col("w") > 0) & ((F.col("d") <= F.col("reach")) | (F.col("level") == 0))).drop("reach", "level")
+    laid = _blocks(points, dimensions, max(size, 2 * k))
+    edges = [f(F.col("x")[i]) for f in (F.min, F.max) for i in range(dimensions)]
+    found = sorted(tuple(r) for r in laid.groupBy("block").agg(*edges).collect())  # a row for each block
+    boxes = spark.sparkContext.broadcast((np.array([r[0] for r in found], np.int32), np.array([r[1:] for r in found], float)))
+    asks = T.StructType([T.StructField("to", T.IntegerType()), *[laid.schema[c] for c in ("rn", "p", "x")], T.StructField("reach", T.DoubleType())])
+
+    def ask(t: pa.Table) -> pa.Table:
+        x, w = _values(t["x"], dimensions), t["w"].to_numpy()
+        names, edges = boxes.value
+        reach = np.empty(len(x))
+        most = min(k + 1, len(x))
+        for at in range(0, len(x), ROWS):
+            d = _apart(x[at : at + ROWS], x)
+            own = np.arange(len(d))
+            near = np.argpartition(d, most - 1, axis=1)[:, :most]
+            near = np.take_along_axis(near, np.take_along_axis(d, near, 1).argsort(axis=1), 1)
+            upto = (w[near] - (near == (own + at)[:, None])).cumsum(axis=1)
+            first = (upto < k).sum(axis=1)
+            far = np.take_along_axis(d, near, 1)[own, np.minimum(first, most - 1)]
+            reach[at : at + ROWS] = np.where(first < most, far, np.inf)
+        gap = lambda lo, hi: np.sqrt((np.maximum(np.maximum(edges[:, :dimensions] - hi, lo - edges[:, dimensions:]), 0) ** 2).sum(axis=-1))
+        some = np.flatnonzero(gap(x.min(axis=0), x.max(axis=0)) <= reach.max() * SLACK)
+        edges, rows, to = edges[some], [], []
+        for at in range(0, len(x), ROWS):
+            part = x[at : at + ROWS, None]
+            i, j = np.nonzero(gap(part, part) <= (reach[at : at + ROWS] * SLACK)[:, None])
+            rows.append(i + at)
+            to.append(names[some[j]])
+        rows = np.concatenate(rows)
+        return pa.Table.from_arrays([pa.array(np.concatenate(to)), *[t[c].combine_chunks().take(pa.array(rows)) for c in ("rn", "p", "x")], pa.array(reach[rows])], names=asks.names)
+
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    asked = durable(laid.repartition(tasks, "block").groupBy("block").applyInArrow(ask, asks))
+    copies = asked.groupBy(F.col("to").alias("block")).agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("copies"))
+    copies = durable(copies.select(F.col("block").alias("to"), "copies"))
+    here = asked.join(copies, "to").withColumn("copy", F.pmod("rn", "copies").cast("int"))
+    there = laid.withColumnRenamed("block", "to").join(copies, "to").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    kind = laid.schema["p"].dataType
+    schema = T.StructType([T.StructField("p", kind), T.StructField("q", kind), T.StructField("d", T.DoubleType()), T.StructField("w", T.LongType())])
+
+    def answer(one: pa.Table, two: pa.Table) -> pa.Table:
+        x, y = _values(one["x"], dimensions), _values(two["x"], dimensions)
+        rn, rn2, w, reach = one["rn"].to_numpy(), two["rn"].to_numpy(), two["w"].to_numpy(), one["reach"].to_numpy()
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))]
+        for at in range(0, len(x) if len(y) else 0, ROWS):
+            d = _apart(x[at : at + ROWS], y)
+            v = w - (rn[at : at + ROWS, None] == rn2)
+            d[v == 0] = np.inf
+            bound = reach[at : at + ROWS]
+            if len(y) > k:
+                bound = np.minimum(bound, np.partition(d, k - 1, axis=1)[:, k - 1])
+            i, j = np.nonzero((d <= bound[:, None]) & (v > 0))
+            found.append((i + at, j, d[i, j], v[i, j]))
+        i, j, d, v = (np.concatenate(c) for c in zip(*found))
+        return pa.Table.from_arrays([one["p"].combine_chunks().take(pa.array(i)), two["p"].combine_chunks().take(pa.array(j)), pa.array(d), pa.array(v)], names=schema.names)
+
+    here, there = (df.repartition(tasks, "to", "copy").groupBy("to", "copy") for df in (here.select("to", "copy", "rn", "p", "x", "reach"), there.select("to", "copy", "rn", "p", "x", "w")))
+    pairs = here.cogroup(there).applyInArrow(answer, schema)
     by = Window.partitionBy("p").orderBy("d")
     pairs = pairs.withColumn("r", F.rank().over(by)).where(F.col("r") <= k).drop("r")
     pairs = pairs.withColumn("before", F.coalesce(F.sum("w").over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)) - F.sum("w").over(Window.partitionBy("p", "d")))

@@ -130,3 +130,13 @@ def test_components(spark):
     expected = {v: find(v) for v in root if v is not None and any(v in (a, b) and a is not None for a, b in links)}
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {v: r for v, r in expected.items()}
+
+
+def test_blocks_of_any_size_find_the_same(spark, monkeypatch):
+    """Points of many blocks, some asked by more points than one copy of a block takes."""
+    x = made(3, 5)
+    near = brute_near(distances(x), 4)
+    monkeypatch.setattr(N, "ASKED", 7)
+    points, names, dimensions = N.distinct_points(table(spark, x), "id", "x")
+    found = names.join(N.nearest(points, 4, dimensions, size=9), "p").groupBy("id").agg({"w": "sum", "kdist": "max"}).collect()
+    assert {r["id"]: (r["sum(w)"], pytest.approx(r["max(kdist)"])) for r in found} == {i: (len(q), far) for i, (far, q) in near.items()}
