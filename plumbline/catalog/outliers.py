@@ -10,7 +10,7 @@ from plumbline.catalog.segmentation import _RFM, rfm
 from plumbline.operators import neighbours as N
 from plumbline.operators import outliers as O
 from plumbline.plans import ordering
-from plumbline.session import shared_folder
+from plumbline.session import durable, shared_folder
 
 #: Customers as points: the logarithms of recency, frequency and spend.
 _POINTS = f"{_RFM}, x AS (SELECT customer, ln(1 + recency) AS a, ln(1 + frequency) AS b, ln(1 + monetary) AS c FROM rfm)"
@@ -52,7 +52,7 @@ def _(t):
 
 @query("seg8_eps_sweep", "SEG-8")
 def _(t):
-    p = points(t)
+    p = durable(points(t))
     return N.eps_sweep(p, "customer", "x", max(5, p.count() // 400), shares=(0.7, 0.85, 0.95, 0.99))
 
 

@@ -32,15 +32,22 @@ def distance(a: Column | str, b: Column | str) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v))
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``durable``, and joined by shuffles only: cells, points and distances pack so well that their files'
+    size says little about what a broadcast table of them takes of the driver."""
+    return durable(df).hint("merge")
+
+
 def distinct_points(df: DataFrame, key: str, x: str) -> tuple[DataFrame, DataFrame, int]:
     """(p, x, w): distinct points, the least id and the number of rows of each; (id, p); and the number of dimensions."""
     values = F.transform(F.col(x), lambda v: v.cast("double") + 0.0)  # one zero
     rows = df.select(F.col(key).alias("id"), values.alias("x")).where(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
+    rows = _written(rows)
     sizes = [r["d"] for r in rows.select(F.size("x").alias("d")).distinct().limit(2).collect()]
     if len(sizes) > 1 or (sizes and not 1 <= sizes[0] <= MAX_DIMENSIONS):
         raise ValueError(f"points must all have the same number of components, from 1 to {MAX_DIMENSIONS}; project them first")
-    points = durable(rows.groupBy("x").agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("w")).select("p", "x", "w"))
-    return points, rows.join(points.select("p", "x"), "x").select("id", "p"), sizes[0] if sizes else 1
+    points = _written(rows.groupBy("x").agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("w")).select("p", "x", "w"))
+    return points, _written(rows.join(points.select("p", "x"), "x").select("id", "p")), sizes[0] if sizes else 1
 
 
 def _cell(x: Column | str, side: Column | float) -> Column:
@@ -178,11 +185,11 @@ def outlier_factor(df: DataFrame, key: str, x: str, k: int = 20) -> DataFrame:
     usual, 1e-10 is added to the mean reach before it is inverted.  A row alone has null.
     """
     points, names, dimensions = distinct_points(df, key, x)
-    near = nearest(points, k, dimensions)
+    near = nearest(points, k, dimensions).hint("merge")
     far = near.groupBy("p").agg(F.max("kdist").alias("kdist"))
     reach = near.drop("kdist").join(far.select(F.col("p").alias("q"), "kdist"), "q", "left")
     total = F.sum(F.greatest("d", F.coalesce("kdist", F.lit(0.0))) * F.col("w"))
-    density = durable(reach.groupBy("p").agg((1.0 / (total / F.sum("w") + 1e-10)).alias("density")))
+    density = _written(reach.groupBy("p").agg((1.0 / (total / F.sum("w") + 1e-10)).alias("density")))
     around = near.select("p", "q", "w").join(density.select(F.col("p").alias("q"), F.col("density").alias("of")), "q")
     mean = around.groupBy("p").agg((F.sum(F.col("of") * F.col("w")) / F.sum("w")).alias("mean"))
     factor = density.join(mean, "p").select("p", (F.col("mean") / F.col("density")).alias("lof"))
@@ -217,16 +224,16 @@ def _clusters(points: DataFrame, dimensions: int, eps: float, least: int, known:
     offsets = [o for o in product(range(-ring, ring + 1), repeat=dimensions) if near(o)]
     at = points.withColumn("cell", _cell("x", side))
     cells = at.groupBy("cell").agg((F.sum("w") >= least).alias("full"))
-    at = durable(at.join(cells, "cell"))
+    at = _written(at.join(cells, "cell"))
     there = at.select(F.col("cell").alias("to"), F.col("p").alias("q"), F.col("x").alias("y"), F.col("w").alias("v"))
     sparse = at.where("NOT full").select("p", "x", "cell", F.explode(_around("cell", offsets)).alias("to"))
     pairs = sparse.join(there, "to").withColumn("d", distance("x", "y")).where(F.col("d") <= eps)
-    pairs = durable(pairs.select("p", "cell", "q", "to", "v", "d"))
+    pairs = _written(pairs.select("p", "cell", "q", "to", "v", "d"))
     reached = pairs.groupBy("p").agg(F.sum("v").alias("n")).where(F.col("n") >= least).select("p")
     core = at.where("full").select("p").unionByName(reached)
     if known is not None:
         core = core.unionByName(known.where("core").select("p")).distinct()
-    cored = durable(at.join(core, "p").select("p", "x", "cell", "full"))
+    cored = _written(at.join(core, "p").select("p", "x", "cell", "full"))
     is_core = cored.select(F.col("p").alias("q"), F.col("cell").alias("to"))
     # Cells that are together for certain.
     links = pairs.select("p", "cell", "q").join(cored.select("p"), "p").join(is_core, "q").select(F.col("cell").alias("a"), F.col("to").alias("b"))
@@ -236,21 +243,21 @@ def _clusters(points: DataFrame, dimensions: int, eps: float, least: int, known:
         links = links.unionByName(of.join(of.groupBy("cluster").agg(F.min("cell").alias("b")), "cluster").select(F.col("cell").alias("a"), "b"))
     full = cored.where("full")
     boxes = full.groupBy("cell").agg(*[f(F.col("x")[i]).alias(f"{n}{i}") for i in range(dimensions) for n, f in (("lo", F.min), ("hi", F.max))])
-    boxes = durable(boxes.select("cell", F.array(*[f"lo{i}" for i in range(dimensions)]).alias("lo"), F.array(*[f"hi{i}" for i in range(dimensions)]).alias("hi")))
+    boxes = _written(boxes.select("cell", F.array(*[f"lo{i}" for i in range(dimensions)]).alias("lo"), F.array(*[f"hi{i}" for i in range(dimensions)]).alias("hi")))
     box_gap = lambda lo, hi, lo2, hi2: F.sqrt(sum((F.pow(F.greatest(lo2[i] - hi[i], lo[i] - hi2[i], F.lit(0.0)), 2) for i in range(dimensions)), F.lit(0.0)))
     other = boxes.select(F.col("cell").alias("to"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     doors = boxes.withColumn("to", F.explode(_around("cell", offsets))).join(other, "to").where(F.col("cell") != F.col("to"))
-    doors = durable(doors.where(box_gap(F.col("lo"), F.col("hi"), F.col("lo2"), F.col("hi2")) <= eps).select("cell", "to", "lo2", "hi2"))
+    doors = _written(doors.where(box_gap(F.col("lo"), F.col("hi"), F.col("lo2"), F.col("hi2")) <= eps).select("cell", "to", "lo2", "hi2"))
     to_box = F.sqrt(F.aggregate(F.zip_with("x", F.zip_with("lo2", "hi2", lambda l, h: F.struct(l.alias("l"), h.alias("h"))), lambda v, b: F.greatest(b["l"] - v, v - b["h"], F.lit(0.0))), F.lit(0.0), lambda s, v: s + v * v))
     facing = full.join(doors, "cell").withColumn("g", to_box).where(F.col("g") <= eps)
-    best = durable(facing.groupBy("cell", "to").agg(F.min_by("x", F.struct("g", "p")).alias("x")))
+    best = _written(facing.groupBy("cell", "to").agg(F.min_by("x", F.struct("g", "p")).alias("x")))
     tried = best.join(best.select(F.col("cell").alias("to"), F.col("to").alias("cell"), F.col("x").alias("y")), ["cell", "to"]).where(F.col("cell") < F.col("to"))
-    tried = durable(tried.select("cell", "to", (distance("x", "y") <= eps).alias("linked")))
-    links = durable(links.unionByName(tried.where("linked").select(F.col("cell").alias("a"), F.col("to").alias("b"))))
+    tried = _written(tried.select("cell", "to", (distance("x", "y") <= eps).alias("linked")))
+    links = _written(links.unionByName(tried.where("linked").select(F.col("cell").alias("a"), F.col("to").alias("b"))))
     labels = components(links)
     open_ = tried.where("NOT linked").select("cell", "to")
     label = lambda c, n: labels.select(F.col("node").alias(c), F.col("label").alias(n))
-    open_ = durable(open_.join(label("cell", "l1"), "cell").join(label("to", "l2"), "to").where("l1 != l2").select("cell", "to"))
+    open_ = _written(open_.join(label("cell", "l1"), "cell").join(label("to", "l2"), "to").where("l1 != l2").select("cell", "to"))
     if not open_.isEmpty():
         here = facing.select("cell", "to", "x").join(open_, ["cell", "to"])
         over = facing.select(F.col("cell").alias("to"), F.col("to").alias("cell"), F.col("x").alias("y")).join(open_, ["cell", "to"])
@@ -259,10 +266,10 @@ def _clusters(points: DataFrame, dimensions: int, eps: float, least: int, known:
     own = cored.join(labels.select(F.col("node").alias("cell"), "label"), "cell").select("p", "label")
     first = own.groupBy("label").agg(F.min("p").alias("first"))
     numbers = ordering.row_numbers(first, [F.col("first")], "rn").select("label", (F.col("rn") - 1).alias("cluster"))
-    own = durable(own.join(numbers, "label").select("p", "cluster"))
+    own = _written(own.join(numbers, "label").select("p", "cluster"))
     edge = pairs.join(own.select(F.col("p").alias("q"), "cluster"), "q").groupBy("p").agg(F.min(F.struct("d", "q", "cluster"))["cluster"].alias("edge"))
     out = points.select("p").join(own, "p", "left").join(edge, "p", "left")
-    return durable(out.select("p", F.coalesce("cluster", "edge", F.lit(-1)).cast("bigint").alias("cluster"), F.col("cluster").isNotNull().alias("core")))
+    return _written(out.select("p", F.coalesce("cluster", "edge", F.lit(-1)).cast("bigint").alias("cluster"), F.col("cluster").isNotNull().alias("core")))
 
 
 def eps_sweep(df: DataFrame, key: str, x: str, least: int, k: int = 8, shares: Sequence[float] = (0.7, 0.8, 0.85, 0.9, 0.93, 0.95, 0.97, 0.98, 0.99), max_noise: float = 0.25) -> DataFrame:
@@ -273,7 +280,7 @@ def eps_sweep(df: DataFrame, key: str, x: str, least: int, k: int = 8, shares: S
     Each eps goes on from the clusters of the one before: they can only grow and merge.
     """
     points, names, dimensions = distinct_points(df, key, x)
-    far = nearest(points, k - 1, dimensions).groupBy("p").agg(F.max("kdist").alias("kdist"))
+    far = _written(nearest(points, k - 1, dimensions).groupBy("p").agg(F.max("kdist").alias("kdist")))
     epses = ordering.quantile_list(names.join(far, "p"), "kdist", list(shares))
     rows, known = [], None
     weights = points.select("p", "w", "x")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -62,22 +64,40 @@ def silhouettes(df: DataFrame, x: str = "x", cluster: str = "cluster") -> DataFr
     """Adds ``silhouette`` by squared Euclidean distances, exactly, from each cluster's sums.
 
     The mean squared distance of a row to a cluster is |x|^2 - 2 x . S / n + Q / n.  The clusters are
-    k rows, taken along as literals; a row alone in its cluster has 0.
+    k rows, sent to the tasks, so that the plan does not grow with them; a row alone in its cluster has 0.
     """
-    sums = cluster_sums(df, x, cluster).collect()  # k rows
-    xx = F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v)
-    parts = []
-    for r in sums:
-        dot = F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in r["sum"]]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        parts.append((r[cluster], r["n"], xx * r["n"] - 2 * dot + float(r["ss"])))
-    own, n_own, other = F.lit(None).cast("double"), F.lit(None).cast("bigint"), []
-    for name, n, total in parts:
-        mine = F.col(cluster) == F.lit(name)
-        own, n_own = F.when(mine, total / max(1, n - 1)).otherwise(own), F.when(mine, F.lit(n)).otherwise(n_own)
-        other.append(F.when(~mine, total / n))
-    nearest = F.array_min(F.filter(F.array(*other), lambda v: v.isNotNull()))
-    s = (nearest - own) / F.greatest(nearest, own)
-    return df.withColumn("silhouette", F.when(n_own > 1, s).otherwise(0.0))
+    sums = cluster_sums(df, x, cluster).where(F.col(cluster).isNotNull()).collect()  # k rows
+    if not sums:
+        return df.withColumn("silhouette", F.lit(0.0))
+    shared = df.sparkSession.sparkContext.broadcast((
+        {r[cluster]: i for i, r in enumerate(sums)}, np.array([r["n"] for r in sums], float), np.array([r["sum"] for r in sums], float), np.array([r["ss"] for r in sums], float)))
+
+    @F.arrow_udf("double")
+    def judged(points: pa.Array, labels: pa.Array) -> pa.Array:
+        at, n, centres, squares = shared.value
+        out = np.zeros(len(points))
+        gone = np.zeros(len(points), bool)
+        label = np.array([at.get(v, -1) for v in labels.to_pylist()], int)
+        many = (label >= 0) & (n[label] > 1)
+        # As by row: a point without components, or without another cluster, has none.
+        known = many & np.array(points.is_valid()) & (len(n) > 1)
+        gone[many & ~known] = True
+        rows = np.flatnonzero(known)
+        step = max(1, (1 << 20) // centres.size)
+        for i in range(0, len(rows), step):
+            own = rows[i : i + step]
+            v = np.array(points.take(pa.array(own)).to_pylist(), float)
+            total = (v * v).sum(axis=1)[:, None] * n - 2 * (v @ centres.T) + squares
+            mine = (np.arange(len(own)), label[own])
+            a = total[mine] / (n[label[own]] - 1)
+            total = total / n
+            total[mine] = np.inf
+            b = total.min(axis=1)
+            most = np.maximum(a, b)
+            out[own] = np.divide(b - a, most, out=np.zeros(len(own)), where=most != 0)
+        return pa.array(out, mask=gone | np.isnan(out))
+
+    return df.withColumn("silhouette", judged(F.transform(x, lambda v: v.cast("double")), F.col(cluster)))
 
 
 def separation(df: DataFrame, x: str = "x", cluster: str = "cluster") -> dict[str, float | None]:
