@@ -65,3 +65,17 @@ def test_copies_count_once(spark):
     assert all(np.array_equal(a, b) for a, b in zip(once, many))
     few = quality_model.learn(docs, labels, F.lit(True), sample_rows=3)
     assert all(np.array_equal(a, b) for a, b in zip(few, many))
+
+
+def test_every_labelled_text_is_learned_from(spark):
+    """Small blocks, one label scarce: moments, pairs and threshold are those of all rows in memory."""
+    texts = [f"Text number {i} goes on, with {'some ' * (i % 7)}words." if i % 5 else f"!!! {i} ### {'x ' * (i % 4)}" for i in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 5 != 0) AS quality")
+    mean, scale, w, threshold, _ = quality_model.learn(docs, labels, F.lit(True), block=3)
+    x = np.array([quality_model.features(t) for t in texts])
+    assert np.allclose(mean, x.mean(0)) and np.allclose(scale, np.where(x.std(0) > 1e-9, x.std(0), 1))
+    s = np.sort((x - mean) / scale @ w)
+    assert np.isclose(threshold, (s[17] + s[18]) / 2)
+    whole = quality_model.learn(docs, labels, F.lit(True))
+    assert all(np.allclose(a, b) for a, b in zip(whole, quality_model.fit(x, np.arange(90) % 5 != 0)))
