@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.catalog.evaluation import _round
 from plumbline.catalog.registry import query
 from plumbline.operators import baskets as B
+from plumbline.session import durable
 
 _PAIRS = """p AS (SELECT DISTINCT l_orderkey AS basket, upper(trim(p_type)) AS item FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 0 AND p_type IS NOT NULL),
 b AS (SELECT basket, list_sort(list(item)) AS items FROM p GROUP BY 1 HAVING count(*) >= 2), t AS (SELECT count(*) AS total FROM b), e AS (SELECT basket, unnest(items) AS item FROM b)"""
@@ -80,8 +81,8 @@ def _(t):
     """The sets of both algorithms, with their counts: what only one has, and what they count differently."""
     from pyspark.ml.fpm import FPGrowth
 
-    rows = baskets(t)
-    one = itemsets(t).select(F.array_join("items", ",").alias("s"), F.col("n").alias("a"))
+    rows = durable(baskets(t))
+    one = B.frequent_itemsets(rows, 0.05).select(F.array_join("items", ",").alias("s"), F.col("n").alias("a"))
     found = FPGrowth(itemsCol="items", minSupport=0.05, minConfidence=1.0).fit(rows.select("items")).freqItemsets
     two = found.where(F.size("items") <= 3).select(F.array_join(F.array_sort("items"), ",").alias("s"), F.col("freq").alias("b"))
     counts = one.join(two, "s", "full").agg(
@@ -140,7 +141,8 @@ def _(t):
 n AS (SELECT basket, lift, unnest(list_filter(c, lambda x: NOT list_contains(items, x))) AS item FROM hit), best AS (SELECT basket, item, max(lift) AS lift FROM n GROUP BY 1, 2)
 SELECT basket, item, round(lift, 6) AS lift FROM (SELECT *, row_number() OVER (PARTITION BY basket ORDER BY lift DESC, item) AS rn FROM best) WHERE rn <= 2""")
 def _(t):
-    return _round(B.completions(baskets(t), found_rules(t), 2), 6)
+    rows = durable(baskets(t))
+    return _round(B.completions(rows, B.rules(B.frequent_itemsets(rows, 0.05), 0.1, 0.5), 2), 6)
 
 
 @query("bsk19_rule_search", "BSK-19 FLT-6", f"WITH {_RULES} SELECT antecedent, consequent, round(lift, 6) AS lift FROM rules WHERE list_contains(string_split(antecedent || ',' || consequent, ','), 'PROMO') AND lift >= 0.95")
@@ -159,6 +161,7 @@ SELECT antecedent, consequent, late_n, round(late_n * t::DOUBLE / (na * nc), 6)
 def _(t):
     cut = F.lit("1999-01-01").cast("timestamp_ntz")
     p = pairs(t).join(t.orders.select(F.col("o_orderkey").alias("basket"), (F.col("o_orderdate") < cut).alias("early")), "basket")
+    p = durable(p)
     early, late = p.where("early").drop("early"), p.where("not early").drop("early")
     items = early.select("item").distinct()
     found = B.rules(B.frequent_itemsets(B.baskets(early, items), 0.05), 0.1, 0.5)

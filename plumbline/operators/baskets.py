@@ -24,6 +24,12 @@ def baskets(pairs: DataFrame, items: DataFrame, least: int = 2) -> DataFrame:
     return rows.groupBy("basket").agg(F.array_sort(F.collect_set("item")).alias("items")).where(F.size("items") >= least)
 
 
+def kinds(rows: DataFrame, *more: Column) -> DataFrame:
+    """(items, rows, basket) and ``more``: the distinct sets of items, how many rows have each, and a number for it; written."""
+    same = rows.groupBy(F.array_sort(F.array_distinct("items")).alias("items")).agg(F.count(F.lit(1)).alias("rows"), *more)
+    return durable(same.withColumn("basket", F.monotonically_increasing_id()))
+
+
 def candidates(level: DataFrame) -> DataFrame:
     """(head, last): the sets one longer than those of ``level`` (s, sorted arrays) all of whose parts are in it."""
     cut = level.select("s", F.slice("s", 1, F.size("s") - 1).alias("stem"), F.element_at("s", -1).alias("end"))
@@ -42,13 +48,15 @@ def frequent_itemsets(rows: DataFrame, support: float, longest: int = 3) -> Data
     A set can be frequent only if all its parts are, so a level's candidates are made from the
     frequent sets of the one before, and a basket is looked at as rows (basket, set): what it has
     of a level is joined with the candidates that begin so, and then with its own items.  No set
-    that is not a candidate is ever made in a basket, however long it is.
+    that is not a candidate is ever made in a basket, however long it is.  Baskets of the same items
+    are looked at once, with their number.
     """
-    total = rows.count()
+    rows = kinds(rows, F.count("basket").alias("named"))  # a null basket has items, but no pairs
+    total = rows.agg(F.sum("rows")).first()[0] or 0
     least = support * total
-    held = rows.select("basket", F.explode(F.array_distinct("items")).alias("item"))
-    singles = durable(held.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least))
-    held = durable(held.join(singles.select("item"), "item", "left_semi").select("basket", "item"))
+    held = rows.select("basket", "rows", "named", F.explode("items").alias("item"))
+    singles = durable(held.groupBy("item").agg(F.sum("rows").alias("n")).where(F.col("n") >= least))
+    held = durable(held.join(singles.select("item"), "item", "left_semi").select("basket", "item", "named"))
     level = singles.select(F.array("item").alias("s"), "n")
     out, at = level, held.select("basket", F.array("item").alias("s"))
     for _ in range(1, longest):
@@ -56,10 +64,10 @@ def frequent_itemsets(rows: DataFrame, support: float, longest: int = 3) -> Data
         if next_.isEmpty():
             break
         grown = at.join(next_, at["s"] == next_["head"]).select("basket", "head", F.col("last").alias("item"))
-        at = grown.join(held, ["basket", "item"]).select("basket", F.concat("head", F.array("item")).alias("s"))
-        level = durable(at.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least))
+        at = durable(grown.join(held, ["basket", "item"]).select("basket", "named", F.concat("head", F.array("item")).alias("s")))
+        level = durable(at.groupBy("s").agg(F.sum("named").alias("n")).where(F.col("n") >= least))
         out = out.unionByName(level)
-        at = at.join(level.select("s"), "s", "left_semi")
+        at = at.join(level.select("s"), "s", "left_semi").select("basket", "s")
     return out.select(F.col("s").alias("items"), "n", (F.col("n") / F.lit(max(1, total))).alias("support"))
 
 
@@ -89,15 +97,23 @@ def lift_band(lift: Column) -> Column:
 def completions(rows: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """(basket, item, lift): for each basket the k items that its best applicable rules add, by lift.
 
-    A rule is reached by its first antecedent item, then the whole antecedent is checked.
+    A rule is reached by its first antecedent item, then the whole antecedent is checked.  Baskets of
+    the same items are completed once.
     """
+    whole = durable(rows.select("basket", "items", F.array_sort(F.array_distinct("items")).alias("kind")))
+    rows = durable(whole.select(F.col("kind").alias("items")).distinct().withColumn("basket", F.monotonically_increasing_id()))
     by_item = rows.select("basket", "items", F.explode("items").alias("first"))
     keyed = found.select("antecedent", "consequent", "lift", F.element_at("antecedent", 1).alias("first"))
     hits = by_item.join(keyed, "first").where(F.size(F.array_except("antecedent", "items")) == 0)
     new = hits.select("basket", "lift", F.explode(F.array_except("consequent", "items")).alias("item"))
     best = new.groupBy("basket", "item").agg(F.max("lift").alias("lift"))
     top = best.groupBy("basket").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("lift")).alias("minus"), "item"))), 1, k).alias("t"))
-    return top.select("basket", F.inline("t")).select("basket", "item", (-F.col("minus")).alias("lift"))
+    top = rows.join(top, "basket").select(F.col("items").alias("kind"), "t")
+    own = whole.join(top, "kind").groupBy("basket").agg(F.array_sort(F.flatten(F.collect_set("t"))).alias("t"))
+    # A basket that comes as several rows has the best of them.
+    first = F.filter("t", lambda x, i: ~F.array_contains(F.slice(F.transform("t", lambda y: y["item"]), F.lit(1), i), x["item"]))
+    own = own.select("basket", F.inline(F.slice(first, 1, k)))
+    return own.select("basket", "item", (-F.col("minus")).alias("lift"))
 
 
 def remeasured(found: DataFrame, late: DataFrame, least_lift: float) -> DataFrame:
@@ -106,10 +122,11 @@ def remeasured(found: DataFrame, late: DataFrame, least_lift: float) -> DataFram
     The late baskets are those of the vocabulary that the rules were mined with.
     """
     sides = found.select(F.col("antecedent").alias("s")).union(found.select("consequent")).union(found.select(F.array_sort(F.concat("antecedent", "consequent")))).distinct()
-    first = late.select("items", F.explode("items").alias("first"))
+    late = kinds(late)
+    first = late.select("items", "rows", F.explode("items").alias("first"))
     hits = first.join(sides.select("s", F.element_at("s", 1).alias("first")), "first").where(F.size(F.array_except("s", "items")) == 0)
-    counts = hits.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    total = late.count()
+    counts = hits.groupBy("s").agg(F.sum("rows").alias("n"))
+    total = late.agg(F.sum("rows")).first()[0] or 0
     named = lambda column, n: counts.select(F.col("s").alias(column), F.col("n").alias(n))
     out = found.withColumn("whole", F.array_sort(F.concat("antecedent", "consequent")))
     out = out.join(named("antecedent", "na"), "antecedent", "left").join(named("consequent", "nc"), "consequent", "left").join(named("whole", "late_n"), "whole", "left").drop("whole")
