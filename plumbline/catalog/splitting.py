@@ -10,6 +10,7 @@ from plumbline.catalog.relational import _HASH
 from plumbline.catalog.trips import KEPT_SQL, SCORED_SQL, kept, scored
 from plumbline.operators import features as FE
 from plumbline.operators import splits as S
+from plumbline.session import durable
 
 _H = _HASH.format(seed=42, key="id")
 _STRAT = f"WITH {SCORED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_H}, id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM scored)"
@@ -57,8 +58,9 @@ def _(t):
 _CUT = "TIMESTAMP '1999-01-01'"
 
 
-def _halves(t):
-    k, cut = kept(t), F.lit("1999-01-01").cast("timestamp_ntz")
+def _halves(t, columns=None):
+    """Early and late trips; of ``columns`` if they are read several times, and so written once."""
+    k, cut = durable(kept(t).select(*columns, "pickup")) if columns else kept(t), F.lit("1999-01-01").cast("timestamp_ntz")
     return k.where(F.col("pickup") < cut), k.where(F.col("pickup") >= cut)
 
 
@@ -131,7 +133,7 @@ def _(t):
 @query("fe10_branches", "FE-10 SPL-10", f"{_SPLIT}, f AS (SELECT pickup_zone AS z, count(*) * 1.0::DOUBLE / (SELECT count(*) FROM tr) AS v FROM tr GROUP BY 1), m AS (SELECT avg(fare) AS a, stddev_pop(fare) AS b FROM tr) SELECT l_orderkey, l_linenumber, l_partkey, round((fare - a) / b, 6) + 0.0 AS fare, round(coalesce(v, 0), 8) AS pickup_zone_freq FROM te LEFT JOIN f ON pickup_zone = z, m")
 def _(t):
     """A numeric and a frequency branch side by side; columns in neither are left out."""
-    train, test = _halves(t)
+    train, test = _halves(t, [*_KEY, "fare", "pickup_zone"])
     train = train.where("pickup_zone <> 'NATION_5'")
     S.require_absent(["fare", "pickup_zone"], ["duration", "dropoff"])
     out = test
