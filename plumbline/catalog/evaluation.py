@@ -174,7 +174,7 @@ _CUT = "TIMESTAMP '1999-01-01'"
 o AS (SELECT e, row_number() OVER (ORDER BY e) - 1 AS i FROM cal), a AS (SELECT min(e) AS adj FROM o, n WHERE i >= ceil(least(1.0::DOUBLE, 0.8::DOUBLE * (1 + 1.0::DOUBLE / n)) * (n - 1))),
 late AS (SELECT y, least(lo - adj, hi + adj) AS lo, greatest(lo - adj, hi + adj) AS hi FROM pred, a WHERE pickup >= {_CUT}) SELECT {_INT} FROM late""")
 def _(t):
-    p, cut = predicted(t), F.lit("1999-01-01").cast("timestamp_ntz")
+    p, cut = durable(predicted(t).select("y", "p", "lo", "hi", "pickup")), F.lit("1999-01-01").cast("timestamp_ntz")
     adjustment = E.conformal_adjustment(p.where(F.col("pickup") < cut), 0.2)
     return _intervals(E.conformal(p.where(F.col("pickup") >= cut), adjustment))
 
