@@ -29,7 +29,7 @@ _PENALTY = 25.0
 
 @query("mdl1_ridge", "MDL-1", f"WITH {KEPT_SQL}, m AS (SELECT covar_pop(fare, distance) / (var_pop(distance) + {_PENALTY}) AS slope, avg(fare) AS y, avg(distance) AS x FROM kept) SELECT round(any_value(slope), 4) AS slope, round(any_value(y - slope * x), 4) AS intercept, round(1 - avg((fare - (y - slope * x) - slope * distance) ** 2) / var_pop(fare), 6) AS r2 FROM kept, m")
 def _(t):
-    rows = kept(t).select("distance", "fare")
+    rows = durable(kept(t).select("distance", "fare"))
     m = M.ridge(rows, ["distance"], "fare", _PENALTY)
     r2 = 1 - F.avg(F.pow(F.col("fare") - m.predict(), 2)) / F.var_pop("fare")
     return rows.agg(F.round(F.lit(m.coefficients[0]), 4).alias("slope"), F.round(F.lit(m.intercept), 4).alias("intercept"), F.round(r2, 6).alias("r2"))
