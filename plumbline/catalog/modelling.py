@@ -43,7 +43,7 @@ def _scored_once(t, *families):
     """Each family fitted on the training rows and judged once on the others."""
     parts, out = _parts(t), None
     for name in families:
-        model = M.pipeline(name, NUMERIC, CATEGORICAL).fit(parts.where("part = 'train'"))
+        model = M.fitted(M.pipeline(name, NUMERIC, CATEGORICAL), parts.where("part = 'train'").select("label", *NUMERIC, *CATEGORICAL))
         p = M.scores(model, parts.where("part = 'test'"), "p").select(F.lit(name).alias("family"), "id", "label", "p")
         out = p if out is None else out.unionByName(p)
     return out
@@ -56,7 +56,7 @@ def _(t):
 
 @query("mdl2_forest", "MDL-2 MDL-18")
 def _(t):
-    model = M.pipeline("forest", NUMERIC, CATEGORICAL).fit(_parts(t).where("part = 'train'"))
+    model = M.fitted(M.pipeline("forest", NUMERIC, CATEGORICAL), _parts(t).where("part = 'train'").select("label", *NUMERIC, *CATEGORICAL))
     weights = [float(x) for x in model.stages[-1].featureImportances.toArray()]
     return t.spark.range(1).select(F.posexplode(F.array(*[F.lit(w) for w in weights])).alias("feature", "importance"))
 
@@ -138,7 +138,7 @@ def _(t):
 @query("mdl14_rules", "MDL-14")
 def _(t):
     work = _oof(t).withColumn("decision", (F.col("p_boosting") >= 0.4).cast("double"))
-    found = M.tree_rules(M.shallow_tree(["price", "score"]).fit(work), ["price", "score"])
+    found = M.tree_rules(M.fitted(M.shallow_tree(["price", "score"]), work), ["price", "score"])
     return t.spark.createDataFrame([(i, *r) for i, r in enumerate(found)], "rule bigint, conditions string, decision double, n double")
 
 

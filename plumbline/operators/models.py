@@ -33,6 +33,22 @@ def pipeline(family: str, numeric: Sequence[str], categorical: Sequence[str] = (
     return Pipeline(stages=[*index, *hot, assemble, FAMILIES[family](**params).setLabelCol(label).setFeaturesCol("features")])
 
 
+#: Rows that one task takes of what a tree learner keeps in memory.
+TASK_ROWS = 200_000
+
+
+def fitted(estimator: Estimator, df: DataFrame) -> PipelineModel:
+    """``estimator`` fitted to ``df``; for trees the rows are dealt over so many tasks that each has TASK_ROWS of them.
+
+    Tree learners keep each partition's rows unpacked, many times the size of its file.
+    """
+    last = estimator.getStages()[-1] if isinstance(estimator, Pipeline) else estimator
+    if isinstance(last, (RandomForestClassifier, GBTClassifier, DecisionTreeClassifier)):
+        parts = -(-df.count() // TASK_ROWS)
+        df = df.repartition(parts) if parts > 1 else df
+    return estimator.fit(df)
+
+
 def scores(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame:
     """``df`` with the probability of class 1."""
     scored = model.transform(df).withColumn(out, vector_to_array("probability")[1])
@@ -48,7 +64,7 @@ def out_of_fold(df: DataFrame, makers: Mapping[str, Callable[[], Estimator]], fo
     for f in range(k):
         train, test = df.where(F.col(fold) != f), df.where(F.col(fold) == f)
         for name, make in makers.items():
-            test = scores(make().fit(train), test, f"p_{name}")
+            test = scores(fitted(make(), train), test, f"p_{name}")
         parts.append(test)
     out = parts[0]
     for p in parts[1:]:
@@ -85,7 +101,7 @@ def cross_fitted(df: DataFrame, make: Callable[[], Estimator], score: Callable[[
     """``score(model, rows)`` of each fold's rows by the model that was fitted on the other folds."""
     out = None
     for f in range(k):
-        part = score(make().fit(df.where(F.col(fold) != f)), df.where(F.col(fold) == f))
+        part = score(fitted(make(), df.where(F.col(fold) != f)), df.where(F.col(fold) == f))
         out = part if out is None else out.unionByName(part)
     return durable(out)
 

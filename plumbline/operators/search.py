@@ -11,7 +11,7 @@ from pyspark.ml import Estimator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators.models import average_precision, scores
+from plumbline.operators.models import average_precision, fitted, scores
 
 LEDGER = "family string, trial bigint, params string, status string, cv_mean double, cv_std double, message string, accepted boolean"
 Metric = Callable[[DataFrame, str, str], float]
@@ -34,7 +34,7 @@ def cross_validated(df: DataFrame, make: Callable[[], Estimator], folds: int, me
     """The metric on each fold, by a model fitted on the others."""
     out = []
     for f in range(folds):
-        model = make().fit(df.where(F.col(fold) != f))
+        model = fitted(make(), df.where(F.col(fold) != f))
         out.append(float(metric(scores(model, df.where(F.col(fold) == f)), label, "score")))
     return out
 
@@ -117,7 +117,7 @@ def leaderboard(ledger: DataFrame, train: DataFrame, test: DataFrame, families:
             rows.append((name, None, len(own), len(own), None, None, None, None, None, None))
             continue
         best = max(fine, key=lambda r: (r["cv_mean"], -r["trial"]))
-        held = float(metric(scores(family.make(**json.loads(best["params"])).fit(train), test), label, "score"))
+        held = float(metric(scores(fitted(family.make(**json.loads(best["params"])), train), test), label, "score"))
         first = own[0]["cv_mean"]
         off = best["cv_mean"] - held
         rows.append((name, best["params"], len(own), len(own) - len(fine), first, best["cv_mean"], held, None if first is None else best["cv_mean"] - first, off, off > gap))

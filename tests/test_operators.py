@@ -78,3 +78,41 @@ def test_scores_that_are_not_numbers_count_nowhere(spark):
     df = spark.createDataFrame([(1, 0.9), (0, 0.1), (1, float("nan")), (0, float("nan")), (1, None), (None, 0.5)], "label int, score double")
     assert tuple(evaluation.confusion(df, 0.5).first()) == (1, 0, 1, 0)
     assert evaluation.totals(evaluation.score_table(df)) == (1, 1)
+
+
+def test_equal_baskets_are_looked_at_once(spark):
+    """Completions of baskets that come as several rows, and null baskets, which have items but no pairs."""
+    from plumbline.operators import baskets as B
+
+    rows = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "b"]), (3, ["a"]), (3, ["c"]), (None, ["a", "b"])], "basket bigint, items array<string>")
+    assert {(r["items"], r["rows"]) for r in B.kinds(rows).selectExpr("array_join(items, '') AS items", "rows").collect()} == {("ab", 3), ("a", 1), ("c", 1)}
+    sets = {"".join(r["items"]): r["n"] for r in B.frequent_itemsets(rows, 0.2).collect()}
+    assert sets == {"a": 4, "b": 3, "c": 1, "ab": 2}
+    rules = spark.createDataFrame([(["a"], ["b", "d"], 2.0), (["c"], ["b"], 3.0), (["c"], ["e"], 1.0)], "antecedent array<string>, consequent array<string>, lift double")
+    got = {(r["basket"], r["item"], r["lift"]) for r in B.completions(rows, rules, 2).collect()}
+    assert got == {(1, "d", 2.0), (2, "d", 2.0), (None, "d", 2.0), (3, "b", 3.0), (3, "d", 2.0)}
+
+
+def test_silhouettes_of_many_clusters_keep_the_plan_small(spark):
+    from plumbline.operators import segments as S
+
+    rows = spark.range(400).selectExpr("id", "id DIV 2 AS cluster", "array(double(id DIV 2 * 10 + id % 2), 0D) AS x")
+    found = S.silhouettes(rows)
+    assert len(found._jdf.queryExecution().analyzed().toString()) < 20_000
+    assert all(abs(r["silhouette"] - (1 - 1 / 90.5)) < 0.02 for r in found.collect())
+
+
+def test_tree_rows_are_dealt(spark, monkeypatch):
+    from plumbline.operators import models as M
+
+    rows = spark.range(100).selectExpr("double(id % 2) AS label", "double(id) AS x").coalesce(1)
+    seen = []
+
+    class Probe(M.Pipeline):
+        def fit(self, df):
+            seen.append(df.rdd.getNumPartitions())
+
+    monkeypatch.setattr(M, "TASK_ROWS", 30)
+    for family in ("forest", "logistic"):
+        M.fitted(Probe(stages=M.pipeline(family, ["x"]).getStages()), rows)
+    assert seen == [4, 1]
