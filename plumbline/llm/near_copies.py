@@ -1,12 +1,14 @@
-"""Near copies by exact Jaccard similarity of word shingles, with min-hash bands for candidates.
+"""Near copies by exact Jaccard similarity of word shingles, with SimHash groups and min-hash bands for candidates.
 
 Two texts are near copies if the sets of their shingles of ``shingle`` words have a Jaccard
 similarity of at least ``least``; the components of these links are the groups.  Words are as in
 ``simhash_dedup``.
 
-Texts with equal sets are one node, so copies are never paired.  A node has BANDS keys of ROWS
-min-hashes each; nodes with a key in common are candidates, and each candidate pair is verified on
-its whole sets.  A link is therefore never wrong, but it can be missed: a pair of similarity s has
+Texts with equal sets are one node, so copies are never paired.  Each text has its fingerprint of
+``simhash_dedup``, and the group that the links of that method make is a key of its node.  Its two
+bits are close to identity, so a node has BANDS more keys, of ROWS min-hashes each.  Nodes with a
+key in common are candidates, and each candidate pair is verified on its whole sets.  A link is
+therefore never wrong, but it can be missed: a pair of similarity s that SimHash does not group has
 a key in common with probability 1 - (1 - s ** ROWS) ** BANDS, which is 0.998 at 0.8.
 
 Of keys that up to ``bucket`` nodes share all pairs are candidates.  Under a larger key, which a
@@ -37,6 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm import simhash_dedup
 from plumbline.llm.common import BROADCAST_BYTES, quoted, small, stored
 from plumbline.llm.simhash_dedup import SEED, components, keep_one, named, shingle_hashes
 
@@ -74,12 +77,12 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def marked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, text_hash, fp, keys, sketch, shingles): one row per row; fp is a hash of the set of shingles, a sketch has a byte of each min-hash."""
+    """(id, text_hash, fp, keys, sketch, shingles, print): one row per row; fp is a hash of the set of shingles, a sketch has a byte of each min-hash, print is the SimHash."""
     rows = docs.select(quoted(doc_id).alias("id"), F.xxhash64(quoted(text)).alias("text_hash"), quoted(text).alias("t"))
     longs = T.ArrayType(T.LongType())
     schema = T.StructType([
         rows.schema["id"], T.StructField("text_hash", T.LongType()), T.StructField("fp", T.LongType()),
-        T.StructField("keys", longs), T.StructField("sketch", T.BinaryType()), T.StructField("shingles", longs)])
+        T.StructField("keys", longs), T.StructField("sketch", T.BinaryType()), T.StructField("shingles", longs), T.StructField("print", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -87,21 +90,33 @@ def marked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 b = whole.slice(at, BATCH)
-                sets = [np.unique(shingle_hashes(x.as_py(), shingle)) for x in b.column(2)]
+                texts = b.column(2).to_pylist()
+                sets = [np.unique(shingle_hashes(x, shingle)) for x in texts]
+                prints = np.array([simhash_dedup.fingerprint(x) for x in texts], np.uint64).view(np.int64)
                 fp = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
                 least = [min_hashes(s) for s in sets]
                 keys = [band_keys(x) if len(s) else [] for s, x in zip(sets, least)]  # the empty set has no key
                 yield pa.RecordBatch.from_arrays([
                     b.column(0), b.column(1), pa.array(fp), pa.array(keys, pa.list_(pa.int64())),
                     pa.array([(x >> np.uint64(56)).astype(np.uint8).tobytes() for x in least], pa.binary()),
-                    pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=schema.names)
+                    pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(prints)], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
-def keyed(nodes: DataFrame) -> DataFrame:
-    """(key, fp, n, size): nodes (fp, n, keys) under the keys that more than one has; size is the key's."""
+def print_groups(marks: DataFrame) -> DataFrame:
+    """(fp, key): the nodes under the groups that ``simhash_dedup`` makes of their texts' fingerprints."""
+    prints = stored(marks.select("fp", "print").distinct(), "near-prints")
+    roots = stored(components(simhash_dedup.links(prints.select(F.col("print").alias("fp")).distinct())), "near-print-roots")
+    found = prints.join(roots, prints["print"] == roots["node"], "left").select("fp", F.coalesce("root", "print").alias("root"))
+    return found.select("fp", F.xxhash64("root", F.lit("print")).alias("key")).distinct()  # no band's key
+
+
+def keyed(nodes: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """(key, fp, n, size): nodes (fp, n, keys) under the keys, ``groups`` (fp, key) included, that more than one has; size is the key's."""
     rows = nodes.select("fp", "n", F.explode("keys").alias("key"))
+    if groups is not None:
+        rows = rows.unionByName(nodes.where("n > 0").select("fp", "n").join(groups, "fp"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     return stored(rows.join(shared, "key"), "near-members")
 
@@ -214,7 +229,7 @@ def links(marks: DataFrame, least: float = LEAST, bucket: int = BUCKET, broadcas
     """(u, v), u > v: links between the nodes of ``marks``, enough for the components."""
     nodes = marks.groupBy("fp").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first(F.size("shingles")).alias("n"))
     nodes = stored(nodes, "near-nodes")
-    members = keyed(nodes)
+    members = keyed(nodes, print_groups(marks))
     found = verified(marks, candidates(members, least, bucket), least, broadcast_bytes)
     if members.where(F.col("size") > bucket).isEmpty():
         return found

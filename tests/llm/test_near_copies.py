@@ -7,7 +7,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from plumbline.llm import near_copies
+from plumbline.llm import near_copies, simhash_dedup
 from tests.llm.fixtures import awkward, nothing
 
 
@@ -87,6 +87,29 @@ def test_loosely_linked_family_loses_nothing(spark, monkeypatch, block, set_boun
     assert got == expected
 
 
+@pytest.mark.parametrize("bucket", [2, 32])
+def test_groups_of_fingerprints_are_candidates(spark, bucket):
+    """Without any min-hash key the links are those that SimHash groups and the whole sets allow."""
+    rng = random.Random(3)
+    texts = []
+    for _ in range(12):
+        base = " ".join(f"w{rng.randrange(5000)}" for _ in range(900))
+        texts += [base, f"{base} one", f"{base} two"]
+    repeated = "a b c d e f g " * 150  # repeats weigh in a fingerprint, not in a set
+    texts += [repeated + " ".join(f"{x}{i}" for i in range(8)) for x in "xy"] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = near_copies.stored(near_copies.marked(df).withColumn("keys", near_copies.F.expr("cast(array() as array<bigint>)")), "test-marks")
+    group = {r["id"]: r["component_id"] for r in simhash_dedup.near_duplicates(df).collect()}
+    assert group[36] == group[37] and len(set(group.values())) < 30
+    expected = {i: i for i in range(len(texts))}
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:i]):
+            if group[i] == group[j] and similar(shingles(a), shingles(b)):
+                expected[i] = min(expected[i], expected[j])
+    found = near_copies.named(marks.select("id", "text_hash", "fp"), near_copies.links(marks, bucket=bucket)).collect()
+    assert {r["id"]: r["component_id"] for r in found} == expected
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark, 3)
     kept = near_copies.drop_near_copies(docs)
