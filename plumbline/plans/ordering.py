@@ -116,7 +116,13 @@ def quantiles(
         both = c.join(sizes, on).select(*[F.col(f"c.`{g}`") for g in group], "c.__v", "c.ties", "c.upto", "s.n")
     else:
         both = cum.withColumn("n", F.lit(sizes.first()["n"]).cast("bigint"))
-    marked = both.select("*", F.explode(F.array(*[F.lit(p) for p in probs])).alias("prob"))
+    return picked_quantiles(both, probs, group)
+
+
+def picked_quantiles(counted: DataFrame, probs: Sequence[float], group: Sequence[str] = ()) -> DataFrame:
+    """(group, prob, quantile) from (group, __v, ties, upto, n): values with their running counts, at least those at the ranks asked for."""
+    v = F.col("__v")
+    marked = counted.select("*", F.explode(F.array(*[F.lit(p) for p in probs])).alias("prob"))
     h = (F.col("n") - 1) * F.col("prob")
     first, last = F.col("upto") - F.col("ties"), F.col("upto") - 1
     holds = lambda i: (i >= first) & (i <= last)
@@ -130,7 +136,11 @@ def quantile_columns(
     df: DataFrame, value: str, named: Mapping[str, float], group: Sequence[str] = (), partitions: int | None = None,
 ) -> DataFrame:
     """``quantiles`` with one column per name and one row per group."""
-    long = quantiles(df, value, list(named.values()), group, partitions)
+    return in_columns(quantiles(df, value, list(named.values()), group, partitions), named, group)
+
+
+def in_columns(long: DataFrame, named: Mapping[str, float], group: Sequence[str] = ()) -> DataFrame:
+    """One row per group of ``quantiles``, a column for each name."""
     return long.groupBy(*group).agg(*[F.max(F.when(F.col("prob") == float(p), F.col("quantile"))).alias(n) for n, p in named.items()])
 
 

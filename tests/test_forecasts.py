@@ -93,3 +93,33 @@ def test_quantile_forest(spark):
     assert width[True] > 1.5 * width[False]
     leaf = forest.leaves.where("tree = 0").count()
     assert 2 <= leaf <= 32
+
+
+@pytest.mark.parametrize("bins", [1, 7, 64])
+def test_leaf_quantiles_are_exact_and_move_the_asked_bins_only(spark, bins):
+    """The quantiles of each (tree, leaf) for any number of bins; ties, infinities and a leaf of one row among them."""
+    rng = np.random.default_rng(bins)
+    y = np.concatenate((rng.normal(size=900).round(2), np.full(98, 0.5), [np.inf, -np.inf]))
+    rows = [(float(v), [int(i % 3), int(abs(v) < 1), int(i == 5)]) for i, v in enumerate(y)]
+    fallen = spark.createDataFrame(rows, "__y double, __at array<int>").repartition(3)
+    got = {(r["tree"], r["leaf"]): (r["a"], r["b"], r["c"]) for r in Q.leaf_quantiles(fallen, {"a": 0.1, "b": 0.5, "c": 0.9}, bins).collect()}
+    expected = {}
+    for tree in range(3):
+        for leaf in {r[1][tree] for r in rows}:
+            expected[tree, leaf] = tuple(np.quantile([r[0] for r in rows if r[1][tree] == leaf], [0.1, 0.5, 0.9]))
+    assert set(got) == set(expected) and all(got[k] == pytest.approx(expected[k]) for k in got)
+
+
+def test_forest_predicts_the_mean_of_its_leaves_without_a_row_for_each_tree(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i // 2, float(a), float(a + 0.1 * e)) for i, (a, e) in enumerate(rng.normal(size=(400, 2)))]
+    df = spark.createDataFrame(rows, "id long, a double, y double")
+    forest = Q.fit(df, ["a"], "y", trees=4, depth=3)
+    out = forest.predict(df, ["id"])
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    leaves = {(r["tree"], r["leaf"]): r for r in forest.leaves.collect()}
+    found: dict = {}
+    for r in Q._leaves(forest.model, df, ["a"], ["id"]).collect():
+        found.setdefault(r["id"], []).extend(leaves[k]["q50"] for k in enumerate(r["__at"]))
+    got = {r["id"]: r["q50"] for r in out.collect()}
+    assert len(got) == 200 and all(got[i] == pytest.approx(np.mean(v)) and len(v) == 8 for i, v in found.items())
