@@ -7,14 +7,14 @@ from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.evaluation import ranking_metrics, score_table
 from plumbline.operators.outliers import complete, moments
-from plumbline.plans.ordering import cumulate, portable_hash, row_numbers
+from plumbline.plans.ordering import portable_hash
 from plumbline.session import durable
 
 #: Factories from parameters to estimators; a caller may add its own.
@@ -176,31 +176,79 @@ def tree_rules(model: PipelineModel, names: Sequence[str]) -> list[tuple[str, fl
     return out
 
 
+#: Rows of a slice of an order, about.
+SLICE_ROWS = 200_000
+
+
+def _rows_before(rows: DataFrame, features: Sequence[str], key: str, repeats: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Each row in each ``__repeat``, with the features of the row before it in that repeat's order as ``__new0``...
+
+    The order is by a hash of 60 bits, even over its range, so that slices of the range are even too.
+    """
+    slices = max(1, -(-rows.count() // slice_rows))
+    hashed = portable_hash(F.concat(F.col("__repeat").cast("string"), F.lit("/"), F.col(key).cast("string")))
+    laid = rows.withColumn("__repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("__hash", hashed)
+    # Rows without a key are the first of the order.
+    laid = laid.withColumn("__slice", F.coalesce(F.floor(F.col("__hash") / F.lit(float(1 << 60)) * slices), F.lit(-1)))
+    values = F.struct(*[F.col(f).alias(f"__new{i}") for i, f in enumerate(features)])
+    group = ["__repeat", "__slice"]
+    order = Window.partitionBy(*group).orderBy("__hash", key)
+    inside = laid.withColumn("__before", F.lag(values).over(order)).withColumn("__last", F.lead(F.lit(True)).over(order).isNull())
+    inside = durable(inside.drop("__hash"))
+    # A row for each slice: what the slice before it ends with, and for the first what the last does.
+    lasts = inside.where("__last").select(*group, values.alias("__carry"))
+    along = Window.partitionBy("__repeat").orderBy("__slice")
+    ends = F.last("__carry").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    lasts = lasts.select(*group, F.coalesce(F.lag("__carry").over(along), ends).alias("__carry"))
+    both = inside.join(F.broadcast(lasts), group).withColumn("__from", F.coalesce("__before", "__carry"))
+    return both.select("__repeat", *[F.col(f"`{c}`") for c in rows.columns], "__from.*")
+
+
+def _average_precisions(scored: DataFrame, group: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """(group, ap) of rows (group, __y, __s) along ``__s``, ties together.
+
+    Slices of __s, cut alike in all groups, are totalled first; each is then ordered by itself.
+    A slice of many rows, which hold few values, is counted by value before it is moved.
+    """
+    group = list(group)
+    scored = durable(scored)
+    n, s, y = scored.count(), F.col("__s"), F.col("__y")
+    slices = max(1, -(-n // slice_rows))
+    cuts = sorted({c for c in scored.where(~F.isnan(s)).approxQuantile("__s", [i / slices for i in range(1, slices)], 0.25 / slices)} if slices > 1 else [])
+    sliced = Bucketizer(splits=[-float("inf"), *(cuts or [0.0]), float("inf")], inputCol="__s", outputCol="__slice", handleInvalid="keep").transform(scored)
+    # As Spark orders them: null first, NaN (a slice of its own) last.
+    place = F.when(s.isNull(), F.lit(-1)).otherwise(F.col("__slice").cast("int"))
+    sliced = sliced.select(*group, "__s", place.alias("__slice"), (y == 1).alias("__pos"), (y != 1).alias("__neg"))
+    group_slice = [*group, "__slice"]
+    totals = sliced.groupBy(*group_slice).agg(F.count(F.lit(1)).alias("rows"), F.count_if("__pos").alias("tp"), F.count_if("__neg").alias("fp"))
+    before = Window.partitionBy(*group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = durable(totals.select(*group_slice, "rows", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("tp", "fp")]))
+    marked = sliced.join(F.broadcast(totals), group_slice)
+    heavy = F.col("rows") > 4 * slice_rows
+    one = marked.where(~heavy).select(*group_slice, "tp0", "fp0", "__s", F.coalesce(F.col("__pos").cast("bigint"), F.lit(0)).alias("pos"), F.coalesce(F.col("__neg").cast("bigint"), F.lit(0)).alias("neg"))
+    two = marked.where(heavy).groupBy(*group_slice, "tp0", "fp0", "__s").agg(F.count_if("__pos").alias("pos"), F.count_if("__neg").alias("neg"))
+    along = Window.partitionBy(*group_slice).orderBy("__s")  # a range, so rows of one value have the same sums
+    sums = one.unionByName(two).select(*group, "pos", *[(F.col(f"{c}0") + F.sum(x).over(along)).alias(c) for c, x in (("tp", "pos"), ("fp", "neg"))])
+    return sums.groupBy(*group).agg((F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.sum("pos")).alias("ap"))
+
+
 def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], key: str, label: str = "label", repeats: int = 8) -> DataFrame:
     """(feature, mean_drop, std_drop, significant): the loss of average precision when a feature's values are dealt anew.
 
     In each repeat the rows stand in another seeded order, over all rows, and a row takes the value
-    of the row before it.  All features and repeats are scored in one pass, into one table of
-    distinct scores.  Significant is a mean drop over two standard deviations of the repeats.
+    of the row before it, the first that of the last.  All features and repeats are scored in one
+    pass.  Significant is a mean drop over two standard deviations of the repeats.
     """
     if repeats < 2:
         raise ValueError("a deviation needs two repeats at least")
     rows = durable(df)  # the model may need columns that are not dealt anew
     rest = [F.col(f"`{c}`") for c in rows.columns if c not in features]
-    n = rows.count()
-    laid = rows.withColumn("__repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    order = [portable_hash(F.concat(F.col("__repeat").cast("string"), F.lit("/"), F.col(key).cast("string"))), F.col(key)]
-    at = durable(row_numbers(laid, order, "__at", ["__repeat"]))
-    before = at.select("__repeat", (F.col("__at") % n + 1).alias("__at"), *[F.col(f).alias(f"__new{i}") for i, f in enumerate(features)])
-    both = at.join(before, ["__repeat", "__at"])
+    both = _rows_before(rows, features, key, repeats)
     swaps = F.array(*[F.struct(F.lit(i).alias("__case"), *[(F.col(f"__new{j}") if i == j else F.col(f)).alias(f"__v{j}") for j, f in enumerate(features)]) for i in range(len(features))])
     cases = both.select("__repeat", *rest, F.inline(swaps)).select("__repeat", "__case", *rest, *[F.col(f"__v{j}").alias(f) for j, f in enumerate(features)])
     whole = rows.select(F.lit(-1).alias("__repeat"), F.lit(-1).alias("__case"), *rest, *features)
-    scored = scores(model, cases.unionByName(whole))
-    y = F.col(label)
-    counts = scored.groupBy("__repeat", "__case", F.col("score")).agg(F.count_if(y == 1).alias("pos"), F.count_if(y != 1).alias("neg"))
-    table = cumulate(counts, [-F.col("score")], {"tp": F.col("pos"), "fp": F.col("neg")}, ["__repeat", "__case"])
-    found = table.groupBy("__repeat", "__case").agg((F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.sum("pos")).alias("ap")).collect()  # a row for each case
+    scored = scores(model, cases.unionByName(whole)).select("__repeat", "__case", F.col(label).alias("__y"), (-F.col("score")).alias("__s"))
+    found = _average_precisions(scored, ["__repeat", "__case"]).collect()  # a row for each case
     base = next((r["ap"] for r in found if r["__case"] == -1), None) or 0.0
     out = []
     for i, f in enumerate(features):

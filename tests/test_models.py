@@ -52,6 +52,27 @@ def test_importance_finds_the_feature_that_matters(labelled):
         M.permutation_importance(model, labelled, ["a"], "id", repeats=1)
 
 
+@pytest.mark.parametrize("slice_rows", [7, 10**6])
+def test_rows_before_and_precisions_do_not_depend_on_slices(spark, labelled, slice_rows):
+    order = lambda r, i: M.portable_hash(F.concat(F.lit(f"{r}/"), F.col("id").cast("string"))).alias(f"h{i}")
+    found = {(x["__repeat"], x["id"]): x["__new0"] for x in M._rows_before(labelled, ["a"], "id", 2, slice_rows).collect()}
+    for r in range(2):
+        rows = sorted(labelled.select("id", "a", order(r, 0)).collect(), key=lambda x: (x["h0"], x["id"]))
+        assert [found[r, x["id"]] for x in rows] == [rows[-1]["a"], *[x["a"] for x in rows[:-1]]]
+    data = [(g, float(y), None if i % 59 == 58 else float("nan") if i % 50 == 49 else -float(s)) for g in (0, 1) for i, (y, s) in enumerate(np.random.default_rng(g).random((300, 2)).round(1))]
+    data = [(g, None if i % 31 == 30 else float(y > 0.6), s) for i, (g, y, s) in enumerate(data)]
+    got = {x["g"]: x["ap"] for x in M._average_precisions(spark.createDataFrame(data, "g int, __y double, __s double"), ["g"], slice_rows).collect()}
+    for g in (0, 1):
+        rank = lambda s: (0, 0.0) if s is None else (2, 0.0) if s != s else (1, s)
+        rows = [(rank(s), y) for k, y, s in data if k == g]
+        total, at = sum(y == 1 for _, y in rows), 0.0
+        for s, y in rows:
+            if y == 1:
+                tp, fp = (sum(z == w for t, z in rows if t <= s) for w in (1, 0))
+                at += tp / (tp + fp)
+        assert got[g] == pytest.approx(at / total)
+
+
 def families(fail=True):
     def make(depth=1, twist=0):
         if twist == 9:
