@@ -13,8 +13,19 @@ CHUNK = 1 << 16
 def _bit_packed(values: np.ndarray, width: int) -> bytes:
     if not width or not len(values):
         return b""
-    bits = (values[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    raw = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)[:, : -(-width // 8)]
+    return np.packbits(np.unpackbits(raw, axis=1, count=width, bitorder="little").ravel(), bitorder="little").tobytes()
+
+
+def _bit_unpacked(raw: np.ndarray, n: int, width: int) -> np.ndarray:
+    """The ``n`` values that were packed."""
+    if width > 56:  # with its offset a value may lie in nine bytes
+        padded = np.zeros((n, 64), np.uint8)
+        padded[:, :width] = np.unpackbits(raw, bitorder="little", count=n * width).reshape(n, width)
+        return np.packbits(padded, axis=1, bitorder="little").view("<u8").ravel()
+    at = np.arange(n, dtype=np.int64) * width
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate((raw, np.zeros(8, np.uint8))), 8)
+    return eight[at >> 3].view("<u8").ravel() >> (at & 7).astype(np.uint64) & np.uint64((1 << width) - 1)
 
 
 class EliasFano:
@@ -29,8 +40,9 @@ class EliasFano:
             _bit_packed(v[i : i + CHUNK] & np.uint64((1 << low) - 1), low).ljust(-(-min(CHUNK, n - i) * low // 8), b"\0")
             for i in range(0, n, CHUNK))
         at = (v >> np.uint64(low)).astype(np.int64) + np.arange(n)
-        high = np.zeros((int(at[-1]) + 8) // 8 if n else 0, np.uint8)
-        np.bitwise_or.at(high, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        bits = np.zeros((int(at[-1]) + 8) // 8 * 8 if n else 0, np.uint8)
+        bits[at] = 1
+        high = np.packbits(bits, bitorder="little")
         marks = at[::CHUNK].astype("<u8").tobytes()  # where each chunk's unary code begins
         head = struct.pack("<5Q", n, low, len(lows), len(high), len(marks))
         return head + marks + lows + high.tobytes()
@@ -49,15 +61,11 @@ class EliasFano:
         first = int(self.marks[k])
         stop = int(self.marks[k + 1]) if k + 1 < len(self.marks) else len(self.high) * 8
         bits = np.unpackbits(self.high[first >> 3 : (stop + 7) >> 3], bitorder="little")
-        ones = np.flatnonzero(bits[first & 7 :])[:size] + first
+        ones = np.flatnonzero(bits[first & 7 :].view(bool))[:size] + first
         out = (ones - np.arange(size) - k * CHUNK).astype(np.uint64) << np.uint64(self.low)
         if self.low:
             per = CHUNK * self.low // 8
-            raw = self.lows[k * per : k * per + -(-size * self.low // 8)]
-            low = np.unpackbits(raw, bitorder="little", count=size * self.low).reshape(size, self.low)
-            padded = np.zeros((size, 64), np.uint8)
-            padded[:, : self.low] = low
-            out |= np.packbits(padded, axis=1, bitorder="little").view("<u8").ravel()
+            out |= _bit_unpacked(self.lows[k * per : k * per + -(-size * self.low // 8)], size, self.low)
         return out
 
     def values(self) -> np.ndarray:
@@ -124,35 +132,35 @@ class Trie:
         self.backoff = np.frombuffer(memory, "<u2", n_context, at)
         self.codes = np.frombuffer(memory, "<u2", n_pair, at + 2 * n_context)
 
-    def _ranks(self, ids: np.ndarray) -> np.ndarray:
-        """The place among the contexts of each id, -1 where there is none."""
-        asked, inverse = np.unique(np.where(ids < 0, 0, ids).astype(np.uint64), return_inverse=True)
-        return np.where(ids < 0, -1, self.contexts.find(asked)[inverse])
-
     def _backoffs(self, rank: np.ndarray) -> np.ndarray:
         _, _, b0, b1 = self.scale
         return np.where(rank >= 0, b0 + b1 * self.backoff[np.maximum(rank, 0)] if len(self.backoff) else 0.0, 0.0)
 
-    def weights(self, contexts: np.ndarray) -> np.ndarray:
-        """log10 of the back-off weight of each of the sorted numbers, 0 for what is no context."""
-        return self._backoffs(self._ranks(self.words.find(contexts)))
+    def places(self, numbers: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs, in order, of places in the sorted distinct ``numbers``: each one's place in ``codes`` and its context's rank, -1 for none.
+
+        Words, contexts and successors are in order too, so each sequence is gone through once.
+        """
+        ids = self.words.find(numbers)
+        ranks = np.full(len(numbers), -1, np.int64)
+        ranks[ids >= 0] = self.contexts.find(ids[ids >= 0].astype(np.uint64))
+        rank, two = ranks[first], ids[second]
+        known = np.flatnonzero((rank >= 0) & (two >= 0))
+        at = rank[known]
+        found = self.successors.find(at.astype(np.uint64) * np.uint64(max(1, self.words.n)) + two[known].astype(np.uint64))
+        ends = self.pointers.values().astype(np.int64)
+        out = np.full(len(first), -1, np.int64)
+        out[known] = np.where((found >= ends[at]) & (found < ends[at + 1]), found, -1)  # of this context
+        return out, rank
 
     def score(self, first: np.ndarray, second: np.ndarray, log_second: np.ndarray) -> np.ndarray:
         """What is kept of each pair, log10, else the context's weight times the second's own; numbers, and log10 of the own."""
         p0, p1, *_ = self.scale
-        both, inverse = np.unique(np.concatenate((first, second)), return_inverse=True)
-        ids = self.words.find(both)[inverse]
-        one, two = ids[: len(first)], ids[len(first) :]
-        rank = self._ranks(one)
-        known = (rank >= 0) & (two >= 0)
-        keys = rank[known].astype(np.uint64) * np.uint64(max(1, self.words.n)) + two[known].astype(np.uint64)
-        order = np.argsort(keys, kind="stable")
-        place = np.empty(len(keys), np.int64)
-        place[order] = self.successors.find(keys[order])
-        ends = self.pointers.values().astype(np.int64)
-        at = rank[known]
-        inside = (place >= 0) & (place >= ends[at]) & (place < ends[at + 1])  # of this context
+        numbers, inverse = np.unique(np.concatenate((first, second)), return_inverse=True)
+        one, two = inverse[: len(first)], inverse[len(first) :]
+        order = np.lexsort((two, one))
+        place, rank = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        place[order], rank[order] = self.places(numbers, one[order], two[order])
         out = self._backoffs(rank) + log_second
-        hit = np.flatnonzero(known)[inside]
-        out[hit] = p0 + p1 * self.codes[place[inside]]
+        out[place >= 0] = p0 + p1 * self.codes[place[place >= 0]]
         return out

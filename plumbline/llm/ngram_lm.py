@@ -1,14 +1,12 @@
 """Language-model scores from sharded Elias-Fano tries of pairs and of trigrams.
 
 The model: a word's probability after another is (count of the pair + MU * the word's own
-probability) / (count of the first + MU), and a word's own is the smoothed unigram share.  Pairs
-seen in training have their smoothed probability in the trie, quantised; for any other pair the
-first word's back-off weight times the second word's own probability is exactly that formula.
-With ``order`` 3 (the default) a word after two others has (count of the three + MU_TOP * its
-probability after the nearer one) / (count of the two + MU_TOP).  The probability of the lower
-order lies in another shard, so the upper level holds the two parts, quantised: for a trigram
-its count's share, for a pair as a context the weight of the lower order; a text's first word has
-no second word before it and stays at order 2.
+probability) / (count of the first + MU), and a word's own is the smoothed unigram share.  With
+``order`` 3 (the default) a word after two others has (count of the three + MU_TOP * its
+probability after the nearer one) / (count of the two + MU_TOP); a text's first word has no second
+word before it and stays at order 2.  The tries hold the counts in training of pairs and trigrams,
+as quantised logarithms; the weight of the lower order follows from the count of the context, so
+no shard needs the words' totals, and what it sends back is a few small numbers many times over.
 
 The corpus is worked on in blocks of a few million tokens, each with a dictionary of its own:
 
@@ -16,11 +14,10 @@ The corpus is worked on in blocks of a few million tokens, each with a dictionar
    so that what comes back to the blocks is joined without moving them;
 2. each block sends its words' counts to shards by word; a shard adds them up over all blocks,
    numbers the words, and sends numbers and totals back;
-3. each block sends its distinct pairs and what follows each, with their counts in training and
-   the totals of their words, to shards by pair; a shard adds them up, builds its tries, writes
-   them to a file, maps that into memory, scores every block's pairs and trigrams from it, and
-   sends the scores back;
-4. each block adds up its tokens' scores by document.
+3. each block sends its distinct pairs and what follows each, with their counts in training, to
+   shards by pair; a shard adds them up, builds its tries, writes them to a file, maps that into
+   memory, looks every block's pairs and trigrams up in it, and sends what it finds back;
+4. each block smooths the counts and adds up its tokens' scores by document.
 
 All arrays that move are packed, so a shuffle has one row for each (block, shard).  Shards are by
 hash, and their number follows the data, so that one holds a bounded number of entries; of a
@@ -55,7 +52,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.common import quoted, stored
-from plumbline.llm.elias_fano import Trie, quantised
+from plumbline.llm.elias_fano import Trie
 from plumbline.session import shared_folder
 
 BLOCK_TOKENS = 2_000_000
@@ -333,12 +330,23 @@ class _Requests:
                 yield s, slice(self.ends[s], self.ends[s + 1]), slice(self.ends_top[s], self.ends_top[s + 1])
 
 
-def _marked(x: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, float, float]:
-    """16-bit codes of what is known, 0 for the rest; the value of code 1 and of a step."""
-    codes, low, step = quantised(x[known])
-    out = np.zeros(len(x), "<u2")
-    out[known] = codes + np.uint16(1)
-    return out, low, step
+def _found(trie: Trie, place: np.ndarray) -> np.ndarray:
+    """The codes, from 1, of what lies at these places, 0 for no place."""
+    out = np.zeros(len(place), "<u2")
+    out[place >= 0] = trie.codes[place[place >= 0]] + np.uint16(1)
+    return out
+
+
+def _ranked(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """16-bit codes as ranks among their distinct values, and these."""
+    there = np.zeros(1 << 16, bool)
+    there[codes] = True
+    return _slim((np.cumsum(there) - 1)[codes]), np.flatnonzero(there).astype("<u2")
+
+
+def _counts(ranks: np.ndarray, codes: np.ndarray, low: float, step: float) -> np.ndarray:
+    """What was counted, of ranked codes; up to some thousands exactly."""
+    return np.where(codes > 0, np.rint(10 ** (low + step * (codes - 1.0))), 0.0)[ranks]
 
 
 def _mapped(parts: list[bytes]) -> Iterator[Trie]:
@@ -357,24 +365,25 @@ def _mapped(parts: list[bytes]) -> Iterator[Trie]:
 
 
 def gram_scores(blocks: DataFrame, words: DataFrame, n: int, v: int, shards: int, order: int, heavy_: Heavy, keep: bool = False) -> DataFrame:
-    """Step 3: for each (block, shard) the quantised parts of the scores of its pairs and trigrams; the tries with ``keep``."""
+    """Step 3: for each (block, shard) the quantised counts of its pairs and trigrams; the tries with ``keep``.
+
+    Counts do not depend on ``n`` and ``v``, the words' tokens and types in training.
+    """
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        x, (numbers, totals) = unpack(left["payload"][0].as_py()), _numbered(right)
+        x, (numbers, _) = unpack(left["payload"][0].as_py()), _numbered(right)
         r, rows = _Requests(x, numbers, shards, order, heavy_), []
         for s, part, top in r.parts():
             used, at = np.unique(np.concatenate((r.one[part], r.two[part], r.third[top])), return_inverse=True)
             size = part.stop - part.start
             rows.append((left["block"][0].as_py(), s, PAIRS, pack(
-                w=_steps(numbers[used]), c=_slim(totals[used]), a=_steps(at[:size]), b=_slim(at[size : 2 * size]), n=_slim(r.learned[part]),
+                w=_steps(numbers[used]), a=_steps(at[:size]), b=_slim(at[size : 2 * size]), n=_slim(r.learned[part]),
                 k=_slim(r.followers[part]), d=_slim(at[2 * size :]), m=_slim(r.learned_top[top])), 0, 0))
         return _moved(rows)
 
     def answer(table: pa.Table) -> pa.Table:
         got = [unpack(p.as_py()) for p in table["payload"]]
         words_, inverse = np.unique(np.concatenate([_sums(x["w"]) for x in got]), return_inverse=True)
-        own = np.zeros(len(words_), np.float64)
-        own[inverse] = np.concatenate([x["c"] for x in got])
         starts = np.cumsum([0, *[len(x["w"]) for x in got]])
         word = lambda s, part: inverse[s + part.astype(np.int64)].astype(np.uint64)
         keys = [word(s, _sums(x["a"])) << np.uint64(32) | word(s, x["b"]) for s, x in zip(starts, got)]
@@ -387,32 +396,27 @@ def gram_scores(blocks: DataFrame, words: DataFrame, n: int, v: int, shards: int
         parts_top = np.split(back, np.cumsum([len(k) for k in keys])[:-1])
         del got, keys, inverse, back
         one, two = (distinct >> np.uint64(32)).astype(np.int64), (distinct & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        log_own, learned = _log_own(own, n, v), counts > 0
-        # Every context of the shard that occurs in training has a back-off weight.
-        contexts = np.unique(one[own[one] > 0])
-        p = (counts[learned] + MU * 10 ** log_own[two[learned]]) / (own[one[learned]] + MU)
-        data = [Trie.encode(words_, one[learned], two[learned], np.log10(p), contexts, np.log10(MU / (own[contexts] + MU)))]
+        learned, contexts = counts > 0, np.unique(one[counts > 0])
+        data = [Trie.encode(words_, one[learned], two[learned], np.log10(counts[learned]), contexts, np.zeros(len(contexts)))]
         if order == 3:  # the pairs, as contexts, have the numbers after those of the words
-            total = np.maximum(counts, heavy_.find(_mixed(words_[one], words_[two])))
             context, third = (tops >> np.uint64(32)).astype(np.int64), (tops & np.uint64(0xFFFFFFFF)).astype(np.int64)
             numbers = np.concatenate((words_, words_[-1:] + np.uint64(1) + np.arange(len(distinct), dtype=np.uint64)))
-            seen, contexts, w = counts_top > 0, np.flatnonzero(total > 0), len(words_)
-            share = np.log10(counts_top[seen] / (total[context[seen]] + MU_TOP))
-            data.append(Trie.encode(numbers, w + context[seen], third[seen], share, w + contexts, np.log10(MU_TOP / (total[contexts] + MU_TOP))))
+            seen, w = counts_top > 0, len(words_)
+            contexts = np.unique(context[seen])
+            data.append(Trie.encode(numbers, w + context[seen], third[seen], np.log10(counts_top[seen]), w + contexts, np.zeros(len(contexts))))
         levels = _mapped(data)
-        codes, low, step = quantised(next(levels).score(words_[one], words_[two], log_own[two]))
-        codes_top, scale_top, weights, scale = np.zeros(len(tops), "<u2"), (0.0, 0.0), np.zeros(len(distinct), "<u2"), (0.0, 0.0)
+        trie = next(levels)
+        codes, scale = _found(trie, trie.places(words_, one, two)[0]), trie.scale[:2]
+        codes_top, scale_top = np.zeros(len(tops), "<u2"), [0.0, 0.0]
         if order == 3:
             trie = next(levels)
-            found = trie.score(numbers[w + context], words_[third], np.full(len(tops), -np.inf))
-            codes_top, *scale_top = _marked(found, np.isfinite(found))
-            weights, *scale = quantised(trie.weights(numbers[w:]))
-            del trie
+            codes_top, scale_top = _found(trie, trie.places(numbers, w + context, third)[0]), trie.scale[:2]
+        del trie
         next(levels, None)
-        shard = table["shard"][0].as_py()
-        rows = [
-            (block, shard, PAIRS, pack(p=codes[part], w=weights[part], d=codes_top[top], q=np.array([low, step, *scale, *scale_top])), 0, 0)
-            for block, part, top in zip(table["block"].to_pylist(), parts, parts_top)]
+        shard, rows = table["shard"][0].as_py(), []
+        for block, part, top in zip(table["block"].to_pylist(), parts, parts_top):
+            (p, of_p), (d, of_d) = _ranked(codes[part]), _ranked(codes_top[top])
+            rows.append((block, shard, PAIRS, pack(p=p, u=of_p, d=d, t=of_d, q=np.array([*scale, *scale_top])), 0, 0))
         return _moved(rows + [(-1, shard, TRIE, level, i, 0) for i, level in enumerate(data, 2) if keep])
 
     sent = blocks.select("block", "payload").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(send, _MOVED)
@@ -453,23 +457,22 @@ def score(
         kinds = np.array(right["kind"])
         x, (numbers, totals) = unpack(left["payload"][0].as_py()), _numbered(right.filter(pa.array(kinds == WORDS)))
         r = _Requests(x, numbers, pair_shards, order, heavy_)
-        found, weight, share = np.zeros(len(r.one)), np.zeros(len(r.one)), np.zeros(len(r.third))
+        counts, counts_top = np.zeros(len(r.one)), np.zeros(len(r.third))
         answers = right.filter(pa.array(kinds == PAIRS))
         asked = {s: (part, top) for s, part, top in r.parts()}
         for s, payload in zip(answers["shard"].to_pylist(), answers["payload"]):
             y, (part, top) = unpack(payload.as_py()), asked[s]
-            q = y["q"]
-            found[part] = q[0] + q[1] * y["p"]
-            weight[part] = q[2] + q[3] * y["w"]
-            share[top] = np.where(y["d"] > 0, 10 ** (q[4] + q[5] * (y["d"] - 1.0)), 0.0)
-        log_p = found[r.own][r.pair]
-        log_p[r.at] = np.log10(share[r.which] + 10 ** (weight[r.context[r.which]] + log_p[r.at]))
+            counts[part], counts_top[top] = _counts(y["p"], y["u"], *y["q"][:2]), _counts(y["d"], y["t"], *y["q"][2:])
+        counts, log_own = counts[r.own], _log_own(totals, n, v)
+        p = (counts + MU * 10 ** log_own[r.two[r.own]]) / (totals[r.one[r.own]] + MU)
+        log_p = np.log10(p)[r.pair]
+        log_p[r.at] = np.log10((counts_top[r.which] + MU_TOP * p[r.pair[r.at]]) / (counts[r.pair[r.at - 1]] + MU_TOP))
         own, lengths = totals[x["p"]], x["l"].astype(np.int64)  # by the block's own codes
         at = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         add = lambda values: pa.array(np.add.reduceat(values, at))
         return pa.Table.from_arrays([
             left["ids"].combine_chunks().flatten(), pa.array(lengths), add((own > 0).astype(np.int64)[x["t"]]), pa.array(np.full(len(lengths), n, np.int64)),
-            add(_log_own(own, n, v)[x["t"]]), add(log_p)], names=schema.names)
+            add(log_own[x["p"]][x["t"]]), add(log_p)], names=schema.names)
 
     back = words.unionByName(pairs).groupBy("block")
     return blocks.select("block", "ids", "payload").groupBy("block").cogroup(back).applyInArrow(finish, schema)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import ngram_lm
-from plumbline.llm.elias_fano import EliasFano, Trie
+from plumbline.llm.elias_fano import EliasFano, Trie, _bit_packed, _bit_unpacked
 from plumbline.llm.queries import QUERIES
 from tests.llm.fixtures import awkward, nothing
 
@@ -130,3 +130,29 @@ def test_trie_of_nothing():
     data = Trie.encode(empty, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0))
     got = Trie(memoryview(data)).score(np.array([3], np.uint64), np.array([4], np.uint64), np.array([-2.0]))
     assert got.tolist() == [-2.0]
+
+
+@pytest.mark.parametrize("width", [0, 1, 7, 8, 20, 33, 56, 57, 63, 64])
+def test_packed_bits(width):
+    v = np.random.default_rng(width).integers(0, 1 << width, 1001, dtype=np.uint64, endpoint=False) if 0 < width < 64 else np.zeros(1001, np.uint64)
+    v = ~v if width == 64 else v
+    raw = np.frombuffer(_bit_packed(v, width), np.uint8)
+    assert len(raw) == -(-1001 * width // 8)
+    assert not width or (_bit_unpacked(raw, 1001, width) == v).all()
+
+
+def test_what_shards_send_back_is_small(spark, sf_dir):
+    """Counts, which are few numbers many times over: 3 bytes a token and more when they were probabilities."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").coalesce(1)
+    blocks = ngram_lm.code(docs, train(), "doc_id", "text")
+    none = np.empty(0, np.uint64)
+    answers = ngram_lm.gram_scores(blocks, ngram_lm.word_totals(blocks, 1), 70_000, 5_000, 1, 3, ngram_lm.Heavy(none, none))
+    size = answers.agg(F.sum(F.length("payload"))).first()[0]
+    assert size < blocks.agg(F.sum("n_tokens")).first()[0]
+
+
+def test_counts_of_a_small_table_are_exact(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    expected = brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+    for g, e in zip(rows_of(ngram_lm.score(docs, train())), expected):
+        assert g[5] == pytest.approx(e[5], rel=1e-9)
