@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Bucketizer, OneHotEncoder, StringIndexer, VectorAssembler
@@ -55,21 +58,34 @@ def scores(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame
     return scored.select(*[F.col(f"`{c}`") for c in df.columns], out)
 
 
+#: Folds that are fitted at the same time: an iteration of a learner is a short job, which leaves cores idle.
+FOLDS_AT_ONCE = 3
+
+
+def _together(df: DataFrame, one: Callable[[int], DataFrame], k: int) -> DataFrame:
+    """The rows of ``one(0)`` to ``one(k - 1)``, in this order; the jobs of several folds run at the same time."""
+    out = None
+    with ThreadPool(min(FOLDS_AT_ONCE, k)) as pool:
+        tasks = [inheritable_thread_target(df.sparkSession)(partial(one, f)) for f in range(k)]
+        for part in pool.imap(lambda task: task(), tasks):
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def out_of_fold(df: DataFrame, makers: Mapping[str, Callable[[], Estimator]], fold: str = "fold", k: int = 3) -> DataFrame:
     """``df`` with a column of scores for each model; every row is scored by a model that has not seen it.
 
     The folds are written before they are fitted, and the result is written too, so that nothing is fitted twice.
     """
-    df, parts = durable(df), []
-    for f in range(k):
+    df = durable(df)
+
+    def one(f: int) -> DataFrame:
         train, test = df.where(F.col(fold) != f), df.where(F.col(fold) == f)
         for name, make in makers.items():
             test = scores(fitted(make(), train), test, f"p_{name}")
-        parts.append(test)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return durable(out)
+        return test
+
+    return durable(_together(df, one, k))
 
 
 @dataclass
@@ -99,11 +115,7 @@ def ridge(df: DataFrame, features: Sequence[str], label: str, penalty: float) ->
 
 def cross_fitted(df: DataFrame, make: Callable[[], Estimator], score: Callable[[PipelineModel, DataFrame], DataFrame], fold: str = "fold", k: int = 3) -> DataFrame:
     """``score(model, rows)`` of each fold's rows by the model that was fitted on the other folds."""
-    out = None
-    for f in range(k):
-        part = score(fitted(make(), df.where(F.col(fold) != f)), df.where(F.col(fold) == f))
-        out = part if out is None else out.unionByName(part)
-    return durable(out)
+    return durable(_together(df, lambda f: score(fitted(make(), df.where(F.col(fold) != f)), df.where(F.col(fold) == f)), k))
 
 
 def average_precision(df: DataFrame, label: str, score: str) -> float:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import threading
 
 import numpy as np
 import pytest
@@ -145,3 +146,21 @@ def test_long_baskets_and_long_sets(spark):
     sets = B.frequent_itemsets(rows, 0.1, 5)
     split = {(tuple(r["antecedent"]), tuple(r["consequent"])) for r in B.rules(sets, 0.0, 0.0).collect()}
     assert split == {(tuple(a), tuple(x for x in s if x not in a)) for s in expected for k in range(1, len(s)) for a in combinations(s, k)}
+
+
+def test_folds_are_fitted_at_the_same_time_and_as_one_by_one(spark):
+    rows = [(i, i % 3, float(i % 7), float(i % 7 > 2)) for i in range(90)]
+    df = spark.createDataFrame(rows, "id bigint, fold bigint, x double, label double")
+    together = threading.Barrier(3, timeout=60)
+
+    def make():
+        together.wait()
+        return M.pipeline("logistic", ["x"])
+
+    got = {r["id"]: r["p_a"] for r in M.out_of_fold(df, {"a": make}).collect()}
+    crossed = M.cross_fitted(df, make, lambda m, part: M.scores(m, part, "p_a"))
+    assert {r["id"]: r["p_a"] for r in crossed.collect()} == pytest.approx(got, rel=1e-6) and len(got) == 90
+    for f in range(3):
+        model = M.pipeline("logistic", ["x"]).fit(df.where(F.col("fold") != f))
+        for r in M.scores(model, df.where(F.col("fold") == f), "p").collect():
+            assert got[r["id"]] == pytest.approx(r["p"], rel=1e-6)
