@@ -23,12 +23,15 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Pre-tokens up to this many characters are remembered, about so many of them.
-REMEMBERED_LENGTH, REMEMBERED = 32, 250_000
+REMEMBERED_LENGTH, REMEMBERED = 32, 150_000
+#: Rows whose ids a Python worker holds at a time.
+BATCH = 256
 
 
 def byte_characters() -> list[str]:
@@ -101,9 +104,11 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model or serialise_model(tokens))
         self.table = dict(enumerate(byte_characters()))
-        self.seen: dict[str, list[int]] = {}
+        self.seen: dict[str, tuple[int, ...]] = {}
+        #: One object for each id, shared by all that is remembered.
+        self.numbers = list(range(len(tokens) + 1))
         #: Tokens that merging does not reach, but which a pre-token can be as a whole.
-        self.whole = {t: i for i, t in enumerate(tokens)}
+        self.whole = dict(zip(tokens, self.numbers))
 
     def encode(self, text: str) -> list[int]:
         """The ids of all pre-tokens; those not seen before are encoded in one call."""
@@ -114,7 +119,8 @@ class Codec:
             raw = [p.encode() for p in new]
             got = self.processor.encode([r.decode("latin-1").translate(self.table) for r in raw], num_threads=1)
             # A pre-token that is a token as a whole is that token, however the merges go.
-            seen.update((p, [self.whole[r]] if r in self.whole else g) for p, r, g in zip(new, raw, got, strict=True))
+            number = self.numbers.__getitem__
+            seen.update((p, (self.whole[r],) if r in self.whole else tuple(map(number, g))) for p, r, g in zip(new, raw, got, strict=True))
         ids = list(chain.from_iterable(map(seen.__getitem__, cut)))
         if len(seen) > REMEMBERED:
             seen.clear()
@@ -157,20 +163,24 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(*shared.value)
         number = [str(i) for i in range(len(c.tokens))].__getitem__
-        for batch in batches:
-            lists, counts, hashes, decoded = [], [], [], []
-            for value in batch.column(at):
-                found = c.encode(value.as_py() or "")
-                if ids:
-                    lists.append(found)
-                if digests:
+        pa.default_memory_pool().release_unused()  # of the stages before this one
+        for whole in batches:
+            for start in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(start, BATCH)
+                flat, counts, hashes, decoded = [], [], [], []
+                for value in batch.column(at):
+                    found = c.encode(value.as_py() or "")
                     counts.append(len(found))
-                    hashes.append(hashlib.sha256(" ".join(map(number, found)).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(c.decode(found)).hexdigest())
-            columns = [batch.column(i) for i, n in enumerate(batch.schema.names) if n in keep]
-            columns += [pa.array(lists, pa.list_(pa.int32()))] * bool(ids)
-            columns += [pa.array(counts, pa.int64()), pa.array(hashes), pa.array(decoded)] if digests else []
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
+                    if ids:
+                        flat.append(np.array(found, np.int32))
+                    if digests:
+                        hashes.append(hashlib.sha256(" ".join(map(number, found)).encode()).hexdigest())
+                        decoded.append(hashlib.sha256(c.decode(found)).hexdigest())
+                columns = [batch.column(i) for i, n in enumerate(batch.schema.names) if n in keep]
+                if ids:
+                    columns.append(pa.ListArray.from_arrays(np.cumsum([0, *counts], dtype=np.int32), np.concatenate(flat)))
+                columns += [pa.array(counts, pa.int64()), pa.array(hashes), pa.array(decoded)] if digests else []
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
     return docs.mapInArrow(run, schema)
 

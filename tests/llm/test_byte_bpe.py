@@ -66,3 +66,18 @@ def test_awkward_rows_and_round_trip(spark):
     assert byte_bpe.encode(nothing(spark), PATH, PATTERN, digests=True).count() == 0
     again = byte_bpe.encode(out, PATH, PATTERN)  # an existing token_ids is replaced
     assert again.columns == out.columns
+
+
+def test_remembered_ids_are_shared():
+    codec = byte_bpe.Codec(byte_bpe.read_ranks(PATH), PATTERN)
+    codec.encode("unheardofly quixotical zzyzxian words, words")
+    assert codec.seen and all(i is codec.numbers[i] for ids in codec.seen.values() for i in ids)
+
+
+def test_more_rows_than_a_worker_holds_at_a_time(spark, reference):
+    n = 2 * byte_bpe.BATCH + 3
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('text ', id, ' of many') AS text").coalesce(1)
+    out = byte_bpe.encode(docs, PATH, PATTERN, digests=True).collect()
+    assert [r["doc_id"] for r in out] == list(range(n))
+    for r in out:
+        assert r["token_ids"] == reference.encode_ordinary(r["text"]) and r["n_tokens"] == len(r["token_ids"])
