@@ -17,7 +17,8 @@ to the least.  That makes a fixed number of rows for each member and no pairs, h
 entry.  Both ways find the same groups.
 
 Components come from the alternation of large-star and small-star steps on written tables; no
-link or component is ever on the driver.  Copies share a fingerprint and are never paired.
+link or component is ever on the driver, and no table that has a row for each entry, fingerprint
+or document is broadcast.  Copies share a fingerprint and are never paired.
 
 Edge cases: a null or empty text, or one without a word, has fingerprint zero and is linked like
 any other; a text with fewer words than a shingle is one shingle; repeated rows share their
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import fresh, quoted, stored
+from plumbline.llm.common import by_shuffle, fresh, quoted, stored
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -113,7 +114,8 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """
     rows = entries(fps)
     shared = rows.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(rows.join(shared, ["kind", "key"]), "simhash-members")
+    # ``rows`` has 34 rows for each of ``fps``, which Spark takes for one.
+    members = by_shuffle(stored(by_shuffle(rows).join(shared, ["kind", "key"]), "simhash-members"))
     few, many = members.where(F.col("n") <= bucket), members.where(F.col("n") > bucket)
     x, y = few.alias("x"), few.select("kind", "key", F.col("fp").alias("fp2")).alias("y")
     different = F.col("fp").bitwiseXOR(F.col("fp2"))
@@ -152,14 +154,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 def named(marks: DataFrame, edges: DataFrame) -> DataFrame:
     """``marks`` (id, fp and others) with root and component_id by the links between their fp."""
-    nodes = stored(marks.groupBy("fp").agg(F.min("id").alias("rep")), "fingerprint-reps")
+    nodes = by_shuffle(stored(marks.groupBy("fp").agg(F.min("id").alias("rep")), "fingerprint-reps"))
     roots = stored(components(edges), "simhash-roots")
     found = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         "fp", "rep", F.coalesce("root", "fp").alias("root"))
-    found = stored(found, "simhash-named")
+    found = by_shuffle(stored(found, "simhash-named"))
     least = stored(found.groupBy("root").agg(F.min("rep").alias("component_id")), "simhash-least")
     by_fp = stored(found.join(least, "root").select("fp", "root", "component_id"), "simhash-by-fp")
-    return marks.join(by_fp, "fp")
+    return marks.join(by_shuffle(by_fp), "fp")
 
 
 def near_duplicates(
@@ -194,10 +196,10 @@ def keep_one(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataF
     best = best.select(F.col("k.id").alias("k_id"), F.col("k.text_hash").alias("k_hash"))
     same = found.groupBy(F.col("id").alias("s_id"), F.col("text_hash").alias("s_hash")).agg(F.count(F.lit(1)).alias("n"))
     rows = fresh("__rows", docs)
-    best = best.join(same, F.col("k_id").eqNullSafe(F.col("s_id")) & (F.col("k_hash") == F.col("s_hash"))).select(
+    best = by_shuffle(best).join(same, F.col("k_id").eqNullSafe(F.col("s_id")) & (F.col("k_hash") == F.col("s_hash"))).select(
         "k_id", "k_hash", F.col("n").alias(rows))
     on = quoted(doc_id).eqNullSafe(F.col("k_id")) & (F.xxhash64(quoted(text)) == F.col("k_hash"))
-    kept = docs.join(stored(best, "simhash-best"), on).drop("k_id", "k_hash")
+    kept = docs.join(by_shuffle(stored(best, "simhash-best")), on).drop("k_id", "k_hash")
     once = kept.where(quoted(rows) == 1).drop(rows)
     repeated = kept.where(quoted(rows) > 1).drop(rows)
     return once.unionByName(repeated.dropDuplicates([doc_id, text]))

@@ -98,3 +98,25 @@ def test_awkward_rows(spark):
     assert {r["text"] for r in kept.where("doc_id is null").collect()} == {r["text"] for r in docs.where("doc_id is null").collect()}
     assert simhash_dedup.near_duplicates(nothing(spark)).count() == 0
     assert simhash_dedup.drop_near_duplicates(nothing(spark)).count() == 0
+
+
+def test_no_row_for_each_entry_is_broadcast(spark, monkeypatch):
+    """Spark takes the exploded entries of few fingerprints for a small table."""
+    plans = []
+
+    def noted(df, name):
+        plans.append((name, df._jdf.queryExecution().sparkPlan().toString()))
+        return stored(df, name)
+
+    stored = simhash_dedup.stored
+    monkeypatch.setattr(simhash_dedup, "stored", noted)
+    rng = random.Random(9)
+    docs = [(i, " ".join(rng.choices("abcdefgh", k=12))) for i in range(60)]
+    docs = spark.createDataFrame(docs + [(100 + i, t) for i, t in docs], "doc_id bigint, text string")
+    kept = simhash_dedup.drop_near_duplicates(docs)
+    assert kept.count() <= 60
+    plans += [("simhash-kept", kept._jdf.queryExecution().sparkPlan().toString())]
+    edges = simhash_dedup.links(simhash_dedup.fingerprints(docs).select("fp").distinct())
+    plans += [("simhash-links", edges._jdf.queryExecution().sparkPlan().toString())]
+    asked = [p for n, p in plans if n.startswith("simhash-")]
+    assert len(asked) >= 6 and not [p for p in asked if "Broadcast" in p]
