@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BROADCAST_BYTES, NO_WORD, fresh, lower_ascii, pieces, quoted, small
+from plumbline.llm.common import BROADCAST_BYTES, NO_WORD, by_shuffle, fresh, lower_ascii, pieces, quoted, small
 
 WINDOW = 13
 
@@ -76,8 +76,9 @@ def scan(
     """
     grams = benchmark_grams(benchmark, item, item_text, window)
     lengths = sorted(r[0] for r in grams.select("len").distinct().collect())  # 1 to ``window``
-    if small(grams, F.octet_length(F.array_join("ctx", " ")) + 100, broadcast_bytes):
-        grams = F.broadcast(grams)
+    # As rows: each word of ctx has 16 bytes besides its own.  Spark knows the items' file only.
+    room = F.octet_length(F.array_join("ctx", " ")) + 16 * F.size("ctx") + 100
+    grams = F.broadcast(grams) if small(grams, room, broadcast_bytes) else by_shuffle(grams)
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), quoted(doc_id).alias("id"),
         F.xxhash64(quoted(text)).alias("text_hash"), _words(quoted(text)).alias("w"),

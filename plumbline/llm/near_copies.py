@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm import simhash_dedup
-from plumbline.llm.common import BROADCAST_BYTES, quoted, small, stored
+from plumbline.llm.common import BROADCAST_BYTES, by_shuffle, quoted, small, stored
 from plumbline.llm.simhash_dedup import SEED, components, keep_one, named, shingle_hashes
 
 SHINGLE = 5
@@ -52,6 +52,8 @@ BUCKET, REPRESENTATIVES, BLOCK = 32, 8, 64
 SET_BOUND = 512
 #: How many standard deviations below its mean the agreement of two sketches may be.
 DEVIATIONS = 4
+#: What a node that is asked for takes of the driver and each executor when all of them are broadcast.
+ASKED_BYTES = 64
 #: Rows whose sets a Python worker holds at a time.
 BATCH = 256
 _RANDOM = np.random.default_rng(SEED)
@@ -106,7 +108,7 @@ def marked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
 
 def print_groups(marks: DataFrame) -> DataFrame:
     """(fp, key): the nodes under the groups that ``simhash_dedup`` makes of their texts' fingerprints."""
-    prints = stored(marks.select("fp", "print").distinct(), "near-prints")
+    prints = by_shuffle(stored(marks.select("fp", "print").distinct(), "near-prints"))
     roots = stored(components(simhash_dedup.links(prints.select(F.col("print").alias("fp")).distinct())), "near-print-roots")
     found = prints.join(roots, prints["print"] == roots["node"], "left").select("fp", F.coalesce("root", "print").alias("root"))
     return found.select("fp", F.xxhash64("root", F.lit("print")).alias("key")).distinct()  # no band's key
@@ -116,9 +118,9 @@ def keyed(nodes: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """(key, fp, n, size): nodes (fp, n, keys) under the keys, ``groups`` (fp, key) included, that more than one has; size is the key's."""
     rows = nodes.select("fp", "n", F.explode("keys").alias("key"))
     if groups is not None:
-        rows = rows.unionByName(nodes.where("n > 0").select("fp", "n").join(groups, "fp"))
+        rows = rows.unionByName(by_shuffle(nodes).where("n > 0").select("fp", "n").join(groups, "fp"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return stored(rows.join(shared, "key"), "near-members")
+    return by_shuffle(stored(by_shuffle(rows).join(shared, "key"), "near-members"))  # a row for each key
 
 
 def candidates(members: DataFrame, least: float = LEAST, bucket: int = BUCKET) -> DataFrame:
@@ -163,13 +165,13 @@ def left_open(marks: DataFrame, members: DataFrame, nodes: DataFrame, found: Dat
     groups = many.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     # A row for each key that still has several components.
     keys = groups.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("n_roots")).where("n_roots > 1")
-    rows = stored(many.join(stored(keys.select("key", "main", "c"), "near-open-keys"), "key"), "near-open-members")
+    rows = by_shuffle(stored(by_shuffle(many).join(stored(keys.select("key", "main", "c"), "near-open-keys"), "key"), "near-open-members"))
     asked = rows.select("fp").distinct()
     sets = marks.where(F.size("shingles") <= set_bound).select("fp", "shingles").join(asked, "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles"))
-    facts = stored(nodes.select("fp", "n", "sketch").join(asked, "fp", "left_semi").join(sets, "fp", "left"), "near-open-nodes")
+    facts = stored(by_shuffle(nodes).select("fp", "n", "sketch").join(asked, "fp", "left_semi").join(by_shuffle(sets), "fp", "left"), "near-open-nodes")
     part = F.pmod(F.xxhash64("fp"), F.ceil(F.col("c") / block))
-    blocks = rows.join(facts, "fp").groupBy("key", (F.col("root") != F.col("main")).alias("minor"), part.alias("part")).agg(F.collect_list(F.struct("fp", "root", "n", "sketch", "shingles")).alias("m"))
-    blocks = stored(blocks, "near-open-blocks")
+    blocks = rows.join(by_shuffle(facts), "fp").groupBy("key", (F.col("root") != F.col("main")).alias("minor"), part.alias("part")).agg(F.collect_list(F.struct("fp", "root", "n", "sketch", "shingles")).alias("m"))
+    blocks = by_shuffle(stored(blocks, "near-open-blocks"))  # their lists pack well
     one = blocks.where("minor").select("key", "part", F.col("m").alias("a"))
     two = blocks.select("key", F.col("part").alias("part2"), "minor", F.col("m").alias("b"))
     asked = one.join(two, "key").where("NOT minor OR part <= part2").select("a", "b")
@@ -212,13 +214,13 @@ def left_open(marks: DataFrame, members: DataFrame, nodes: DataFrame, found: Dat
 
 def verified(marks: DataFrame, pairs: DataFrame, least: float = LEAST, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(u, v): the pairs of nodes that are similar enough, by their whole sets."""
-    pairs = stored(pairs, "near-candidates")
+    pairs = by_shuffle(stored(pairs, "near-candidates"))
     asked = stored(pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), "near-asked")
-    if small(asked, F.lit(8), broadcast_bytes):
+    if small(asked, F.lit(ASKED_BYTES), broadcast_bytes):
         sets = marks.select("fp", "shingles").join(F.broadcast(asked), "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("s"))
     else:
-        sets = marks.groupBy("fp").agg(F.first("shingles").alias("s")).join(asked, "fp", "left_semi")
-    sets = stored(sets, "near-sets")
+        sets = marks.groupBy("fp").agg(F.first("shingles").alias("s")).join(by_shuffle(asked), "fp", "left_semi")
+    sets = by_shuffle(stored(sets, "near-sets"))
     one, two = sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), sets.select(F.col("fp").alias("v"), F.col("s").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     found = pairs.join(two, "v").join(one, "u").select("u", "v", both.alias("both"), (F.size("a") + F.size("b")).alias("sum"))

@@ -92,3 +92,13 @@ def test_awkward_rows(spark):
     assert decontaminate.scan(nothing(spark), b).count() == 0
     assert decontaminate.scan(docs, b.limit(0)).where("contaminated or n_hit > 0").count() == 0
     assert decontaminate.decontaminate(docs, b.limit(0)).count() == docs.count()
+
+
+def test_grams_beyond_the_bound_are_not_broadcast(spark, tmp_path):
+    """Spark sizes the benchmark's grams by the items' file, though each word makes one of up to 25 words."""
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/items")
+    spark.createDataFrame(DOCS, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs, items = spark.read.parquet(f"{tmp_path}/docs"), spark.read.parquet(f"{tmp_path}/items")
+    for bound, broadcast in ((0, False), (1 << 26, True)):
+        found = decontaminate.scan(docs, items, broadcast_bytes=bound)
+        assert ("Broadcast" in found._jdf.queryExecution().sparkPlan().toString()) == broadcast

@@ -116,3 +116,44 @@ def test_awkward_rows(spark):
     assert kept.columns == docs.columns
     assert kept.count() == len({frozenset(shingles(r["text"])) for r in docs.collect()})
     assert near_copies.drop_near_copies(nothing(spark)).count() == 0
+
+
+def test_no_row_for_each_key_is_broadcast(spark, monkeypatch):
+    """Spark takes exploded keys, and lists that pack well, for small tables."""
+    plans = {}
+
+    def noted(df, name):
+        plans[name] = plans.get(name, "") + df._jdf.queryExecution().sparkPlan().toString()
+        return stored(df, name)
+
+    stored = near_copies.stored
+    monkeypatch.setattr(near_copies, "stored", noted)
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    docs = []
+    for _ in range(40):
+        w = list(base)
+        for _ in range(3):
+            w[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
+        docs.append((len(docs), " ".join(w)))
+    got = {r["id"]: r["component_id"] for r in near_copies.near_copies(spark.createDataFrame(docs, "doc_id long, text string"), bucket=4).collect()}
+    assert got == least_ids(docs)
+    asked = ["near-members", "near-firsts", "near-candidates", "near-open-members", "near-open-nodes", "near-open-blocks", "near-open", "near-links"]
+    assert [n for n in asked if "Broadcast" in plans[n]] == []
+
+
+def test_many_nodes_are_not_sent_to_the_driver(spark, monkeypatch):
+    """A node that is asked for takes more of the driver than its eight bytes."""
+    docs = spark.createDataFrame([(i, f"a b c d e f g h i j k l m n o p q r s t u v w x y z x{i}") for i in range(8)], "doc_id long, text string")
+    marks = near_copies.stored(near_copies.marked(docs), "test-marks")
+    pairs = marks.select(near_copies.F.max("fp").alias("u"), near_copies.F.min("fp").alias("v"))
+    plans = {}
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString()
+        return stored(df, name)
+
+    stored = near_copies.stored
+    monkeypatch.setattr(near_copies, "stored", noted)
+    assert near_copies.verified(marks, pairs, broadcast_bytes=64).count() == 1 and "Broadcast" not in plans["near-sets"]
+    assert near_copies.verified(marks, pairs, broadcast_bytes=1024).count() == 1 and "Broadcast" in plans["near-sets"]
