@@ -76,15 +76,24 @@ def _(t):
     return sets.select(F.array_join(F.array_sort("items"), ",").alias("items"), F.col("freq").alias("n"))
 
 
-@query("set3_set_equality", "SET-3 BSK-8", f"WITH {_SETS} SELECT count(*) AS n_left, count(*) AS n_right, 0::BIGINT AS only_left, 0::BIGINT AS only_right, 0::BIGINT AS counted_apart, true AS equal FROM sets")
+#: The reference's floor (``train.py``).
+_FLOOR = 0.012
+#: As _SETS, with that floor and sets of any length: the subsets of each kind of basket, grown item by item.
+_ALL_SETS = f"""RECURSIVE {_PAIRS}, k AS (SELECT items, count(*) AS n, count(basket) AS named FROM b GROUP BY 1),
+g AS (SELECT items, n, named, i, items[i] AS s FROM (SELECT items, n, named, unnest(range(1, len(items) + 1)) AS i FROM k)
+  UNION ALL SELECT items, named AS n, named, j AS i, s || ',' || items[j] AS s FROM (SELECT *, unnest(range(i + 1, len(items) + 1)) AS j FROM g)),
+sets AS (SELECT s, c AS n, c / total AS support FROM (SELECT s, sum(n)::BIGINT AS c FROM g GROUP BY 1), t WHERE c >= {_FLOOR}::DOUBLE * total)"""
+
+
+@query("set3_set_equality", "SET-3 BSK-8", f"WITH {_ALL_SETS} SELECT count(*) AS n_left, count(*) AS n_right, 0::BIGINT AS only_left, 0::BIGINT AS only_right, 0::BIGINT AS counted_apart, true AS equal FROM sets")
 def _(t):
-    """The sets of both algorithms, with their counts: what only one has, and what they count differently."""
+    """The sets of both algorithms, of any length, with their counts: what only one has, and what they count differently."""
     from pyspark.ml.fpm import FPGrowth
 
     rows = durable(baskets(t))
-    one = B.frequent_itemsets(rows, 0.05).select(F.array_join("items", ",").alias("s"), F.col("n").alias("a"))
-    found = FPGrowth(itemsCol="items", minSupport=0.05, minConfidence=1.0).fit(rows.select("items")).freqItemsets
-    two = found.where(F.size("items") <= 3).select(F.array_join(F.array_sort("items"), ",").alias("s"), F.col("freq").alias("b"))
+    one = B.frequent_itemsets(rows, _FLOOR, longest=None).select(F.array_join("items", ",").alias("s"), F.col("n").alias("a"))
+    found = FPGrowth(itemsCol="items", minSupport=_FLOOR, minConfidence=1.0).fit(rows.select("items")).freqItemsets
+    two = found.select(F.array_join(F.array_sort("items"), ",").alias("s"), F.col("freq").alias("b"))
     counts = one.join(two, "s", "full").agg(
         F.count("a").alias("n_left"), F.count("b").alias("n_right"), F.count_if(F.col("b").isNull()).alias("only_left"), F.count_if(F.col("a").isNull()).alias("only_right"),
         F.count_if(F.col("a") != F.col("b")).alias("counted_apart"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +44,8 @@ def candidates(level: DataFrame) -> DataFrame:
     return pairs
 
 
-def frequent_itemsets(rows: DataFrame, support: float, longest: int = 3) -> DataFrame:
-    """(items, n, support), level by level; each level is written.
+def frequent_itemsets(rows: DataFrame, support: float, longest: int | None = 3) -> DataFrame:
+    """(items, n, support), level by level; each level is written.  Without ``longest``, sets of any length.
 
     A set can be frequent only if all its parts are, so a level's candidates are made from the
     frequent sets of the one before, and a basket is looked at as rows (basket, set): what it has
@@ -59,7 +61,7 @@ def frequent_itemsets(rows: DataFrame, support: float, longest: int = 3) -> Data
     held = durable(held.join(singles.select("item"), "item", "left_semi").select("basket", "item", "named"))
     level = singles.select(F.array("item").alias("s"), "n")
     out, at = level, held.select("basket", F.array("item").alias("s"))
-    for _ in range(1, longest):
+    for _ in range(1, longest) if longest else count():
         next_ = durable(candidates(level))
         if next_.isEmpty():
             break

@@ -116,3 +116,16 @@ def test_tree_rows_are_dealt(spark, monkeypatch):
     for family in ("forest", "logistic"):
         M.fitted(Probe(stages=M.pipeline(family, ["x"]).getStages()), rows)
     assert seen == [4, 1]
+
+
+def test_both_algorithms_are_compared_on_sets_of_any_length(spark, tmp_path):
+    from plumbline import catalog
+
+    catalog.load()
+    kinds = ["large", "small", "economy", "promo", "standard"]
+    spark.createDataFrame([(i, k) for i, k in enumerate(kinds)], "p_partkey bigint, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    # Orders of all five, of one, and of the first two.
+    lines = [(o, i, 1.0) for o in range(20) for i in range(5)] + [(o, 0, 1.0) for o in range(20, 30)] + [(o, i, 1.0) for o in range(30, 60) for i in range(2)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = catalog.QUERIES["set3_set_equality"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in found] == [(31, 31, 0, 0, 0, True)]
