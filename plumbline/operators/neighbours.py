@@ -24,6 +24,10 @@ from plumbline.session import durable
 MAX_DIMENSIONS = 4
 #: Points of a block, at least; rows of a block that are compared at a time; points that ask one copy of a block.
 BLOCK, ROWS, ASKED = 512, 128, 1 << 15
+#: Sides of the cells, in eps, by which points without enough rows around them are left out.
+WIDTHS = (4, 1)
+#: So much wider than they need be are these cells, that rounding leaves no pair out.
+WIDER = 1.01
 #: What a distance is stretched by before a box is left out.
 SLACK = 1 + 1e-9
 
@@ -32,6 +36,12 @@ def distance(a: Column | str, b: Column | str) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v))
 
 
+def _between(a: str, b: str, dimensions: int) -> Column:
+    """``distance``, added up in the same order, by columns that Spark compiles."""
+    gaps = [F.col(a)[i] - F.col(b)[i] for i in range(dimensions)]
+    return F.sqrt(sum((g * g for g in gaps[1:]), gaps[0] * gaps[0]))
+
+
 def _written(df: DataFrame) -> DataFrame:
     """``durable``, and joined by shuffles only: cells, points and distances pack so well that their files'
     size says little about what a broadcast table of them takes of the driver."""
@@ -208,13 +218,29 @@ def density_clusters(df: DataFrame, key: str, x: str, eps: float, least: int) ->
     return names.join(found, "p").select("id", "cluster", "core")
 
 
+def _crowded(at: DataFrame, points: DataFrame, dimensions: int, eps: float, least: int) -> DataFrame:
+    """The rows of ``at`` around which there are ``least`` rows of ``points`` by whole cells; the others cannot have them within ``eps``.
+
+    Large cells are counted first, so that few small ones are looked at.
+    """
+    offsets = list(product((-1, 0, 1), repeat=dimensions))
+    for width in WIDTHS:
+        cell = _cell("x", width * eps * WIDER).alias("near")
+        counts = points.groupBy(cell).agg(F.sum("w").alias("n")).select(F.col("near").alias("to"), "n")
+        around = at.select(cell).distinct().withColumn("to", F.explode(_around("near", offsets))).hint("merge").join(counts, "to")
+        many = around.groupBy("near").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        at = _written(at.withColumn("near", cell).join(many.select("near").hint("merge"), "near", "left_semi").drop("near"))
+    return at
+
+
 def _clusters(points: DataFrame, dimensions: int, eps: float, least: int, known: DataFrame | None) -> DataFrame:
     """(p, cluster, core).  ``known`` are clusters (p, cluster, core) of a smaller eps: what was core or together stays so.
 
     Cells have a diagonal of eps, so a cell of ``least`` rows is core without any pair, and core
     points of a cell are together; cells are the nodes.  Other cells have fewer than ``least``
     points, which are joined with the cells around, so a full cell costs rows in proportion to its
-    points.  Two full cells are first tried by the points nearest to the other's box; the pairs
+    points; but only if the cells around have ``least`` rows in all: the rest cannot be core, and is
+    held against core points alone.  Two full cells are first tried by the points nearest to the other's box; the pairs
     left open, and in different clusters by then, are decided by the points within eps of the
     other's box.
     """
@@ -225,19 +251,24 @@ def _clusters(points: DataFrame, dimensions: int, eps: float, least: int, known:
     at = points.withColumn("cell", _cell("x", side))
     cells = at.groupBy("cell").agg((F.sum("w") >= least).alias("full"))
     at = _written(at.join(cells, "cell"))
-    there = at.select(F.col("cell").alias("to"), F.col("p").alias("q"), F.col("x").alias("y"), F.col("w").alias("v"))
-    sparse = at.where("NOT full").select("p", "x", "cell", F.explode(_around("cell", offsets)).alias("to"))
-    pairs = sparse.join(there, "to").withColumn("d", distance("x", "y")).where(F.col("d") <= eps)
-    pairs = _written(pairs.select("p", "cell", "q", "to", "v", "d"))
+    # Pairs meet in cells of eps, of which fewer are around a point.
+    wide = _cell("x", eps * WIDER)
+    there = at.select(wide.alias("near"), F.col("p").alias("q"), F.col("x").alias("y"), F.col("w").alias("v"))
+    crowded = _crowded(at.where("NOT full").select("p", "x", "cell"), points, dimensions, eps, least)
+    sparse = crowded.select("p", "x", F.explode(_around(wide, list(product((-1, 0, 1), repeat=dimensions)))).alias("near"))
+    pairs = sparse.hint("merge").join(there, "near").withColumn("d", _between("x", "y", dimensions)).where(F.col("d") <= eps)
+    pairs = _written(pairs.select("p", "q", "v", "d"))
     reached = pairs.groupBy("p").agg(F.sum("v").alias("n")).where(F.col("n") >= least).select("p")
     core = at.where("full").select("p").unionByName(reached)
     if known is not None:
         core = core.unionByName(known.where("core").select("p")).distinct()
     cored = _written(at.join(core, "p").select("p", "x", "cell", "full"))
+    if cored.isEmpty():
+        return _written(points.select("p", F.lit(-1).cast("bigint").alias("cluster"), F.lit(False).alias("core")))
     is_core = cored.select(F.col("p").alias("q"), F.col("cell").alias("to"))
     # Cells that are together for certain.
-    links = pairs.select("p", "cell", "q").join(cored.select("p"), "p").join(is_core, "q").select(F.col("cell").alias("a"), F.col("to").alias("b"))
-    links = links.unionByName(cored.select(F.col("cell").alias("a"), F.col("cell").alias("b")))
+    links = pairs.select("p", "q").join(cored.select("p", "cell"), "p").join(is_core, "q").select(F.col("cell").alias("a"), F.col("to").alias("b"))
+    links = links.unionByName(cored.select(F.col("cell").alias("a"), F.col("cell").alias("b"))).distinct()
     if known is not None:
         of = cored.join(known.where("core").select("p", "cluster"), "p").select("cluster", "cell")
         links = links.unionByName(of.join(of.groupBy("cluster").agg(F.min("cell").alias("b")), "cluster").select(F.col("cell").alias("a"), "b"))
@@ -252,7 +283,7 @@ def _clusters(points: DataFrame, dimensions: int, eps: float, least: int, known:
     facing = full.join(doors, "cell").withColumn("g", to_box).where(F.col("g") <= eps)
     best = _written(facing.groupBy("cell", "to").agg(F.min_by("x", F.struct("g", "p")).alias("x")))
     tried = best.join(best.select(F.col("cell").alias("to"), F.col("to").alias("cell"), F.col("x").alias("y")), ["cell", "to"]).where(F.col("cell") < F.col("to"))
-    tried = _written(tried.select("cell", "to", (distance("x", "y") <= eps).alias("linked")))
+    tried = _written(tried.select("cell", "to", (_between("x", "y", dimensions) <= eps).alias("linked")))
     links = _written(links.unionByName(tried.where("linked").select(F.col("cell").alias("a"), F.col("to").alias("b"))))
     labels = components(links)
     open_ = tried.where("NOT linked").select("cell", "to")
@@ -261,13 +292,17 @@ def _clusters(points: DataFrame, dimensions: int, eps: float, least: int, known:
     if not open_.isEmpty():
         here = facing.select("cell", "to", "x").join(open_, ["cell", "to"])
         over = facing.select(F.col("cell").alias("to"), F.col("to").alias("cell"), F.col("x").alias("y")).join(open_, ["cell", "to"])
-        more = here.join(over, ["cell", "to"]).where(distance("x", "y") <= eps).select(F.col("cell").alias("a"), F.col("to").alias("b")).distinct()
+        more = here.join(over, ["cell", "to"]).where(_between("x", "y", dimensions) <= eps).select(F.col("cell").alias("a"), F.col("to").alias("b")).distinct()
         labels = components(links.unionByName(more))
     own = cored.join(labels.select(F.col("node").alias("cell"), "label"), "cell").select("p", "label")
     first = own.groupBy("label").agg(F.min("p").alias("first"))
     numbers = ordering.row_numbers(first, [F.col("first")], "rn").select("label", (F.col("rn") - 1).alias("cluster"))
     own = _written(own.join(numbers, "label").select("p", "cluster"))
-    edge = pairs.join(own.select(F.col("p").alias("q"), "cluster"), "q").groupBy("p").agg(F.min(F.struct("d", "q", "cluster"))["cluster"].alias("edge"))
+    lone = at.where("NOT full").select("p", "x", "cell").join(crowded.select("p"), "p", "left_anti")
+    reach = cored.select(F.col("cell").alias("to")).distinct().withColumn("cell", F.explode(_around("to", offsets)))
+    beside = lone.join(reach.hint("merge"), "cell").join(cored.select(F.col("p").alias("q"), F.col("cell").alias("to"), F.col("x").alias("y")), "to")
+    beside = beside.withColumn("d", _between("x", "y", dimensions)).where(F.col("d") <= eps).select("p", "q", "d")
+    edge = pairs.select("p", "q", "d").unionByName(beside).join(own.select(F.col("p").alias("q"), "cluster"), "q").groupBy("p").agg(F.min(F.struct("d", "q", "cluster"))["cluster"].alias("edge"))
     out = points.select("p").join(own, "p", "left").join(edge, "p", "left")
     return _written(out.select("p", F.coalesce("cluster", "edge", F.lit(-1)).cast("bigint").alias("cluster"), F.col("cluster").isNotNull().alias("core")))
 

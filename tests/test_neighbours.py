@@ -140,3 +140,22 @@ def test_blocks_of_any_size_find_the_same(spark, monkeypatch):
     points, names, dimensions = N.distinct_points(table(spark, x), "id", "x")
     found = names.join(N.nearest(points, 4, dimensions, size=9), "p").groupBy("id").agg({"w": "sum", "kdist": "max"}).collect()
     assert {r["id"]: (r["sum(w)"], pytest.approx(r["max(kdist)"])) for r in found} == {i: (len(q), far) for i, (far, q) in near.items()}
+
+
+def test_points_without_enough_rows_around_are_not_paired(spark, monkeypatch):
+    x = np.random.default_rng(8).uniform(0, 3, (400, 3))
+    tables, written = [], N._written
+    monkeypatch.setattr(N, "_written", lambda df: tables.append(written(df)) or tables[-1])
+    found = N.density_clusters(table(spark, x), "id", "x", 0.5, 401).collect()
+    assert sorted(tuple(r) for r in found) == [(i, -1, False) for i in range(400)]
+    assert sum(t.count() for t in tables if "q" in t.columns) == 0
+
+
+def test_points_at_the_edge_that_are_not_paired(spark):
+    """A core row at the limit of eps, whose other rows are on its far side, at many places of the cells."""
+    x = np.concatenate([np.concatenate([[[s, 0.0]], [[s - 0.95, 0.001 * i] for i in range(9)], [[s + 0.98, 0.0]]]) + [0.0, 7.0 * i] for i, s in enumerate(np.linspace(0, 1.1, 12))])
+    points, _, dimensions = N.distinct_points(table(spark, x), "id", "x")
+    at = points.withColumn("cell", N._cell("x", 0.7))
+    assert N._crowded(at, points, dimensions, 1.0, 10).count() < len(x)
+    got = {r["id"]: (r["cluster"], r["core"]) for r in N.density_clusters(table(spark, x), "id", "x", 1.0, 10).collect()}
+    assert got == brute_clusters(distances(x), 1.0, 10) and all(c >= 0 for c, _ in got.values())
